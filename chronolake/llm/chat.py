@@ -83,7 +83,6 @@ def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         for conv, role, text in zip(b["conv"].tolist(), b["role"].tolist(), b["text"].tolist(), strict=True):
-            conv = None if pd.isna(conv) else conv
             if not begun or conv != key:
                 if last := rest():
                     out.append(last)
@@ -110,22 +109,25 @@ def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _examples(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["conv", "example", "text", "loss_start", "loss_end"], dtype=object)
-    return out.astype({"conv": "Int64", "loss_start": "Int64", "loss_end": "Int64", "example": "Int64"})
+    return out.astype({"loss_start": "Int64", "loss_end": "Int64", "example": "Int64"})
 
 
-EXAMPLES = "conv long, example long, text string, loss_start long, loss_end long"
+EXAMPLES = "conv string, example long, text string, loss_start long, loss_end long"
 
 
 def ordered(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv, role, text``: each conversation in one partition, in the order of its turns, sorted on disk where memory ends."""
-    rows = turns.select(F.col(id_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    """``conv, role, text``: each conversation in one partition, in the order of its turns, sorted on disk where memory ends.
+
+    ``conv`` is the id as text, so that ids beside nulls keep all their digits in pandas.
+    """
+    rows = turns.select(F.col(id_col).cast("long").cast("string").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     n = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(n, "conv").sortWithinPartitions("conv", F.asc_nulls_first("turn"), "role", "text").select("conv", "role", "text")
 
 
 def examples(turns: DataFrame, **columns: str) -> DataFrame:
     """The examples of all conversations; a conversation's come together, in order. ``loss_start`` and ``loss_end`` are code points of ``text``."""
-    return ordered(turns, **columns).mapInPandas(expand, EXAMPLES)
+    return ordered(turns, **columns).mapInPandas(expand, EXAMPLES).withColumn("conv", F.col("conv").cast("long"))
 
 
 class _Reader:
@@ -154,7 +156,7 @@ class _Reader:
         return self.key, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted
 
 
-DIGESTS = "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGESTS = "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,11 +166,10 @@ def read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     done: list[tuple] = []
 
     def frame() -> pd.DataFrame:
-        return pd.DataFrame(done, columns=columns, dtype=object).astype({"conv": "Int64"})
+        return pd.DataFrame(done, columns=columns, dtype=object)
 
     for b in batches:
         for conv, text, start, end in zip(b["conv"].tolist(), b["text"].tolist(), b["loss_start"].tolist(), b["loss_end"].tolist(), strict=True):
-            conv = None if pd.isna(conv) else conv
             if reader is None or reader.key != conv:
                 if reader:
                     done.append(reader.row())
@@ -185,4 +186,4 @@ def read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def digests(turns: DataFrame, **columns: str) -> DataFrame:
     """Format all conversations and read the examples back in the same task: one row per conversation."""
-    return ordered(turns, **columns).mapInPandas(lambda batches: read_back(expand(batches)), DIGESTS)
+    return ordered(turns, **columns).mapInPandas(lambda batches: read_back(expand(batches)), DIGESTS).withColumn("conv", F.col("conv").cast("long"))

@@ -66,9 +66,9 @@ def simhash(text: Column | str, words: int = 3) -> Column:
 def correlated_parts(bits: np.ndarray, parts: int) -> list[list[int]]:
     """Cut the columns of a 0/1 matrix into groups of nearly equal size, each greedily grown by the free bit that correlates most with it."""
     n = bits.shape[1]
-    x = bits - bits.mean(0)
+    x = bits - (bits.mean(0) if len(bits) else 0)
     dev = np.sqrt((x * x).sum(0)) + 1e-9
-    c = np.abs(x.T @ x / np.outer(dev, dev)) if len(bits) else np.zeros((n, n))
+    c = np.abs(x.T @ x / np.outer(dev, dev))
     np.fill_diagonal(c, 0)
     free, out = set(range(n)), []
     for p in range(parts):
@@ -96,7 +96,7 @@ def estimate(bits: np.ndarray, part: list[int], most: int) -> list[float]:
         x = a[at : at + step]
         far = x.sum(1)[:, None] + b.sum(1)[None] - 2 * x @ b.T
         seen += np.bincount(np.rint(far).astype(np.int64).ravel(), minlength=len(part) + 1)
-    share = np.cumsum(seen) / seen.sum()
+    share = np.cumsum(seen) / max(seen.sum(), 1)
     # A wider threshold also costs its probes: one for each value within it.
     probes = np.cumsum([1.0, *(float(np.prod([(len(part) - i) / (i + 1) for i in range(t)])) for t in range(1, most + 1))])
     return [0.0, *(float(share[min(t, len(part))]) + 1e-7 * float(probes[t]) for t in range(most + 1))]

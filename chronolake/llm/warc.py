@@ -51,7 +51,7 @@ def _line(value: object) -> str:
     return "" if value is None else re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: object, url: str | None, payload: bytes, refers_to: object) -> bytes:
     """A response with its payload, or a revisit (``refers_to`` not null) with the HTTP header only."""
     digest = payload_digest(payload)
     revisit = refers_to is not None
@@ -162,7 +162,7 @@ def read_record(archive: BinaryIO, offset: int, length: int) -> tuple[dict[str,
 
 
 def with_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """``id``, ``payload`` (binary, null as empty) and ``refers_to``: the least id of the records with an equal payload, null if that's the row's own.
+    """``id``, ``url``, ``payload`` (binary, null as empty) and ``refers_to``: the least id of the records with an equal payload, null if that's the row's own.
 
     Only payloads of at least ``min_bytes`` refer. Groups are found by digest and length; what is
     joined back is the written table of payloads that occur twice or more, so Spark knows its size
@@ -174,7 +174,8 @@ def with_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: in
     groups = keyed.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     again = materialize(groups.select("sha", "size", "least"), "again")
     found = keyed.join(again, ["sha", "size"], "left")
-    return found.select("id", "url", "payload", F.when(F.col("id") != F.col("least"), F.col("least")).alias("refers_to"))
+    # As strings, ids beside nulls keep all their digits in pandas.
+    return found.select(F.col("id").cast("string"), "url", "payload", F.when(F.col("id") != F.col("least"), F.col("least")).cast("string").alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -200,7 +201,7 @@ def write_archives(rows: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYTE
                 if not out:
                     name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{len(done)}.warc.gz"
                     out, z, raw, records = store.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
-                data = record(None if pd.isna(row.id) else row.id, row.url, row.payload, None if pd.isna(row.refers_to) else int(row.refers_to))
+                data = record(row.id, row.url, row.payload, row.refers_to)
                 out.write(z.compress(data))
                 raw, records = raw + len(data), records + 1
                 if raw >= archive_bytes:

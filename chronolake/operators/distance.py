@@ -134,13 +134,13 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     def two(x: Column) -> Column:
         return x * (x - 1) / 2
 
-    total = c.agg(F.sum("n").alias("N"))
+    total = c.agg(F.sum("n").alias("whole"))
     parts = c.withColumns({"na": F.sum("n").over(wa), "nb": F.sum("n").over(wb)}).join(F.broadcast(total))
     pa = c.groupBy(a).agg(F.sum("n").alias("x")).agg(F.sum(two(F.col("x"))).alias("ta"))
     pb = c.groupBy(b).agg(F.sum("n").alias("x")).agg(F.sum(two(F.col("x"))).alias("tb"))
-    one = parts.agg(F.sum(two(n)).alias("tc"), F.max("N").alias("N"), F.sum(n / F.col("N") * F.log(F.col("N") * n / (F.col("na") * F.col("nb")))).alias("mi"))
+    one = parts.agg(F.sum(two(n)).alias("tc"), F.max("whole").alias("whole"), F.sum(n / F.col("whole") * F.log(F.col("whole") * n / (F.col("na") * F.col("nb")))).alias("mi"))
     j = one.join(F.broadcast(pa)).join(F.broadcast(pb))
-    expected = F.col("ta") * F.col("tb") / two(F.col("N"))
+    expected = F.col("ta") * F.col("tb") / two(F.col("whole"))
     return j.select(((F.col("tc") - expected) / ((F.col("ta") + F.col("tb")) / 2 - expected)).alias("ari"), "mi")
 
 

@@ -205,7 +205,8 @@ def region_days(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {REGION_DAYS}, k AS (SELECT unnest(generate_series(0, 3)) AS k), t AS (SELECT entity, n - 14 - k * 28 AS o, y, i, d FROM m CROSS JOIN k WHERE n - 14 - k * 28 >= 100 AND i <= n - 14 - k * 28),
 a AS MATERIALIZED (SELECT entity, o, arg_max(y, i) AS naive, arg_min(y, i) AS first, sum(y * pow(0.7, o - i) * CASE WHEN i = 1 THEN 1 ELSE 0.3 END) AS ses, regr_slope(y, i) AS b, regr_intercept(y, i) AS a, avg(d) AS scale FROM t GROUP BY 1, 2),
-h AS (SELECT unnest(generate_series(1, 14)) AS h), f AS MATERIALIZED (SELECT a.*, h, l.y AS sn, x.y AS actual FROM a CROSS JOIN h JOIN n x ON x.entity = a.entity AND x.i = o + h JOIN n l ON l.entity = a.entity AND l.i = o - 7 + 1 + (h - 1) % 7),
+h AS (SELECT unnest(generate_series(1, 14)) AS h), p AS MATERIALIZED (SELECT a.*, h, o + h AS at_i, o - 6 + (h - 1) % 7 AS last_i FROM a CROSS JOIN h),
+f AS MATERIALIZED (SELECT p.*, l.y AS sn, x.y AS actual FROM p JOIN n x ON x.entity = p.entity AND x.i = p.at_i JOIN n l ON l.entity = p.entity AND l.i = p.last_i),
 g AS (SELECT 'naive' AS model, naive AS f, actual, scale FROM f UNION ALL SELECT 'seasonal_naive', sn, actual, scale FROM f UNION ALL SELECT 'drift', naive + h * (naive - first) / (o - 1), actual, scale FROM f
  UNION ALL SELECT 'ses', ses, actual, scale FROM f UNION ALL SELECT 'theta', 0.5 * (a + b * (o + h)) + 0.5 * ses, actual, scale FROM f),
 r AS (SELECT model, count(*) AS n, avg(abs(f - actual)) AS mae, sqrt(avg((f - actual) * (f - actual))) AS rmse, avg(abs(f - actual) / scale) AS mase FROM g GROUP BY 1)

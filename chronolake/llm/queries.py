@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.llm import chat, langid, licenses, packing, pieces, pii, quality, rabitq, simhash, warc
+from chronolake.llm.sql import ORACLE_SQL  # noqa: F401
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -76,4 +77,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}

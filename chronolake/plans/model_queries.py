@@ -349,9 +349,9 @@ def quantiles(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {BASELINES}, q AS (SELECT entity, quantile_cont(-e7, 0.05) AS a, quantile_cont(-e7, 0.5) AS m, quantile_cont(-e7, 0.95) AS z FROM b GROUP BY 1),
 l AS (SELECT b.entity, ts, y, f7 + a AS q, 0.05 AS tau, 0.25 AS w FROM b JOIN q USING (entity) UNION ALL SELECT b.entity, ts, y, f7 + m, 0.5, 0.45 FROM b JOIN q USING (entity) UNION ALL SELECT b.entity, ts, y, f7 + z, 0.95, 0.25 FROM b JOIN q USING (entity))
-SELECT entity, ts, round(sum(2 * w * CASE WHEN y >= q THEN tau * (y - q) ELSE (tau - 1) * (y - q) END), 3) AS crps FROM l GROUP BY 1, 2""")
+SELECT entity, ts, round(sum(2 * w * CASE WHEN y >= q THEN tau * (y - q) ELSE (tau - 1) * (y - q) END), 7) AS crps FROM l GROUP BY 1, 2""")
 def crps_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(probabilistic.crps_quantiles(quantiles(spark, d), ["entity", "ts"], "tau", "y", "q"), 3)
+    return rounded(probabilistic.crps_quantiles(quantiles(spark, d), ["entity", "ts"], "tau", "y", "q"), 7)
 
 
 @query(f"""

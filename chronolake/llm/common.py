@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step inside a Python worker handles at once.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +59,15 @@ def steps(texts: list, limit: int = STEP_CHARS) -> Iterator[list]:
         yield run
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system: workers live on between tasks, and an executor's memory is the sum of theirs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def text_struct(column: Column | str, schema: str, start: Callable[[], Callable[[list], dict]]) -> Column:
     """A struct column made from a text column by a vectorised Python function.
 
@@ -69,7 +80,12 @@ def text_struct(column: Column | str, schema: str, start: Callable[[], Callable[
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         function = start()
         for s in batches:
-            parts = [pd.DataFrame(function(run)) for run in steps(s.tolist())]
+            texts = s.tolist()
+            del s
+            parts = [pd.DataFrame(function(run)) for run in steps(texts)]
+            del texts
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(function([]))
+            del parts
+            give_back()
 
     return apply.asNondeterministic()(column if isinstance(column, Column) else F.col(column))

@@ -26,7 +26,7 @@ UNKNOWN = "und"
 HASH_BITS = 15
 GRAMS = (2, 3, 4)
 #: Labelled rows that a model is fitted on at most, characters of their text in all, and languages it can learn.
-TRAIN_ROWS, TRAIN_CHARS, MAX_LANGS = 3_000, 12_000_000, 256
+TRAIN_ROWS, TRAIN_CHARS, MAX_LANGS = 2_000, 8_000_000, 256
 #: Share of the sample kept for calibration, and of right calibration rows that rejection may cost.
 HELD, COST = 0.25, 0.001
 
@@ -69,7 +69,7 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct table rows of a text's subwords and how often each occurs."""
     g = np.bincount(grams(points(text)), minlength=0)
     at = np.flatnonzero(g)
-    return at, g[at]
+    return at.astype(np.int32), g[at].astype(np.float32)
 
 
 @dataclass

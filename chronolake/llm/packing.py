@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import steps
+from chronolake.llm.common import give_back, steps
 from chronolake.llm.wordbpe import encoder
 
 CAPACITY, CLASSES, END = 4096, 64, 2
@@ -123,8 +123,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
         for b in batches:
             schema = schema or _schema(b.schema.field(0).type, with_ids)
-            keys, at = b.column(0).to_pylist(), 0
-            for texts in steps(b.column(1).to_pylist()):
+            keys, texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+            del b
+            for texts in steps(texts):
                 placed = []
                 for ids in coder.encode(texts):
                     ids = np.append(ids, np.int32(end)).astype("<i4")
@@ -135,6 +136,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     at += 1
                 if placed:
                     yield rows(placed)
+            give_back()
         if schema and (placed := list(packer.finish())):
             yield rows(placed)
 

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.llm.common import materialize, text_struct
@@ -84,22 +84,22 @@ def correlated_parts(bits: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def estimate(bits: np.ndarray, part: list[int], most: int) -> list[float]:
-    """Estimated candidate pairs, as a share of all pairs, for thresholds -1, 0, ..., ``most`` of a part."""
-    if len(bits) < 2:
-        return [0.0] + [float(t) for t in range(most + 1)]
+#: What a probe costs (a row in the shuffle), in comparisons of two fingerprints.
+PROBE_COST = 100.0
+
+
+def estimate(bits: np.ndarray, part: list[int], most: int, nodes: int) -> list[float]:
+    """Estimated cost of a node for thresholds -1, 0, ..., ``most`` of a part: its probes, and its candidates among ``nodes`` nodes, by the sample's distances."""
     half = len(bits) // 2
     a, b = bits[:half][:, part].astype(np.float32), bits[half : 2 * half][:, part].astype(np.float32)
     seen = np.zeros(len(part) + 1)
-    step = max(1, 4_000_000 // half)
+    step = max(1, 4_000_000 // max(half, 1))
     for at in range(0, min(half, 2_000), step):
         x = a[at : at + step]
         far = x.sum(1)[:, None] + b.sum(1)[None] - 2 * x @ b.T
         seen += np.bincount(np.rint(far).astype(np.int64).ravel(), minlength=len(part) + 1)
     share = np.cumsum(seen) / max(seen.sum(), 1)
-    # A wider threshold also costs its probes: one for each value within it.
-    probes = np.cumsum([1.0, *(float(np.prod([(len(part) - i) / (i + 1) for i in range(t)])) for t in range(1, most + 1))])
-    return [0.0, *(float(share[min(t, len(part))]) + 1e-7 * float(probes[t]) for t in range(most + 1))]
+    return [0.0, *(float(nodes * share[min(t, len(part))]) + PROBE_COST * len(_flips(part, t)) for t in range(most + 1))]
 
 
 def allot(costs: list[list[float]], total: int) -> list[int]:
@@ -121,12 +121,13 @@ def plan(nodes: DataFrame, radius: int, sample: int = SAMPLE) -> list[tuple[list
     Looks at up to ``sample`` fingerprints, those of least hash, and tries two to six parts. Which
     plan is taken changes only the cost: each finds all pairs within the radius.
     """
+    n = nodes.count()
     taken = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64)
     bits = np.unpackbits(taken.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(taken) else np.zeros((0, BITS), np.uint8)
     plans = []
     for m in range(2, min(6, radius + 3) + 1):
         parts = correlated_parts(bits.astype(np.float32), m)
-        costs = [estimate(bits, p, min(radius, 2)) for p in parts]
+        costs = [estimate(bits, p, min(radius, 2), n) for p in parts]
         chosen = allot(costs, radius - m + 1)
         plans.append((sum(c[t + 1] for c, t in zip(costs, chosen, strict=True)), m, [(p, t) for p, t in zip(parts, chosen, strict=True) if t >= 0]))
     return min(plans, key=lambda x: x[:2])[2]
@@ -279,6 +280,172 @@ def components(pairs: DataFrame) -> DataFrame:
             return roots
 
 
+# ---------------------------------------------------------------- wide radii
+
+#: Bits of a wide fingerprint, and samples of its bits by which similar ones meet.
+WIDE_BITS, SAMPLES = 256, 110
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """Four longs: a SimHash of :data:`WIDE_BITS` bits over the distinct shingles of a whole text, words and shingles as in :func:`fingerprint`."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    counts = np.zeros(WIDE_BITS, np.int64)
+    joined = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) > words else [b" ".join(w)] if w else []
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64))
+    for at in range(0, len(h), 1 << 14):
+        for k in range(WIDE_BITS // 64):
+            x = h[at : at + (1 << 14)] + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & ((1 << 64) - 1))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            counts[64 * k : 64 * k + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<i8")
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits to allow for a Jaccard similarity: those expected of equally large sets, and one standard error."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE_BITS * p + np.sqrt(WIDE_BITS * p * (1 - p)))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of four longs."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Those pairs (rows of two nodes) that join something new: as many components, no more pairs than nodes."""
+    if not len(pairs):
+        return pairs
+    nodes, flat = np.unique(pairs, return_inverse=True)
+    sets = Sets(len(nodes))
+    return pairs[[sets.join(int(i), int(j)) for i, j in flat.reshape(-1, 2)]]
+
+
+def _frame(pairs: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _meetings(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Over rows (key, node, f0 to f3) sorted by (key, node): each node within the radius of the first one with its key, linked to it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for b in batches:
+            key, node = b["key"].to_numpy(), b["node"].to_numpy()
+            if not len(key):
+                continue
+            fp = np.stack([b[f"f{k}"].to_numpy() for k in range(4)], 1)
+            start = np.r_[last is None or last[0] != key[0], key[1:] != key[:-1]]
+            place = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
+            first, near = node[place], fp[place]
+            if last is not None:
+                first[place < 0], near[place < 0] = last[1], last[2]
+            last = (key[-1], first[-1], near[-1])
+            meet = (first != node) & (_apart(fp, near) <= radius)
+            yield _frame(forest(np.unique(np.stack([first[meet], node[meet]], 1), axis=0)))
+
+    return run
+
+
+def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's links without those that join nothing new."""
+    held = [np.zeros((0, 2), np.int64), *(np.stack([b["a"].to_numpy(), b["b"].to_numpy()], 1) for b in batches)]
+    yield _frame(forest(np.concatenate(held)))
+
+
+def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between nodes (``node``, ``fp`` of four longs) within a wide radius, each verified by all bits.
+
+    Thresholds that make sure of every pair need too many probes here: 44 of 256 bits would take
+    hundreds of probes for each part. So the parts are many samples of bits, their threshold 0, and a
+    pair is found with a probability: with ``log2(nodes) + 3`` bits in a sample, over 0.95 at the
+    radius itself and more below it. A node is compared with the first of each of its buckets. A bucket
+    that a sample of the nodes shows to be large isn't gathered: its nodes are compared, wherever they
+    are, with one that was seen in it. Links that join nothing new go away task by task, which
+    changes no component.
+    """
+    spark = nodes.sparkSession
+    count = nodes.count()
+    size = int(np.clip(np.ceil(np.log2(count + 2)) + 3, 12, 40))
+    rng = np.random.default_rng(SEED)
+    masks = np.zeros((SAMPLES, WIDE_BITS), np.uint8)
+    for row in masks:
+        row[rng.choice(WIDE_BITS, size, replace=False)] = 1
+    masks = np.packbits(masks, axis=1, bitorder="little").view("<u8")
+    odd = rng.integers(0, 1 << 63, (2, masks.shape[1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Keys (nodes x samples), nodes and fingerprints, some thousand nodes at a time."""
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                part = b.iloc[at : at + 2000]
+                fp = np.stack(part["fp"].to_numpy()).astype(np.int64)
+                x = (fp.view(np.uint64)[:, None, :] & masks[None]) * odd[0]
+                x = ((x ^ (x >> np.uint64(29))) * odd[1]).sum(2, dtype=np.uint64)
+                x = (x ^ (x >> np.uint64(32))) + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                yield x.view(np.int64), part["node"].to_numpy(), fp
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, node, fp in keys_of(batches):
+            yield pd.DataFrame({"key": key.ravel(), "node": np.repeat(node, SAMPLES), **{f"f{k}": np.repeat(fp[:, k], SAMPLES) for k in range(4)}})
+
+    schema = "key long, node long, f0 long, f1 long, f2 long, f3 long"
+    # At most two hundred keys for each sample of bits can hold more than a two-hundredth of the nodes seen.
+    seen = nodes.orderBy("node").limit(SAMPLE).mapInPandas(deal, schema).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "f0", "f1", "f2", "f3")).alias("r"))
+    large = seen.where(F.col("n") > max(64, min(count, SAMPLE) // 200)).select("key", "r.*").toPandas().sort_values("key")
+    known, chosen, marks = large["key"].to_numpy(np.int64), large["node"].to_numpy(np.int64), large[["f0", "f1", "f2", "f3"]].to_numpy(np.int64)
+
+    def place(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+        return at, known[at] == key if len(known) else np.zeros(key.shape, bool)
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in deal(batches):
+            yield f[~place(f["key"].to_numpy())[1]]
+
+    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links = np.zeros((0, 2), np.int64)
+        for key, node, fp in keys_of(batches):
+            at, hit = place(key)
+            i, j = np.nonzero(hit)
+            at = at[i, j]
+            meet = (_apart(fp[i], marks[at]) <= radius) & (chosen[at] != node[i])
+            links = forest(np.concatenate([links, np.unique(np.stack([chosen[at][meet], node[i][meet]], 1), axis=0)]))
+        yield _frame(links)
+
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = nodes.mapInPandas(rest, schema).repartition(n, "key").sortWithinPartitions("key", "node").mapInPandas(_meetings(radius), "a long, b long")
+    links = materialize(met.union(nodes.mapInPandas(stars, "a long, b long")) if len(known) else met, "met")
+    return links.coalesce(max(1, n // 16)).mapInPandas(_thinned, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: id and ``component_id``, the least id among documents whose wide fingerprints are linked.
+
+    For texts of a similarity (of their sets of shingles) of ``similarity`` or more. Null and empty
+    texts are copies of each other. Ids are handled as in :func:`near_duplicates`.
+    """
+
+    def run(texts: list) -> dict:
+        return {"fp": [wide_fingerprint(t, words) for t in texts]}
+
+    fp = text_struct(F.col(text_col).cast("string"), "fp array<long>", lambda: run)["fp"]
+    prints = materialize(docs.select(F.col(id_col).alias("id"), fp.alias("fp")).withColumn("node", F.xxhash64("fp")), "prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp")), "nodes")
+    roots = components(materialize(wide_links(nodes.select("node", "fp"), wide_radius(similarity)), "links"))
+    return _named(prints, nodes, roots, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def _named(prints: DataFrame, nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """Each row of ``prints`` with the least id of its component; ``nodes`` has the least id of each ``key``."""
+    known = roots.select(F.col("node").alias("__n"), "root")
+    rooted = materialize(nodes.join(known, nodes[key] == known["__n"], "left").select(key, "least", F.coalesce("root", key).alias("root")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = materialize(rooted.select(key, "root").join(least, "root").select(key, "component_id"), "named")
+    return prints.join(named, key)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     """One row per document: id, ``fp`` (signed long) and ``component_id``, the least id of its component.
 
@@ -288,15 +455,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col).cast("string"), words).alias("fp")), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), radius, bucket))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.select("fp", "root").join(materialize(least, "least"), "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, spark: SparkSession | None = None, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The documents whose id is the least of their component, all columns as they were; rows that repeat an id stay once."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__keep"]), "left_semi").dropDuplicates([id_col])
+    return _named(prints, nodes, roots, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each component of :func:`near_copies`, the one with the least id, all columns as they were.
+
+    What goes is joined away by id, as a written table whose size Spark knows. Rows that repeat an id
+    stay once. A row without an id can't be named by another: it stays.
+    """
+    found = near_copies(docs, id_col, text_col, words, similarity).select(F.col(id_col).alias("__id"), "component_id")
+    by_id = materialize(found.where("__id is not null").groupBy("__id").agg(F.min("component_id").alias("root"), F.count("*").alias("n")), "by_id")
+    gone = materialize(by_id.where("__id <> root or n > 1").select("__id"), "gone")
+    kept = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    again = by_id.where("__id = root and n > 1").select("__id")
+    if not again.limit(1).count():
+        return kept
+    return kept.unionByName(docs.join(again, docs[id_col] == again["__id"], "left_semi").dropDuplicates([id_col]))

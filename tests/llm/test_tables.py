@@ -114,11 +114,64 @@ def test_near_duplicates(spark):
     roots = plain_components(fps)
     want = {r: min((i for (i, _, _), q in zip(rows, roots, strict=True) if q == r and i is not None), default=None) for r in roots}
     assert sorted((r.doc_id or -1, r.fp & (1 << 64) - 1, r.component_id) for r in got) == sorted((i or -1, f, want[r]) for (i, _, _), f, r in zip(rows, fps, roots, strict=True))
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert simhash.near_duplicates(docs.where("false")).collect() == []
 
 
+def test_wide_fingerprints_follow_similarity():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    base = words[:400]
+
+    def similarity(a, b):
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    far = []
+    for _ in range(40):
+        other = [rng.choice(words) if rng.random() < 0.02 else w for w in base]
+        a, b = (simhash.wide_fingerprint(" ".join(x)) for x in (base, other))
+        far.append((similarity(base, other), int(np.bitwise_count((a ^ b).view(np.uint64)).sum())))
+    expected = [256 * np.arccos(2 * j / (1 + j)) / np.pi for j, _ in far]
+    assert abs(np.mean([d for _, d in far]) - np.mean(expected)) < 3
+    assert simhash.wide_radius(0.8) == 44
+
+
+def test_copies_go_and_others_stay(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+
+    base = [words(300) for _ in range(30)]
+    near = [[*b[:100], "other", *b[101:200], "word", *b[200:]] for b in base]  # about 0.93 similar
+    rows = [(i, " ".join(w), "x") for i, w in enumerate([*base, *near])]
+    rows += [(200 + i, " ".join(base[0]), "x") for i in range(400)]  # a third of all rows and more are one text
+    rows += [(70, None, "x"), (71, "", "x"), (72, " \n", "x"), (None, " ".join(base[1]), "x"), (5, " ".join(base[5]), "x"), (80, "long words go on " * 20_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, *range(30), 70, 80]
+    assert simhash.keep_first(docs.where("false")).collect() == []
+
+
+def test_meetings_over_batches():
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 40, 300))
+    node = np.concatenate([np.sort(rng.choice(1000, (key == k).sum(), replace=False)) for k in np.unique(key)])
+    whole = pd.DataFrame({"key": key, "node": node, **{f"f{k}": node % 4 for k in range(4)}})
+    frames = [whole[a:b] for a, b in ((0, 1), (1, 7), (7, 7), (7, 150), (150, 300))]
+    got = [(a, b) for f in simhash._meetings(4)(iter(frames)) for a, b in zip(f["a"], f["b"], strict=True)]
+    sets, want = simhash.Sets(1000), simhash.Sets(1000)
+    for a, b in got:
+        sets.join(a, b)
+    for k in np.unique(key):
+        x = node[key == k].tolist()
+        for y in x[1:]:
+            if 4 * bin((x[0] % 4) ^ (y % 4)).count("1") <= 4:
+                want.join(x[0], y)
+    assert [sets.root(i) for i in range(1000)] == [want.root(i) for i in range(1000)] and len(got) < 1000
+
+
 def test_components_of_a_chain(spark):
     n = 60
     pairs = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")

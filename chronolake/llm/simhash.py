@@ -326,24 +326,71 @@ def _frame(pairs: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+#: Nodes of a bucket that are compared all with all at once; more are compared node by node.
+SQUARE = 1024
+#: A key that a sample shows to have more than one in so many of all nodes is searched block pair by block pair.
+BLOCKS = 50
+
+
+def joined(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of all pairs of rows of four longs within the radius, as positions.
+
+    A row is compared with every row that isn't joined to anything yet, and with those it joins in turn:
+    no pair that could join something new is left out, while close copies, which join at once, are cheap.
+    """
+    m = len(fp)
+    if m <= SQUARE:
+        u, far = np.ascontiguousarray(fp.T).view(np.uint64), np.zeros((m, m), np.uint16)
+        for x in u:
+            far += np.bitwise_count(x[:, None] ^ x[None])
+        near = far <= radius
+        left = np.flatnonzero(near.sum(1) > 1)
+    else:
+        near, left = None, np.arange(m)
+    out: list[tuple[int, int]] = []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            i = front.pop()
+            hit = _apart(fp[left], fp[i]) <= radius if near is None else near[i, left]
+            if hit.any():
+                found = left[hit].tolist()
+                out += [(i, j) for j in found]
+                front += found
+                left = left[~hit]
+    return out
+
+
 def _meetings(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Over rows (key, node, f0 to f3) sorted by (key, node): each node within the radius of the first one with its key, linked to it."""
+    """Over rows (key, node, f0 to f3) sorted by key: links that join all nodes of a key within the radius, those that join nothing new left out. Holds one key's nodes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        links, fresh, n = np.zeros((0, 2), np.int64), [], 0
+
+        def close() -> None:
+            nonlocal links, fresh, n
+            node, fp = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            if len(node) > 1 and (found := joined(fp, radius)):
+                fresh.append(node[np.array(found)])
+                n += len(found)
+            if n > 200_000 + len(links):
+                links, fresh, n = forest(np.unique(np.concatenate([links, *fresh]), axis=0)), [], 0
+            held.clear()
+
         for b in batches:
             key, node = b["key"].to_numpy(), b["node"].to_numpy()
             if not len(key):
                 continue
             fp = np.stack([b[f"f{k}"].to_numpy() for k in range(4)], 1)
-            start = np.r_[last is None or last[0] != key[0], key[1:] != key[:-1]]
-            place = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
-            first, near = node[place], fp[place]
-            if last is not None:
-                first[place < 0], near[place < 0] = last[1], last[2]
-            last = (key[-1], first[-1], near[-1])
-            meet = (first != node) & (_apart(fp, near) <= radius)
-            yield _frame(forest(np.unique(np.stack([first[meet], node[meet]], 1), axis=0)))
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for at, end in zip(cuts, cuts[1:]):
+                if held and held[0][0] != key[at]:
+                    close()
+                held.append((key[at], node[at:end], fp[at:end]))
+        if held:
+            close()
+        yield _frame(forest(np.unique(np.concatenate([links, *fresh]), axis=0)))
 
     return run
 
@@ -360,10 +407,11 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
     Thresholds that make sure of every pair need too many probes here: 44 of 256 bits would take
     hundreds of probes for each part. So the parts are many samples of bits, their threshold 0, and a
     pair is found with a probability: with ``log2(nodes) + 3`` bits in a sample, over 0.95 at the
-    radius itself and more below it. A node is compared with the first of each of its buckets. A bucket
-    that a sample of the nodes shows to be large isn't gathered: its nodes are compared, wherever they
-    are, with one that was seen in it. Links that join nothing new go away task by task, which
-    changes no component.
+    radius itself and more below it. All nodes of a bucket are compared (see :func:`joined`). A bucket
+    that a sample of the nodes shows to be large isn't gathered: it is cut into blocks, and each pair
+    of blocks is searched as a bucket of its own. A block has a fixed share of all nodes, so the rows
+    grow with the input, not with its square. Links that join nothing new go away task by task,
+    which changes no component.
     """
     spark = nodes.sparkSession
     count = nodes.count()
@@ -391,33 +439,34 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
             yield pd.DataFrame({"key": key.ravel(), "node": np.repeat(node, SAMPLES), **{f"f{k}": np.repeat(fp[:, k], SAMPLES) for k in range(4)}})
 
     schema = "key long, node long, f0 long, f1 long, f2 long, f3 long"
-    # At most two hundred keys for each sample of bits can hold more than a two-hundredth of the nodes seen.
-    seen = nodes.orderBy("node").limit(SAMPLE).mapInPandas(deal, schema).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "f0", "f1", "f2", "f3")).alias("r"))
-    large = seen.where(F.col("n") > max(64, min(count, SAMPLE) // 200)).select("key", "r.*").toPandas().sort_values("key")
-    known, chosen, marks = large["key"].to_numpy(np.int64), large["node"].to_numpy(np.int64), large[["f0", "f1", "f2", "f3"]].to_numpy(np.int64)
-
-    def place(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-        return at, known[at] == key if len(known) else np.zeros(key.shape, bool)
-
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # At most BLOCKS keys for each sample of bits can hold more than one in BLOCKS of the nodes seen. Which are taken changes only how they are dealt.
+    seen = nodes.orderBy("node").limit(SAMPLE).mapInPandas(deal, schema).groupBy("key").agg(F.count("*").alias("n"))
+    few = min(count, SAMPLE)
+    large = seen.where(F.col("n") > max(64, few // BLOCKS)).toPandas().sort_values("key")
+    known, blocks = large["key"].to_numpy(np.int64), np.ceil(large["n"].to_numpy(np.float64) * BLOCKS / max(few, 1)).astype(np.int64).clip(2)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows by key; nodes of a large key are dealt into blocks and go to each pair of blocks with theirs, under a key of that pair."""
         for f in deal(batches):
-            yield f[~place(f["key"].to_numpy())[1]]
-
-    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        links = np.zeros((0, 2), np.int64)
-        for key, node, fp in keys_of(batches):
-            at, hit = place(key)
-            i, j = np.nonzero(hit)
-            at = at[i, j]
-            meet = (_apart(fp[i], marks[at]) <= radius) & (chosen[at] != node[i])
-            links = forest(np.concatenate([links, np.unique(np.stack([chosen[at][meet], node[i][meet]], 1), axis=0)]))
-        yield _frame(links)
+            if not len(known):
+                yield f
+                continue
+            key, node = f["key"].to_numpy(), f["node"].to_numpy()
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            hit = known[at] == key
+            yield f[~hit]
+            own = np.flatnonzero(hit)
+            g = blocks[at[own]]
+            block = (node[own].view(np.uint64) % g.view(np.uint64)).view(np.int64)
+            for other in range(int(g.max(initial=0))):
+                met = (other < g) & (other != block)
+                low, high = np.minimum(block[met], other), np.maximum(block[met], other)
+                pair = (low * BLOCKS * 2 + high + 1).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                yield f.iloc[own[met]].assign(key=(key[own[met]].view(np.uint64) ^ pair).view(np.int64))
 
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = nodes.mapInPandas(rest, schema).repartition(n, "key").sortWithinPartitions("key", "node").mapInPandas(_meetings(radius), "a long, b long")
-    links = materialize(met.union(nodes.mapInPandas(stars, "a long, b long")) if len(known) else met, "met")
-    return links.coalesce(max(1, n // 16)).mapInPandas(_thinned, "a long, b long")
+    met = nodes.mapInPandas(spread, schema).repartition(n, "key").sortWithinPartitions("key").mapInPandas(_meetings(radius), "a long, b long")
+    return materialize(met, "met").coalesce(max(1, n // 16)).mapInPandas(_thinned, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

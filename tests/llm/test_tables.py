@@ -136,6 +136,68 @@ def test_wide_fingerprints_follow_similarity():
     assert simhash.wide_radius(0.8) == 44
 
 
+def flipped(fp, bits):
+    """A copy of four longs with these bits turned."""
+    x = np.unpackbits(fp.view(np.uint8), bitorder="little")
+    x[list(bits)] ^= 1
+    return np.packbits(x, bitorder="little").view(np.int64)
+
+
+def wide_nodes(spark, fps):
+    return spark.createDataFrame([(i, [int(v) for v in x]) for i, x in enumerate(fps)], "node long, fp array<long>")
+
+
+def wide_components(spark, fps, radius=44):
+    links = [(r.a, r.b) for r in simhash.wide_links(wide_nodes(spark, fps), radius).collect()]
+    assert all(np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)).sum() <= radius for a, b in links)
+    sets = simhash.Sets(len(fps))
+    for a, b in links:
+        sets.join(a, b)
+    return [sets.root(i) for i in range(len(fps))]
+
+
+def test_copies_behind_a_stranger_are_compared():
+    """Each key has a stranger first, then two copies of each other."""
+    rng = np.random.default_rng(3)
+    fps = rng.integers(-(1 << 63), 1 << 63, (3, 4))
+    fps[2] = flipped(fps[1], range(30))
+    rows = pd.DataFrame({"key": 5, "node": [0, 1, 2], **{f"f{k}": fps[:, k] for k in range(4)}})
+    for batches in ([rows], [rows[:1], rows[1:2], rows[2:]]):
+        got = pd.concat(simhash._meetings(44)(iter(batches)))
+        assert [sorted(x) for x in got.to_numpy().tolist()] == [[1, 2]]
+
+
+@pytest.mark.parametrize("square", [8, 1024])
+def test_joined_is_the_components_of_all_pairs(monkeypatch, square):
+    monkeypatch.setattr(simhash, "SQUARE", square)
+    rng = np.random.default_rng(square)
+    fps = [rng.integers(-(1 << 63), 1 << 63, 4)]
+    for _ in range(150):
+        fps.append(flipped(fps[rng.integers(len(fps))], rng.choice(256, rng.integers(10, 60), replace=False)))
+    fps = np.array(fps)
+    want, got = simhash.Sets(len(fps)), simhash.Sets(len(fps))
+    for i in range(len(fps)):
+        for j in range(i):
+            if simhash._apart(fps[i : i + 1], fps[j])[0] <= 44:
+                want.join(i, j)
+    assert all([got.join(i, j) for i, j in simhash.joined(fps, 44)])
+    assert [got.root(i) for i in range(len(fps))] == [want.root(i) for i in range(len(fps))]
+
+
+def test_large_bucket_is_searched_whole(spark):
+    """All nodes agree in all but 80 bits that few samples take up; pairs in it are far from any one representative."""
+    rng = np.random.default_rng(8)
+    base, fps = rng.integers(-(1 << 63), 1 << 63, 4), []
+    for _ in range(300):
+        one = flipped(base, 176 + np.flatnonzero(rng.random(80) < 0.6))
+        fps += [one, flipped(one, rng.choice(176, 12, replace=False))]
+    fps = np.array(fps)
+    want = simhash.Sets(len(fps))
+    for i, j in simhash.joined(fps, 30):
+        want.join(i, j)
+    assert wide_components(spark, fps, 30) == [want.root(i) for i in range(len(fps))]
+
+
 def test_copies_go_and_others_stay(spark):
     rng = random.Random(5)
 

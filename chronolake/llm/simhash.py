@@ -15,6 +15,7 @@ something new are kept, so links never outnumber nodes times probes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -282,8 +283,8 @@ def components(pairs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- wide radii
 
-#: Bits of a wide fingerprint, and samples of its bits by which similar ones meet.
-WIDE_BITS, SAMPLES = 256, 110
+#: Bits of a wide fingerprint, and the chance that two of them at the radius itself never meet.
+WIDE_BITS, MISS = 256, 0.001
 
 
 def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
@@ -308,6 +309,18 @@ def wide_radius(similarity: float) -> int:
     return int(WIDE_BITS * p + np.sqrt(WIDE_BITS * p * (1 - p)))
 
 
+def meeting(size: int, far: int) -> float:
+    """Chance that two wide fingerprints with ``far`` differing bits agree in ``size`` bits chosen without repeats."""
+    return math.comb(WIDE_BITS - far, size) / math.comb(WIDE_BITS, size)
+
+
+def sampling(count: int, radius: int) -> tuple[int, int]:
+    """Bits in a sample, and samples, for ``count`` nodes: about a hundred evenly spread nodes share a key, and a pair at the radius misses all samples with :data:`MISS` at any count."""
+    size = max(1, min(math.ceil(math.log2(count + 2)) - 7, WIDE_BITS - radius))
+    once = meeting(size, radius)
+    return size, 1 if once >= 1 else math.ceil(math.log(MISS) / math.log1p(-once))
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of rows of four longs."""
     return np.bitwise_count((a ^ b).view(np.uint64)).sum(1, dtype=np.int64)
@@ -406,8 +419,8 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
 
     Thresholds that make sure of every pair need too many probes here: 44 of 256 bits would take
     hundreds of probes for each part. So the parts are many samples of bits, their threshold 0, and a
-    pair is found with a probability: with ``log2(nodes) + 3`` bits in a sample, over 0.95 at the
-    radius itself and more below it. All nodes of a bucket are compared (see :func:`joined`). A bucket
+    pair is found with a probability: the number of samples grows with their bits (:func:`sampling`), so
+    that at any number of nodes it is 1 - :data:`MISS` at the radius itself and more below it. All nodes of a bucket are compared (see :func:`joined`). A bucket
     that a sample of the nodes shows to be large isn't gathered: it is cut into blocks, and each pair
     of blocks is searched as a bucket of its own. A block has a fixed share of all nodes, so the rows
     grow with the input, not with its square. Links that join nothing new go away task by task,
@@ -415,9 +428,9 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
     """
     spark = nodes.sparkSession
     count = nodes.count()
-    size = int(np.clip(np.ceil(np.log2(count + 2)) + 3, 12, 40))
+    size, samples = sampling(count, radius)
     rng = np.random.default_rng(SEED)
-    masks = np.zeros((SAMPLES, WIDE_BITS), np.uint8)
+    masks = np.zeros((samples, WIDE_BITS), np.uint8)
     for row in masks:
         row[rng.choice(WIDE_BITS, size, replace=False)] = 1
     masks = np.packbits(masks, axis=1, bitorder="little").view("<u8")
@@ -431,12 +444,12 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
                 fp = np.stack(part["fp"].to_numpy()).astype(np.int64)
                 x = (fp.view(np.uint64)[:, None, :] & masks[None]) * odd[0]
                 x = ((x ^ (x >> np.uint64(29))) * odd[1]).sum(2, dtype=np.uint64)
-                x = (x ^ (x >> np.uint64(32))) + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(32))) + np.arange(samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 yield x.view(np.int64), part["node"].to_numpy(), fp
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, node, fp in keys_of(batches):
-            yield pd.DataFrame({"key": key.ravel(), "node": np.repeat(node, SAMPLES), **{f"f{k}": np.repeat(fp[:, k], SAMPLES) for k in range(4)}})
+            yield pd.DataFrame({"key": key.ravel(), "node": np.repeat(node, samples), **{f"f{k}": np.repeat(fp[:, k], samples) for k in range(4)}})
 
     schema = "key long, node long, f0 long, f1 long, f2 long, f3 long"
     # At most BLOCKS keys for each sample of bits can hold more than one in BLOCKS of the nodes seen. Which are taken changes only how they are dealt.

@@ -156,6 +156,22 @@ def wide_components(spark, fps, radius=44):
     return [sets.root(i) for i in range(len(fps))]
 
 
+def test_meeting_chance_holds_at_every_size(spark):
+    for count in (0, 1, 9_000, 200_000, 11_000_000, 1 << 40):
+        size, samples = simhash.sampling(count, 44)
+        assert (1 - simhash.meeting(size, 44)) ** samples <= 0.0011, count
+    # At the size for eleven million nodes, pairs at the radius itself are still found.
+    rng = np.random.default_rng(6)
+    one = rng.integers(-(1 << 63), 1 << 63, (200, 4))
+    fps = np.concatenate([one, [flipped(x, rng.choice(256, 44, replace=False)) for x in one]])
+    sampling, simhash.sampling = simhash.sampling, lambda count, radius: sampling(11_000_000, radius)
+    try:
+        roots = wide_components(spark, fps)
+    finally:
+        simhash.sampling = sampling
+    assert sum(a == b for a, b in zip(roots[:200], roots[200:], strict=True)) >= 198
+
+
 def test_copies_behind_a_stranger_are_compared():
     """Each key has a stranger first, then two copies of each other."""
     rng = np.random.default_rng(3)

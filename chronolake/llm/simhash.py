@@ -339,6 +339,28 @@ def _frame(pairs: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _meetings(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Over rows (key, node, f0 to f3) sorted by (key, node): each node within the radius of the first one with its key, linked to it. :func:`wide_links` doesn't use it: it compares all nodes of a key, by :func:`_compared`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for b in batches:
+            key, node = b["key"].to_numpy(), b["node"].to_numpy()
+            if not len(key):
+                continue
+            fp = np.stack([b[f"f{k}"].to_numpy() for k in range(4)], 1)
+            start = np.r_[last is None or last[0] != key[0], key[1:] != key[:-1]]
+            place = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
+            first, near = node[place], fp[place]
+            if last is not None:
+                first[place < 0], near[place < 0] = last[1], last[2]
+            last = (key[-1], first[-1], near[-1])
+            meet = (first != node) & (_apart(fp, near) <= radius)
+            yield _frame(forest(np.unique(np.stack([first[meet], node[meet]], 1), axis=0)))
+
+    return run
+
+
 #: Nodes of a bucket that are compared all with all at once; more are compared node by node.
 SQUARE = 1024
 #: A key that a sample shows to have more than one in so many of all nodes is searched block pair by block pair.
@@ -374,7 +396,7 @@ def joined(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _meetings(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _compared(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Over rows (key, node, f0 to f3) sorted by key: links that join all nodes of a key within the radius, those that join nothing new left out. Holds one key's nodes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -478,7 +500,7 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
                 yield f.iloc[own[met]].assign(key=(key[own[met]].view(np.uint64) ^ pair).view(np.int64))
 
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = nodes.mapInPandas(spread, schema).repartition(n, "key").sortWithinPartitions("key").mapInPandas(_meetings(radius), "a long, b long")
+    met = nodes.mapInPandas(spread, schema).repartition(n, "key").sortWithinPartitions("key").mapInPandas(_compared(radius), "a long, b long")
     return materialize(met, "met").coalesce(max(1, n // 16)).mapInPandas(_thinned, "a long, b long")
 
 

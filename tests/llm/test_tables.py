@@ -179,7 +179,7 @@ def test_copies_behind_a_stranger_are_compared():
     fps[2] = flipped(fps[1], range(30))
     rows = pd.DataFrame({"key": 5, "node": [0, 1, 2], **{f"f{k}": fps[:, k] for k in range(4)}})
     for batches in ([rows], [rows[:1], rows[1:2], rows[2:]]):
-        got = pd.concat(simhash._meetings(44)(iter(batches)))
+        got = pd.concat(simhash._compared(44)(iter(batches)))
         assert [sorted(x) for x in got.to_numpy().tolist()] == [[1, 2]]
 
 

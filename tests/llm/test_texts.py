@@ -145,6 +145,23 @@ def test_language_learns_and_rejects(spark):
     assert kept.columns == d.columns and kept.where("doc_id = 900").count() == 0
 
 
+def test_unlearned_languages_are_rejected(spark):
+    """The threshold is that of the calibration rows: right rows stay, letters of no learned language go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    right = [p for r in docs.where("lang is not null and length(text) > 100").where(langid.held_out(F.col("doc_id"))).collect() if (p := model.predict(r.text))[0] == r.lang]
+    assert len(right) > 100 and sum(p[2] for p in right) <= max(2, 0.01 * len(right))
+    rng = random.Random(3)
+    other = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)),
+    ]
+    assert [model.predict(t)[2] for t in other] == [True] * len(other)
+
+
 def test_language_without_labels(spark):
     d = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert langid.identify(d).collect()[0].lang_pred == "und"

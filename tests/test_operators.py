@@ -184,6 +184,21 @@ def test_lower_bound_is_one(spark):
     assert np.allclose(distance.barycentre(np.stack([a[0], a[0]])), a[0])
 
 
+def test_dtw_nearest_is_brute_force(spark, tmp_path):
+    """Every row whose id is divisible by 50 is a query, against all other rows."""
+    from chronolake.plans.watch_queries import dtw_nearest
+
+    rng = np.random.default_rng(12)
+    x = np.cumsum(rng.normal(size=(160, 16)), 1)
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.query_id: r for r in dtw_nearest(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 50, 100, 150]
+    for i, r in got.items():
+        d, j = min((distance.dtw(x[i], x[j], 3), j) for j in range(len(x)) if j != i)
+        assert r.vec_id == j and math.isclose(r.d, d)
+
+
 def test_copula_and_walks(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=500)

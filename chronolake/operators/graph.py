@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.functions.metrics import running_before
 from chronolake.functions.windows import Names, names
 
 
@@ -84,12 +85,23 @@ def random_walk(spark, entities: int, steps: int, mu: float, sigma: float, start
     return r.select("entity", "t", (start * F.exp(F.sum("r").over(Window.partitionBy("entity").orderBy("t")))).alias("value"))
 
 
+def ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column's number of smaller rows in its place (nulls first), from counts by distinct value, so that no task orders the whole table."""
+    out = df.select(*columns)
+    for x in columns:
+        by = df.groupBy(F.col(x).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+        least = by.where("__v is null").select("__n").first()
+        below = running_before(by.where("__v is not null"), "__v", "__n", "__below").select("__v", "__below")
+        out = out.join(below, F.col(x) == F.col("__v"), "left").withColumn(x, F.coalesce(F.col("__below") + (least[0] if least else 0), F.lit(0))).drop("__v", "__below")
+    return out
+
+
 def copula_sample(df: DataFrame, columns: list[str], n: int, seed: int = 42, bins: int = 200) -> DataFrame:
     """Rows with the columns' margins (by ``bins`` quantiles) and their rank correlation, through a Gaussian copula."""
     q = [i / bins for i in range(bins + 1)]
     row = df.agg(*(F.percentile_approx(c, q).alias(c) for c in columns)).first()
     c = np.eye(len(columns))
-    ranked = df.select(*(F.percent_rank().over(Window.orderBy(x)).alias(x) for x in columns)) if df.count() <= 200_000 else df.select(*columns)
+    ranked = ranks(df, columns)
     cells = [(i, j) for i in range(len(columns)) for j in range(i)]
     for (i, j), v in zip(cells, ranked.agg(*(F.corr(columns[i], columns[j]) for i, j in cells)).first() if cells else [], strict=True):
         c[i, j] = c[j, i] = 2 * math.sin(math.pi / 6 * (v or 0))

@@ -207,6 +207,23 @@ def test_copula_and_walks(spark):
     assert graph.random_walk(spark, 2, 10, 0.0, 0.01).where("t = 0 and value = 100").count() == 2
 
 
+def test_ranks(spark):
+    rng = np.random.default_rng(4)
+    x = pd.DataFrame({"x": rng.integers(0, 40, 300).astype(float), "y": np.exp(3 * rng.normal(size=300))})
+    x.loc[::17, "x"] = None
+    d = spark.createDataFrame([(i, None if math.isnan(a) else float(a), float(b)) for i, (a, b) in enumerate(x.to_numpy())], "i long, x double, y double")
+    got = sorted((r.x, r.y) for r in graph.ranks(d, ["x", "y"]).collect())
+    assert got == sorted(zip(x["x"].rank(method="min", na_option="top").astype(int) - 1, x["y"].rank(method="min").astype(int) - 1, strict=True))
+
+
+def test_copula_of_ranks_at_every_size(spark):
+    """A skewed pair in the same order: the ranks agree, while the values hardly correlate."""
+    for n in (2_000, 200_100):
+        d = spark.range(n).select(F.exp(3 * F.randn(5)).alias("x")).withColumn("y", -1 / F.col("x"))
+        made = graph.copula_sample(d, ["x", "y"], 400).toPandas()
+        assert made["x"].rank().corr(made["y"].rank()) > 0.98, n
+
+
 def test_empty_series(spark):
     none = frame(spark, [])
     assert spine.completeness(none, "entity", "ts").count() == 0

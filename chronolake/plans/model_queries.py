@@ -362,6 +362,12 @@ def crps_samples(spark: SparkSession, d: str) -> DataFrame:
     return rounded(probabilistic.crps_samples(b.withColumn("zero", F.lit(0.0)), "entity", "zero", "e7"), 3)
 
 
+@query()
+def crps_samples_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`crps_samples`, whose SQL compares 60 days of each entity with each other, but over all days."""
+    return rounded(probabilistic.crps_samples(baselines(spark, d).where("e7 is not null").withColumn("zero", F.lit(0.0)), "entity", "zero", "e7"), 3)
+
+
 @query()
 def adaptive_conformal(spark: SparkSession, d: str) -> DataFrame:
     return probabilistic.adaptive_conformal(baselines(spark, d).select("entity", "ts", "y", "f7"), "entity", "ts", "y", "f7")

@@ -184,6 +184,18 @@ def test_lower_bound_is_one(spark):
     assert np.allclose(distance.barycentre(np.stack([a[0], a[0]])), a[0])
 
 
+def test_crps_takes_every_day(spark):
+    from chronolake.plans import model_queries
+
+    sf = "/root/testdata/sf0.001"
+    every = model_queries.baselines(spark, sf).where("e7 is not null").select("entity", "e7").toPandas()
+    got = {r.entity: r.crps for r in model_queries.crps_samples_whole(spark, sf).collect()}
+    assert every.groupby("entity").size().max() > 60 and sorted(got) == sorted(every["entity"].unique())
+    for k, x in every.groupby("entity")["e7"]:
+        v = x.to_numpy(float)
+        assert abs(got[k] - (np.abs(v).mean() - 0.5 * np.abs(v[:, None] - v[None]).mean())) < 0.00051
+
+
 def test_dtw_nearest_is_brute_force(spark, tmp_path):
     """Every row whose id is divisible by 50 is a query, against all other rows."""
     from chronolake.plans.watch_queries import dtw_nearest

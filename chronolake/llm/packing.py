@@ -1,19 +1,19 @@
 """Harmonic packing of token ids into sequences of fixed capacity.
 
-Class k holds pieces of ``capacity // k`` ids, and k of them fill a sequence. A document is cut
-greedily: as many ids as the widest class that it still fills, then the same with the rest, down to
-the last few ids (fewer than ``capacity // classes``), whose length is a class of its own. So every
-class has one length, a sequence of a class always takes the same number of pieces, and each worker
-fills its sequences alone, without a shuffle. What a sequence of a class leaves empty is less than
-one of its pieces could use and at most ``classes`` ids. Classes that are part full when a worker
-ends are laid end to end, cut at the capacity; the last such run is cut at powers of two, which need
-no padding.
+A document of length in (capacity / (k + 1), capacity / k] is of class k and stays whole: k documents
+of a class share a sequence, so each worker fills its sequences by count alone, without a shuffle.
+What they leave free is filled by documents that come later: whole where one fits, and cut to fit once
+much room is free. So sequences have next to no padding, and only cut fillers and documents over the
+capacity (whole sequences first, the rest as if it were a document) are in more than one piece.
+Lengths up to ``capacity // classes`` are one class, whose sequence is full when the next document
+doesn't fit. What is part full when a worker ends is laid end to end, cut at the capacity; the last such
+run is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,30 +26,27 @@ from chronolake.llm.common import give_back, steps
 from chronolake.llm.wordbpe import encoder
 
 CAPACITY, CLASSES, END = 4096, 64, 2
+#: Free ids of a sequence that are padded instead of filled, and free sequences' worth of room from which on documents are cut to fill it.
+SLACK, FREE = 32, 4
 
 
-def cuts(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[int]:
-    """Lengths of the pieces of ``n`` ids: whole sequences, then the widest class filled, again and again, then the rest."""
-    out = [capacity] * (n // capacity)
-    rest = n % capacity
-    while rest:
-        k = -(-capacity // rest)  # the first class whose pieces aren't longer than the rest, but for rounding
-        while capacity // k > rest:
-            k += 1
-        if k > classes:
-            out.append(rest)
-            break
-        out.append(capacity // k)
-        rest -= capacity // k
-    return out
+def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
+    """Lengths of the parts of ``n`` ids: whole sequences, then the rest."""
+    return [capacity] * (n // capacity) + [n % capacity] * (n % capacity > 0)
 
 
 class Packer:
-    """Takes pieces, gives placed pieces: (piece, sequence, offset). A piece is a tuple (key, start, length, ...)."""
+    """Takes pieces up to the capacity, gives placed pieces: (piece, sequence, offset). A piece is a tuple (key, start, length, ...).
 
-    def __init__(self, capacity: int, sequence: int, halve: Callable[[tuple, int], tuple[tuple, tuple]]) -> None:
-        self.capacity, self.sequence, self.halve = capacity, sequence, halve
+    Free room waits in ``open``; it is at most ``FREE + 1`` sequences' worth.
+    """
+
+    def __init__(self, capacity: int, sequence: int, halve: Callable[[tuple, int], tuple[tuple, tuple]], classes: int = CLASSES, slack: int = SLACK) -> None:
+        self.capacity, self.sequence, self.halve, self.classes, self.slack = capacity, sequence, halve, classes, slack
         self.waiting: dict[int, list[tuple]] = defaultdict(list)
+        self.short = 0
+        self.open: list[tuple[list[tuple], int]] = []
+        self.room = 0
 
     def _close(self, pieces: list[tuple]) -> Iterator[tuple[tuple, int, int]]:
         at = 0
@@ -58,16 +55,59 @@ class Packer:
             at += p[2]
         self.sequence += 1
 
+    def _full(self, k: int) -> Iterator[tuple[tuple, int, int]]:
+        """The sequence of a class, closed or left open for fillers."""
+        pieces = self.waiting.pop(k)
+        room = self.capacity - sum(p[2] for p in pieces)
+        if room <= self.slack:
+            yield from self._close(pieces)
+        else:
+            self.open.append((pieces, room))
+            self.room += room
+
+    def _fill(self, piece: tuple, at: int) -> Iterator[tuple[tuple, int, int]]:
+        """Put a piece into an open sequence, and what doesn't fit into those with most room."""
+        rest: tuple | None = piece
+        while rest:
+            piece, (pieces, room) = rest, self.open[at]
+            rest = None
+            if piece[2] > room:
+                piece, rest = self.halve(piece, room)
+            pieces.append(piece)
+            self.room -= piece[2]
+            if piece[2] + self.slack < room:
+                self.open[at] = (pieces, room - piece[2])
+            else:
+                self.room -= room - piece[2]
+                self.open.pop(at)
+                yield from self._close(pieces)
+            if rest:
+                at = max(range(len(self.open)), key=lambda i: self.open[i][1])
+
     def add(self, piece: tuple) -> Iterator[tuple[tuple, int, int]]:
-        queue = self.waiting[piece[2]]
-        queue.append(piece)
-        if len(queue) == self.capacity // piece[2]:
-            del self.waiting[piece[2]]
-            yield from self._close(queue)
+        n = piece[2]
+        fits = [i for i, (_, room) in enumerate(self.open) if room >= n]
+        if fits:
+            yield from self._fill(piece, min(fits, key=lambda i: self.open[i][1]))
+            return
+        if self.room >= max(FREE * self.capacity, n + self.slack * len(self.open)):
+            yield from self._fill(piece, max(range(len(self.open)), key=lambda i: self.open[i][1]))
+            return
+        k = min(self.capacity // n, self.classes)
+        if k == self.classes:
+            if self.short + n > self.capacity:
+                yield from self._full(k)
+                self.short = 0
+            self.short += n
+        self.waiting[k].append(piece)
+        if k < self.classes and len(self.waiting[k]) == k:
+            yield from self._full(k)
 
     def finish(self) -> Iterator[tuple[tuple, int, int]]:
-        rest = [p for n in sorted(self.waiting, reverse=True) for p in self.waiting[n]]
+        rest = deque(p for pieces in [*(x for x, _ in self.open), *(self.waiting[k] for k in sorted(self.waiting))] for p in pieces)
+        self.open.clear()
         self.waiting.clear()
+        self.room = self.short = 0
         left = sum(p[2] for p in rest)
         while rest:
             # A whole sequence while there is one, then the greatest power of two that is left.
@@ -75,10 +115,10 @@ class Packer:
             left -= room
             run = []
             while room:
-                p = rest.pop(0)
+                p = rest.popleft()
                 if p[2] > room:
                     p, tail = self.halve(p, room)
-                    rest.insert(0, tail)
+                    rest.appendleft(tail)
                 run.append(p)
                 room -= p[2]
             yield from self._close(run)
@@ -131,7 +171,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     ids = np.append(ids, np.int32(end)).astype("<i4")
                     start = 0
                     for n in cuts(len(ids), capacity):
-                        placed += packer.add((keys[at], start, n, len(ids), ids[start : start + n].copy()))
+                        placed += packer.add((keys[at], start, n, len(ids), ids if n == len(ids) else ids[start : start + n].copy()))
                         start += n
                     at += 1
                 if placed:

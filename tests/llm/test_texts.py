@@ -264,6 +264,47 @@ def test_packing_holds_every_id_once(docs):
     assert sum(0 if n & (n - 1) == 0 else 4096 - n for n in used.values()) <= 0.02 * total + 64
 
 
+def test_packing_keeps_documents_whole_and_in_order():
+    """Every document's ids come back in order, each once; sequences are full and most documents whole."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    lengths = [*rng.geometric(1 / 500, 4_000).tolist(), *rng.integers(1, 4097, 1_000).tolist(), *[4095] * 50, *[1] * 300, 4096, 4097, 20_000, 2048, 2049]
+    rng.shuffle(lengths)
+    docs = [np.arange(i * 100_000, i * 100_000 + n) for i, n in enumerate(lengths)]
+    packer = packing.Packer(4096, 7, lambda p, n: ((*p[:2], n, p[3], p[4][:n]), (p[0], p[1] + n, p[2] - n, p[3], p[4][n:])))
+    out = []
+    for i, ids in enumerate(docs):
+        start = 0
+        for n in packing.cuts(len(ids)):
+            out += packer.add((i, start, n, len(ids), ids[start : start + n]))
+            start += n
+        assert packer.room <= (packing.FREE + 1) * 4096
+    out += packer.finish()
+    back, used = {}, Counter()
+    for p, sequence, offset in out:
+        assert offset == used[sequence] and p[2] == len(p[4]) > 0
+        used[sequence] += p[2]
+        back.setdefault(p[0], []).append((p[1], p[4]))
+    for i, ids in enumerate(docs):
+        assert np.concatenate([x for _, x in sorted(back[i], key=lambda q: q[0])]).tolist() == ids.tolist()
+    assert min(used) == 7 and max(used.values()) == 4096
+    assert sum(0 if n & (n - 1) == 0 else 4096 - n for n in used.values()) <= 0.005 * sum(lengths)
+    fits = [i for i, n in enumerate(lengths) if n <= 4096]
+    assert sum(len(back[i]) == 1 for i in fits) >= 0.85 * len(fits)
+    assert len(out) <= 1.25 * len(docs)
+
+
+def test_packed_table_is_the_encoded_table(spark):
+    texts = [f"{'word ' * (i * 37 % 900)}end {i}" for i in range(120)] + ["long " * 9_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    t, got = Tokenizer.from_file(WORDS), {}
+    for r in packing.pack(d, WORDS).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.ids))
+    for i, text in enumerate(texts):
+        assert [x for _, ids in sorted(got[i]) for x in ids] == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_packing_empty(docs):
     assert packing.pack(docs.where("false"), WORDS).collect() == []
 

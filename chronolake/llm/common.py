@@ -19,10 +19,12 @@ STEP_CHARS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests on one machine), a temporary folder takes its place.
+    Where the setting is absent on one machine, a temporary folder takes its place; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="chronolake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/chronolake-{uuid.uuid4().hex}"
@@ -39,6 +41,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def luck(*columns: Column | str) -> Column:
+    """A number from 0 up to 1 made of the columns' hash: rows below a share are a sample of about that share."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     """Delete a folder through the file system that its address names."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)

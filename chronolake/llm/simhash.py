@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import materialize, text_struct
+from chronolake.llm.common import luck, materialize, text_struct
 
 BITS = 64
 SEED = 42
@@ -119,14 +119,20 @@ def allot(costs: list[list[float]], total: int) -> list[int]:
 def plan(nodes: DataFrame, radius: int, sample: int = SAMPLE) -> list[tuple[list[int], int]]:
     """Pairs of (bits of a part, threshold), unused parts left out.
 
-    Looks at up to ``sample`` fingerprints, those of least hash, and tries two to six parts. Which
-    plan is taken changes only the cost: each finds all pairs within the radius.
+    Looks at up to ``sample`` fingerprints, those of least hash, and tries two to six parts (more for
+    a wide radius, since a threshold is 2 at most). Which plan is taken changes only the cost: each
+    finds all pairs within the radius, which has to be below the number of bits.
     """
+    if not 0 <= radius < BITS:
+        raise ValueError(f"the radius has to be from 0 to {BITS - 1}")
     n = nodes.count()
-    taken = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64)
+    # Twice the sample and some more come to the sort, not every node of every task.
+    some = nodes.select("fp").where(luck("fp", F.lit(1)) < min(1.0, (2.0 * sample + 100) / max(n, 1)))
+    taken = some.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64)
     bits = np.unpackbits(taken.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(taken) else np.zeros((0, BITS), np.uint8)
     plans = []
-    for m in range(2, min(6, radius + 3) + 1):
+    least = max(2, -(-(radius + 1) // 3))
+    for m in range(least, max(least, min(6, radius + 3)) + 1):
         parts = correlated_parts(bits.astype(np.float32), m)
         costs = [estimate(bits, p, min(radius, 2), n) for p in parts]
         chosen = allot(costs, radius - m + 1)
@@ -223,25 +229,39 @@ def _search(radius: int, bucket: int) -> Callable[[Iterator[pd.DataFrame]], Iter
     return run
 
 
-def by_flips(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links among ``nodes`` (fp) within the radius: nodes meet at the fingerprints within half the radius of both.
+def by_flips(nodes: DataFrame) -> DataFrame:
+    """Links among ``nodes`` (fp) within 2 bits: nodes meet at the fingerprints one flip away from them.
 
-    For an even radius, all pairs that meet are within it, so each links to the least node it meets. Keys
-    of one node only go away before anything is joined.
+    All pairs that meet are within 2 bits, so each links to the least node it meets. Keys of one node
+    only go away before anything is joined.
     """
-    if radius % 2:
-        raise ValueError("an even radius is needed")
-    reach = nodes.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(f)) for f in _flips(list(range(BITS)), radius // 2)))).alias("key"))
+    reach = nodes.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(f)) for f in _flips(list(range(BITS)), 1)))).alias("key"))
     groups = reach.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("top"), F.collect_list("fp").alias("all")).where("a <> top")
     return groups.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
 
 
+#: Nodes of a block that :func:`by_blocks` compares with another block's, on average.
+BLOCK = 4096
+
+
+def by_blocks(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Links among ``nodes`` (fp) within any radius: every pair of blocks is searched as a bucket of its own, so a task holds two blocks."""
+    g = max(1, math.ceil(nodes.count() / block))
+    own = F.pmod(F.xxhash64("fp"), F.lit(g)).cast("int").alias("own")
+    dealt = nodes.select("fp", own, F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("other"))
+    pairs = dealt.select(F.least("own", "other").alias("part"), F.greatest("own", "other").cast("long").alias("value"), "fp")
+    n = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.repartition(n, "part", "value").sortWithinPartitions("part", "value", "fp").mapInPandas(_search(radius, 1 << 62), "a long, b long")
+
+
 def links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET, parts: list[tuple[list[int], int]] | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints whose components are those of all pairs within the radius.
 
     ``nodes`` has one column ``fp`` without repeats and should be a written table. Values that a
     thousandth of all probes share go to the flips directly, so that no task gets them all; there can
-    be a thousand such values at most, which bounds their broadcast.
+    be a thousand such values at most, which bounds their broadcast. For any radius but 2
+    nodes of large buckets are searched by pairs of blocks instead:
+    exact too, but quadratic in their number. The radius has to be below the number of bits.
     """
     parts = plan(nodes, radius) if parts is None else parts
     dealt = nodes.select("fp", F.explode(probes(F.col("fp"), parts)).alias("p")).select("p.part", "p.value", "fp")
@@ -255,7 +275,8 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET, parts: list[t
     n = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = materialize(rare.repartition(n, "part", "value").sortWithinPartitions("part", "value", "fp").mapInPandas(_search(radius, bucket), "a long, b long"), "found")
     crowded = found.where("b is null").select(F.col("a").alias("fp")).union(hot).distinct()
-    return found.where("b is not null").union(by_flips(crowded, radius))
+    more = by_flips(crowded) if radius == 2 else by_blocks(materialize(crowded, "crowded"), radius)
+    return found.where("b is not null").union(more)
 
 
 # ---------------------------------------------------------------- components
@@ -303,10 +324,14 @@ def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
     return np.packbits(2 * counts > len(h), bitorder="little").view("<i8")
 
 
-def wide_radius(similarity: float) -> int:
-    """Differing bits to allow for a Jaccard similarity: those expected of equally large sets, and one standard error."""
+#: Standard errors over the expected number of differing bits that a link allows: of pairs at the similarity itself, 19 in 20 lie within.
+ERRORS = 1.7
+
+
+def wide_radius(similarity: float, errors: float = 1.0) -> int:
+    """Differing bits to allow for a Jaccard similarity: those expected of equally large sets, and ``errors`` standard errors."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE_BITS * p + np.sqrt(WIDE_BITS * p * (1 - p)))
+    return int(WIDE_BITS * p + errors * np.sqrt(WIDE_BITS * p * (1 - p)))
 
 
 def meeting(size: int, far: int) -> float:
@@ -430,23 +455,17 @@ def _compared(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return run
 
 
-def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's links without those that join nothing new."""
-    held = [np.zeros((0, 2), np.int64), *(np.stack([b["a"].to_numpy(), b["b"].to_numpy()], 1) for b in batches)]
-    yield _frame(forest(np.concatenate(held)))
-
-
 def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) between nodes (``node``, ``fp`` of four longs) within a wide radius, each verified by all bits.
 
-    Thresholds that make sure of every pair need too many probes here: 44 of 256 bits would take
+    Thresholds that make sure of every pair need too many probes here: 48 of 256 bits would take
     hundreds of probes for each part. So the parts are many samples of bits, their threshold 0, and a
     pair is found with a probability: the number of samples grows with their bits (:func:`sampling`), so
     that at any number of nodes it is 1 - :data:`MISS` at the radius itself and more below it. All nodes of a bucket are compared (see :func:`joined`). A bucket
     that a sample of the nodes shows to be large isn't gathered: it is cut into blocks, and each pair
     of blocks is searched as a bucket of its own. A block has a fixed share of all nodes, so the rows
     grow with the input, not with its square. Links that join nothing new go away task by task,
-    which changes no component.
+    which changes no component, so there are fewer than nodes times tasks.
     """
     spark = nodes.sparkSession
     count = nodes.count()
@@ -475,7 +494,8 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
 
     schema = "key long, node long, f0 long, f1 long, f2 long, f3 long"
     # At most BLOCKS keys for each sample of bits can hold more than one in BLOCKS of the nodes seen. Which are taken changes only how they are dealt.
-    seen = nodes.orderBy("node").limit(SAMPLE).mapInPandas(deal, schema).groupBy("key").agg(F.count("*").alias("n"))
+    share = min(1.0, SAMPLE / max(count, 1))
+    seen = nodes.where(luck("node") < share).mapInPandas(deal, schema).groupBy("key").agg(F.count("*").alias("n"))
     few = min(count, SAMPLE)
     large = seen.where(F.col("n") > max(64, few // BLOCKS)).toPandas().sort_values("key")
     known, blocks = large["key"].to_numpy(np.int64), np.ceil(large["n"].to_numpy(np.float64) * BLOCKS / max(few, 1)).astype(np.int64).clip(2)
@@ -501,24 +521,35 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
 
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = nodes.mapInPandas(spread, schema).repartition(n, "key").sortWithinPartitions("key").mapInPandas(_compared(radius), "a long, b long")
-    return materialize(met, "met").coalesce(max(1, n // 16)).mapInPandas(_thinned, "a long, b long")
+    return met
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per document: id and ``component_id``, the least id among documents whose wide fingerprints are linked.
-
-    For texts of a similarity (of their sets of shingles) of ``similarity`` or more. Null and empty
-    texts are copies of each other. Ids are handled as in :func:`near_duplicates`.
-    """
+def _wide_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """A written table with a row per document: ``id``, ``mark`` (a hash of the text), ``fp``, ``node`` (a hash of ``fp``)."""
 
     def run(texts: list) -> dict:
         return {"fp": [wide_fingerprint(t, words) for t in texts]}
 
-    fp = text_struct(F.col(text_col).cast("string"), "fp array<long>", lambda: run)["fp"]
-    prints = materialize(docs.select(F.col(id_col).alias("id"), fp.alias("fp")).withColumn("node", F.xxhash64("fp")), "prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp")), "nodes")
-    roots = components(materialize(wide_links(nodes.select("node", "fp"), wide_radius(similarity)), "links"))
-    return _named(prints, nodes, roots, "node").select(F.col("id").alias(id_col), "component_id")
+    text = F.col(f"`{text_col}`").cast("string")
+    fp = text_struct(text, "fp array<long>", lambda: run)["fp"]
+    return materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), fp.alias("fp")).withColumn("node", F.xxhash64("fp")), "prints")
+
+
+def _grouped(prints: DataFrame, first: Column, radius: int) -> DataFrame:
+    """``prints`` with ``component_id``, the least ``first`` of the linked nodes; nulls in it don't count."""
+    nodes = materialize(prints.groupBy("node").agg(F.min(first).alias("least"), F.min("fp").alias("fp")), "nodes")
+    return _named(prints, nodes, components(materialize(wide_links(nodes.select("node", "fp"), radius), "links")), "node")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, errors: float = ERRORS) -> DataFrame:
+    """One row per document: id and ``component_id``, the least id among documents whose wide fingerprints are linked.
+
+    For texts of a similarity (of their sets of shingles) of ``similarity`` or more. A pair at that
+    similarity lies ``errors`` standard errors inside the radius, and pairs somewhat below it are linked
+    too. Null and empty texts are copies of each other. Ids are handled as in :func:`near_duplicates`.
+    """
+    found = _grouped(_wide_prints(docs, id_col, text_col, words), F.col("id"), wide_radius(similarity, errors))
+    return found.select(F.col("id").alias(id_col), "component_id")
 
 
 def _named(prints: DataFrame, nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
@@ -542,17 +573,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _named(prints, nodes, roots, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, errors: float = ERRORS) -> DataFrame:
     """One document of each component of :func:`near_copies`, the one with the least id, all columns as they were.
 
-    What goes is joined away by id, as a written table whose size Spark knows. Rows that repeat an id
-    stay once. A row without an id can't be named by another: it stays.
+    A document is an id and a text: rows that repeat an id with other texts are judged on their own, so
+    no text goes but for a copy of it. Of texts with the same least id in one component, that with the
+    least hash stays; of rows that repeat id and text, that with the least hash of all columns (but maps). A row
+    without an id can't be named by another: it stays. What goes is joined away by id and hash of the
+    text, as a written table whose size Spark knows.
     """
-    found = near_copies(docs, id_col, text_col, words, similarity).select(F.col(id_col).alias("__id"), "component_id")
-    by_id = materialize(found.where("__id is not null").groupBy("__id").agg(F.min("component_id").alias("root"), F.count("*").alias("n")), "by_id")
-    gone = materialize(by_id.where("__id <> root or n > 1").select("__id"), "gone")
-    kept = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
-    again = by_id.where("__id = root and n > 1").select("__id")
+    prints = _wide_prints(docs, id_col, text_col, words)
+    first = F.when(F.col("id").isNotNull(), F.struct("id", "mark"))
+    found = _grouped(prints, first, wide_radius(similarity, errors)).where("id is not null")
+    by_row = materialize(found.groupBy("id", "mark").agg((F.min("component_id") == F.struct("id", "mark")).alias("stays"), F.count("*").alias("n")), "by_row")
+    gone = materialize(by_row.where("not stays or n > 1").select(F.col("id").alias("__gone_id"), F.col("mark").alias("__gone_mark")), "gone")
+    own = docs[f"`{id_col}`"], F.xxhash64(docs[f"`{text_col}`"].cast("string"))
+    kept = docs.join(gone, (own[0] == gone["__gone_id"]) & (own[1] == gone["__gone_mark"]), "left_anti")
+    again = by_row.where("stays and n > 1").select(F.col("id").alias("__again_id"), F.col("mark").alias("__again_mark"))
     if not again.limit(1).count():
         return kept
-    return kept.unionByName(docs.join(again, docs[id_col] == again["__id"], "left_semi").dropDuplicates([id_col]))
+    rows = docs.join(again, (own[0] == again["__again_id"]) & (own[1] == again["__again_mark"]), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    packed = rows.select(F.struct(*columns).alias("row"), F.xxhash64(*plain).alias("hash"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark"))
+    return kept.unionByName(packed.groupBy("id", "mark").agg(F.min_by("row", "hash").alias("row")).select("row.*"))

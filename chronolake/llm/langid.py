@@ -4,7 +4,8 @@ A text becomes its letters in lower case with single spaces between words. Its s
 runs of two to four code points, hashed into ``2**HASH_BITS`` rows of an embedding table; their mean,
 times a class matrix, gives the logits. Both matrices are trained by stochastic gradient descent in
 numpy on a bounded sample of labelled rows. Part of that sample isn't trained on: it sets the
-temperature of the softmax and the score below which a prediction counts as rejected.
+temperature of the softmax and, beside the same texts with their letters in another order, the score
+below which a prediction counts as rejected.
 
 A prediction sees the whole text and nothing else. Since the model is linear after the mean, both
 matrices are multiplied once before prediction, which changes nothing but the cost.
@@ -17,18 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import text_struct
+from chronolake.llm.common import luck, materialize, text_struct
 
 UNKNOWN = "und"
 HASH_BITS = 15
 GRAMS = (2, 3, 4)
-#: Labelled rows that a model is fitted on at most, characters of their text in all, and languages it can learn.
-TRAIN_ROWS, TRAIN_CHARS, MAX_LANGS = 2_000, 8_000_000, 256
-#: Share of the sample kept for calibration, and of right calibration rows that rejection may cost.
-HELD, COST = 0.25, 0.001
+#: Labelled rows that a model is fitted on at most (one of each language at least), and characters of their text in all.
+TRAIN_ROWS, TRAIN_CHARS = 2_000, 8_000_000
+#: Share of the sample kept for calibration, of right calibration rows that rejection may cost, and of scrambled ones that it should catch.
+HELD, COST, CATCH = 0.25, 0.001, 0.99
 
 _MIX = np.uint32(0x9E3779B1)
 _LETTER = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x10000)), np.uint8)
@@ -140,23 +141,43 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 6, r
             bias -= 0.05 * lr * err
             emb[at] -= lr * w[:, None] * back
     model = Model(langs, emb @ cls, bias, 1.0, 0.0)
-    return calibrated(model, [rows[i] for i in held], y[held])
+    return calibrated(model, [rows[i] for i in held], y[held], [counts(scrambled(texts[i], rng)) for i in held])
 
 
-def calibrated(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
-    """Choose the temperature of least log loss on rows not trained on, then the score that all but a small share of the right ones reach."""
-    z = [c @ model.table[at] / c.sum() + model.bias for at, c in rows if len(at)]
+def scrambled(text: str, rng: np.random.Generator) -> str:
+    """The text's letters in another order, its words as long as before: of no language."""
+    p = points(text).copy()
+    letters = np.flatnonzero(p != 32)
+    p[letters] = p[rng.permutation(letters)]
+    return p.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _scores(model: Model, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Logits of rows that have subwords."""
+    return np.array([c @ model.table[at] / c.sum() + model.bias for at, c in rows if len(at)])
+
+
+def calibrated(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, strange: list[tuple[np.ndarray, np.ndarray]] = ()) -> Model:
+    """Choose the temperature of least log loss on rows not trained on, then the score below which predictions are rejected.
+
+    That score is one that all but a share ``COST`` of the right rows reach. Some hundred rows don't show
+    how low one in a thousand goes, so it is a tenth lower, or less than that where ``strange`` rows,
+    of no language, need it to be caught.
+    """
+    z = _scores(model, rows)
     y = np.array([k for k, (at, _) in zip(y, rows, strict=True) if len(at)], np.int64)
     if not len(z):
         return model
-    z = np.array(z)
     grid = np.geomspace(0.2, 20, 60)
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = softmax(z / model.temperature)
     right = p.max(1)[p.argmax(1) == y]
-    # A tenth lower, since some hundred rows don't show how low one in a thousand goes.
-    model.least = float(np.quantile(right, COST) * 0.9) if len(right) else 0.0
+    if len(right):
+        most = float(np.quantile(right, COST))
+        odd = _scores(model, list(strange))
+        caught = float(np.quantile(softmax(odd / model.temperature).max(1), CATCH)) if len(odd) else 0.0
+        model.least = min(most, max(0.9 * most, caught))
     return model
 
 
@@ -168,27 +189,27 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Train on up to ``rows`` labelled rows that aren't held out, those whose text has the least hash.
 
-    Rows are chosen evenly by language: the languages, at most ``MAX_LANGS`` by number of rows, share
-    ``rows`` and ``chars``. Within a language, equal texts count once.
+    Rows are chosen evenly by language: all languages share ``rows`` and ``chars``, and each has one row
+    at least. Within a language, equal texts count once. Of a text longer than 20 average shares of
+    ``chars`` a stretch that long is taken, from a place that the text's hash names. Once ``chars`` are
+    reached, further rows are left out, the same number in each language but for one.
     """
     usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    found = usable.groupBy("lang").count().collect()
     if not found:
         return train([], [])
     each = max(1, rows // len(found))
     # A row is a candidate by its hash, so that about three times the rows asked for reach the sort.
-    share = F.lit(None).cast("double")
-    for r in found:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, (3.0 * each + 50) / r["count"]))).otherwise(share)
-    luck = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    fits = F.length("text") <= max(1, chars // rows) * 20
-    taken = usable.where(fits & (luck < share)).dropDuplicates(["lang", "text"])
-    from pyspark.sql import Window
-
-    ranked = taken.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))).where(F.col("n") <= each)
-    got = ranked.select("text", "lang", "n").toPandas().sort_values(["n", "lang"])
-    used = got["text"].str.len().cumsum() <= chars
-    got = got[used]
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (3.0 * each + 50) / r["count"])) for r in found], "lang string, share double")
+    most = max(1, chars // rows) * 20
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - most + 1, F.lit(1))) + 1
+    some = usable.join(F.broadcast(shares), "lang").where(luck("text") < F.col("share")).select("lang", F.xxhash64("text").alias("hash"), F.col("text").substr(place.cast("int"), F.lit(most)).alias("text"))
+    w = Window.partitionBy("lang").orderBy("hash", "text")
+    ranked = materialize(some.dropDuplicates(["lang", "hash", "text"]).withColumn("n", F.row_number().over(w)).where(F.col("n") <= each), "sample")
+    sizes = ranked.select("n", "lang", F.length("text").alias("size")).toPandas().sort_values(["n", "lang"])
+    sizes = sizes[sizes["size"].cumsum() <= chars]
+    last = int(sizes["n"].max()) if len(sizes) else 1
+    got = ranked.where(F.col("n") <= last).toPandas().sort_values(["n", "lang"])[: max(len(sizes), 1)]
     return train(got["text"].tolist(), got["lang"].tolist())
 
 

@@ -392,3 +392,93 @@ def test_normalising_a_stream():
 
 def test_shared_folder(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+# ---------------------------------------------------------------- near copies by similarity
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def damaged(rng, w, similarity):
+    """Words of ``w`` changed one by one until the shingles' similarity is just over the wanted one."""
+    out, places = list(w), list(range(len(w)))
+    rng.shuffle(places)
+    own = shingles(" ".join(w))
+    for at in places:
+        was, out[at] = out[at], f"x{rng.randrange(10**9)}"
+        other = shingles(" ".join(out))
+        if len(own & other) / len(own | other) < similarity:
+            out[at] = was
+            break
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("low", [0.8, 0.85, 0.9, 0.95])
+def test_recall_by_bands_of_similarity(spark, low):
+    """Planted pairs with a similarity from ``low`` to 0.05 more, each beside texts of other words: 0.9 of them lose a document, strangers none."""
+    rng = random.Random(int(low * 100))
+    rows, n = [], 120
+    for i in range(n):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 900))]
+        rows += [(i, " ".join(w)), (1_000 + i, damaged(rng, w, rng.uniform(low, low + 0.05)))]
+        rows.append((5_000 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(n)) | set(range(5_000, 5_000 + n)) <= kept
+    assert sum(1_000 + i not in kept for i in range(n)) >= 0.9 * n
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """Rows of one id with other texts are documents of their own; the choice doesn't hang on partitions or columns."""
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(200)) for x in "abc")
+    rows = [(1, a, "p", 1), (1, b, "q", 2), (1, b, "r", 3), (2, c, "s", 4), (3, a, "t", 5), (3, b + " more", "u", 6), (None, a, "v", 7), (4, None, "w", 8), (4, "", "x", 9)]
+    kinds = "doc_id long, text string, __id string, mark int"
+    found = []
+    for n in (1, 3):
+        d = spark.createDataFrame(rows, kinds).repartition(n)
+        kept = simhash.keep_first(d)
+        assert kept.columns == d.columns
+        found.append(sorted(map(str, kept.collect())))
+    assert found[0] == found[1]
+    texts = [r.split("text='")[1].split(" ")[0] if "text='" in r and "text=''" not in r else "" for r in found[0]]
+    assert sorted(texts) == sorted(["", a.split()[0], a.split()[0], b.split()[0], c.split()[0]])
+
+
+@pytest.mark.parametrize(("radius", "bucket"), [(0, 4), (1, 4), (3, 4), (3, 256), (5, 16), (20, 4)])
+def test_every_radius_works_at_every_size(spark, radius, bucket):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(-(1 << 63), 1 << 63, 20)
+    fps = {int(x) for x in base}
+    for x in base[:8]:
+        for _ in range(60):
+            y = int(x) & ((1 << 64) - 1)
+            for bit in rng.choice(24, rng.integers(0, 7), replace=False):
+                y ^= 1 << int(bit)
+            fps.add(y - (1 << 64) if y >> 63 else y)
+    nodes = spark.createDataFrame([(x,) for x in sorted(fps)], "fp long")
+    order = {x: i for i, x in enumerate(sorted(fps))}
+    got, want = simhash.Sets(len(order)), simhash.Sets(len(order))
+    for r in simhash.links(nodes, radius, bucket).collect():
+        got.join(order[r.a], order[r.b])
+    u = np.array(sorted(fps), np.int64).view(np.uint64)
+    for i in range(len(u)):
+        for j in np.flatnonzero(np.bitwise_count(u[:i] ^ u[i]) <= radius):
+            want.join(int(j), i)
+    assert [got.root(i) for i in range(len(u))] == [want.root(i) for i in range(len(u))]
+    with pytest.raises(ValueError):
+        simhash.plan(nodes, 64)
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())

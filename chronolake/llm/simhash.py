@@ -535,10 +535,31 @@ def _wide_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), fp.alias("fp")).withColumn("node", F.xxhash64("fp")), "prints")
 
 
+def stars(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the same components: each task of a read links every node to the least one that its own pairs lead to.
+
+    Tasks that know the same group give the same pairs, so these are distinct soon. A task holds the
+    pairs of its split.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [np.zeros((0, 2), np.int64), *(np.stack([b["a"].to_numpy(), b["b"].to_numpy()], 1) for b in batches)]
+        nodes, flat = np.unique(np.concatenate(held), return_inverse=True)
+        sets = Sets(len(nodes))
+        for i, j in flat.reshape(-1, 2).tolist():
+            sets.join(i, j)
+        root = np.array([sets.root(i) for i in range(len(nodes))], np.int64)
+        far = np.flatnonzero(root != np.arange(len(nodes)))
+        yield _frame(np.stack([nodes[root[far]], nodes[far]], 1)) if len(far) else _frame(np.zeros((0, 2), np.int64))
+
+    return pairs.mapInPandas(run, "a long, b long").distinct()
+
+
 def _grouped(prints: DataFrame, first: Column, radius: int) -> DataFrame:
     """``prints`` with ``component_id``, the least ``first`` of the linked nodes; nulls in it don't count."""
     nodes = materialize(prints.groupBy("node").agg(F.min(first).alias("least"), F.min("fp").alias("fp")), "nodes")
-    return _named(prints, nodes, components(materialize(wide_links(nodes.select("node", "fp"), radius), "links")), "node")
+    found = materialize(wide_links(nodes.select("node", "fp"), radius), "found")
+    return _named(prints, nodes, components(materialize(stars(found), "links")), "node")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, errors: float = ERRORS) -> DataFrame:

@@ -482,3 +482,19 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_stars_have_the_same_components(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    pairs = [(-a, b) for a, b in pairs if -a != b]
+    got = simhash.stars(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()
+    nodes = {x: i for i, x in enumerate(sorted({x for p in pairs for x in p}))}
+    one, two = simhash.Sets(len(nodes)), simhash.Sets(len(nodes))
+    for a, b in pairs:
+        one.join(nodes[a], nodes[b])
+    for a, b in got:
+        assert a < b
+        two.join(nodes[a], nodes[b])
+    assert [one.root(i) for i in range(len(nodes))] == [two.root(i) for i in range(len(nodes))]
+    assert simhash.stars(spark.createDataFrame([], "a long, b long")).collect() == []

@@ -324,8 +324,10 @@ def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
     return np.packbits(2 * counts > len(h), bitorder="little").view("<i8")
 
 
-#: Standard errors over the expected number of differing bits that a link allows: of pairs at the similarity itself, 19 in 20 lie within.
-ERRORS = 1.7
+#: Standard errors over the expected number of differing bits that a link allows: of pairs at the similarity itself, 9 in 10 lie within.
+ERRORS = 1.3
+#: Documents to leave out up to which their table goes to every executor instead of all texts through a shuffle.
+FEW = 1_000_000
 
 
 def wide_radius(similarity: float, errors: float = 1.0) -> int:
@@ -458,7 +460,7 @@ def _compared(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
 def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) between nodes (``node``, ``fp`` of four longs) within a wide radius, each verified by all bits.
 
-    Thresholds that make sure of every pair need too many probes here: 48 of 256 bits would take
+    Thresholds that make sure of every pair need too many probes here: 46 of 256 bits would take
     hundreds of probes for each part. So the parts are many samples of bits, their threshold 0, and a
     pair is found with a probability: the number of samples grows with their bits (:func:`sampling`), so
     that at any number of nodes it is 1 - :data:`MISS` at the radius itself and more below it. All nodes of a bucket are compared (see :func:`joined`). A bucket
@@ -601,13 +603,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no text goes but for a copy of it. Of texts with the same least id in one component, that with the
     least hash stays; of rows that repeat id and text, that with the least hash of all columns (but maps). A row
     without an id can't be named by another: it stays. What goes is joined away by id and hash of the
-    text, as a written table whose size Spark knows.
+    text: a written table, broadcast if it has no more than ``FEW`` rows.
     """
     prints = _wide_prints(docs, id_col, text_col, words)
     first = F.when(F.col("id").isNotNull(), F.struct("id", "mark"))
     found = _grouped(prints, first, wide_radius(similarity, errors)).where("id is not null")
     by_row = materialize(found.groupBy("id", "mark").agg((F.min("component_id") == F.struct("id", "mark")).alias("stays"), F.count("*").alias("n")), "by_row")
     gone = materialize(by_row.where("not stays or n > 1").select(F.col("id").alias("__gone_id"), F.col("mark").alias("__gone_mark")), "gone")
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
     own = docs[f"`{id_col}`"], F.xxhash64(docs[f"`{text_col}`"].cast("string"))
     kept = docs.join(gone, (own[0] == gone["__gone_id"]) & (own[1] == gone["__gone_mark"]), "left_anti")
     again = by_row.where("stays and n > 1").select(F.col("id").alias("__again_id"), F.col("mark").alias("__again_mark"))

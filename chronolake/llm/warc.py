@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyarrow import fs
@@ -31,8 +32,8 @@ from chronolake.llm.common import materialize, remove, shared_dir
 #: Raw bytes after which a writer begins another archive.
 ARCHIVE_BYTES = 32_000_000
 CHUNK = 1 << 20
-#: A header longer than this isn't one.
-HEADER_BYTES = 1 << 20
+#: A header longer than this isn't one; an address may be nearly as long.
+HEADER_BYTES = 1 << 28
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX_SUFFIX = ".index.jsonl"
 
@@ -51,6 +52,11 @@ def _line(value: object) -> str:
     return "" if value is None else re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
 
 
+def _id(value: object) -> str:
+    """An id of any kind in a header; numbers stay as they are."""
+    return quote(str(value), safe="")
+
+
 def record(page_id: object, url: str | None, payload: bytes, refers_to: object) -> bytes:
     """A response with its payload, or a revisit (``refers_to`` not null) with the HTTP header only."""
     digest = payload_digest(payload)
@@ -63,8 +69,8 @@ def record(page_id: object, url: str | None, payload: bytes, refers_to: object)
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", _line(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
-        *([("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to} {digest}')}>"), ("X-Refers-To-Page", refers_to)] if revisit else []),
-        *([("X-Page", page_id)] if page_id is not None else []),
+        *([("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to} {digest}')}>"), ("X-Refers-To-Page", _id(refers_to))] if revisit else []),
+        *([("X-Page", _id(page_id))] if page_id is not None else []),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", len(block)),
     ]
@@ -238,11 +244,11 @@ def normalise(archives: DataFrame, root: str, level: int = 6) -> DataFrame:
     return archives.select("archive").mapInPandas(run, "archive string, index string, records long")
 
 
-RECORDS = "page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORDS = "page_id string, uri string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
-def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row per record, each read alone at the offset that the sidecar index gives.
+def read_archives(archives: DataFrame, with_payload: bool = True, id_type: str = "long") -> DataFrame:
+    """One row per record, each read alone at the offset that the sidecar index gives. ``id_type`` is the type of the page ids.
 
     The length and digest of a response are those of the payload that was read; a digest other than
     the header's is an error. A revisit has no payload, its length and digest are its headers'.
@@ -266,7 +272,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                             if payload_digest(payload) != digest:
                                 raise ValueError(f"{uri}: the payload at {entry['offset']} has another digest than its header says")
                         page = fields.get("x-page")
-                        rows.append((page and int(page), fields.get("warc-target-uri"), fields["warc-type"], size, digest, refers and int(refers), payload if with_payload else None))
+                        rows.append((page and unquote(page), fields.get("warc-target-uri"), fields["warc-type"], size, digest, refers and unquote(refers), payload if with_payload else None))
                         held += size if with_payload else 100
                         if held > 16_000_000 or len(rows) >= 10_000:
                             yield _frame(rows)
@@ -274,12 +280,13 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    return archives.select("archive", "index").mapInPandas(run, RECORDS)
+    read = archives.select("archive", "index").mapInPandas(run, RECORDS)
+    return read.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["page_id", "uri", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"], dtype=object)
-    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+    return out.astype({"payload_bytes": "Int64"})
 
 
 def _json_lines(f: BinaryIO) -> Iterator[dict]:
@@ -294,7 +301,7 @@ def _json_lines(f: BinaryIO) -> Iterator[dict]:
 def archive_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write pages as archives, normalise them, and return the table of :func:`normalise`.
 
-    Null payloads count as empty, null ids stay null and are never referred to. Of rows with equal
+    Ids are numbers or text. Null payloads count as empty, null ids stay null and are never referred to. Of rows with equal
     payloads, all with the least id are responses, the others revisit it. The whole-file streams are deleted once all are normalised.
     """
     spark: SparkSession = pages.sparkSession

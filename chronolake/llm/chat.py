@@ -118,16 +118,21 @@ EXAMPLES = "conv string, example long, text string, loss_start long, loss_end lo
 def ordered(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv, role, text``: each conversation in one partition, in the order of its turns, sorted on disk where memory ends.
 
-    ``conv`` is the id as text, so that ids beside nulls keep all their digits in pandas.
+    ``conv`` is the id as text, so that ids beside nulls keep all their digits in pandas; ids may be
+    numbers or text. Turns are numbers.
     """
-    rows = turns.select(F.col(id_col).cast("long").cast("string").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    rows = turns.select(F.col(id_col).cast("string").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     n = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(n, "conv").sortWithinPartitions("conv", F.asc_nulls_first("turn"), "role", "text").select("conv", "role", "text")
 
 
 def examples(turns: DataFrame, **columns: str) -> DataFrame:
     """The examples of all conversations; a conversation's come together, in order. ``loss_start`` and ``loss_end`` are code points of ``text``."""
-    return ordered(turns, **columns).mapInPandas(expand, EXAMPLES).withColumn("conv", F.col("conv").cast("long"))
+    return ordered(turns, **columns).mapInPandas(expand, EXAMPLES).withColumn("conv", F.col("conv").cast(_id_type(turns, **columns)))
+
+
+def _id_type(turns: DataFrame, id_col: str = "conv_id", **_: str) -> str:
+    return turns.schema[id_col].dataType.simpleString()
 
 
 class _Reader:
@@ -186,4 +191,4 @@ def read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def digests(turns: DataFrame, **columns: str) -> DataFrame:
     """Format all conversations and read the examples back in the same task: one row per conversation."""
-    return ordered(turns, **columns).mapInPandas(lambda batches: read_back(expand(batches)), DIGESTS).withColumn("conv", F.col("conv").cast("long"))
+    return ordered(turns, **columns).mapInPandas(lambda batches: read_back(expand(batches)), DIGESTS).withColumn("conv", F.col("conv").cast(_id_type(turns, **columns)))

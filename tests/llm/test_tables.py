@@ -498,3 +498,15 @@ def test_stars_have_the_same_components(spark):
         two.join(nodes[a], nodes[b])
     assert [one.root(i) for i in range(len(nodes))] == [two.root(i) for i in range(len(nodes))]
     assert simhash.stars(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_long_addresses_and_text_ids(spark):
+    rows = [("p/1", "u" * 3_000_000, "same"), ("p 2\n", "v", "same"), ("", "w", "other"), (None, None, None)]
+    d = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to, len(r.uri)) for r in warc.read_archives(warc.archive_pages(d), id_type="string").collect()}
+    assert got == {"p/1": ("revisit", "p 2\n", 3_000_000), "p 2\n": ("response", None, 1), "": ("response", None, 1), None: ("response", None, 0)}
+
+
+def test_text_ids_of_conversations(spark):
+    d = spark.createDataFrame([("b", 0, "user", "x"), ("a", 0, "user", "y"), ("a", 1, "assistant", "z")], "conv_id string, turn long, role string, text string")
+    assert sorted((r.conv, r.n_turns) for r in chat.digests(d).collect()) == [("a", 2), ("b", 1)]

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.functions.windows import Names, expanding, gated, names, series, trailing, whole
+from chronolake.functions.windows import Names, centred, expanding, gated, names, series, trailing, whole
+from chronolake.operators.quantile import exact_quantiles
 
 
 def zscore(value: str, entity: Names) -> Column:
@@ -17,17 +18,19 @@ def zscore(value: str, entity: Names) -> Column:
 def spread(df: DataFrame, entity: Names, value: str) -> DataFrame:
     """Per entity: quartiles, and the median distance from the median (``mad``), by two aggregates."""
     keys = names(entity)
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75])
     q = q.select(*keys, *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
-    far = df.join(q.select(*keys, "median"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"), F.avg(F.abs(F.col(value) - F.col("median"))).alias("mean_dev"))
-    return q.join(far, keys)
+    # Without a row of its own for a group that has no value, its rows stay with nulls.
+    far = df.select(*keys, value).join(q.select(*keys, "median"), keys).withColumn("__far", F.abs(F.col(value) - F.col("median")))
+    mad = exact_quantiles(far, keys, "__far", [0.5], "__mad").select(*keys, F.col("__mad")[0].alias("mad"))
+    return q.join(mad, keys).join(far.groupBy(*keys).agg(F.avg("__far").alias("mean_dev")), keys)
 
 
 def outliers(df: DataFrame, entity: Names, value: str, z: float = 3.0, robust: float = 3.5, k: float = 1.5) -> DataFrame:
     """Adds ``z``, ``robust_z``, and flags by z-score, robust z-score and quartile fences. Sizes come from aggregates, joined back."""
     keys, v = names(entity), F.col(value)
     m = df.groupBy(*keys).agg(F.avg(v).alias("__m"), F.stddev_samp(v).alias("__s"))
-    d = df.join(m.join(spread(df, keys, value), keys), keys)
+    d = df.join(m.join(spread(df, keys, value), keys, "left"), keys)
     # Without any spread around the median, the mean distance takes the place of the median one.
     rz = F.when(F.col("mad") > 0, 0.6745 * (v - F.col("median")) / F.col("mad")).otherwise((v - F.col("median")) / (1.253314 * F.col("mean_dev") + 1e-8))
     d = d.withColumns({"z": (v - F.col("__m")) / F.col("__s"), "robust_z": rz})
@@ -42,6 +45,68 @@ def rolling_z(value: str, entity: Names, ts: Names, size: int) -> Column:
     return (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd)
 
 
+def centred_z(value: str, entity: Names, ts: Names, size: int) -> Column:
+    """Distance from the mean of a centred window in its deviations; windows of less than half the size give null."""
+    w = centred(entity, ts, size)
+    sd = gated(F.stddev_samp, value, w, max(2, size // 2))
+    return (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd)
+
+
+def rolling_fences(value: str, entity: Names, ts: Names, size: int, k: float = 1.5) -> dict[str, Column]:
+    """Quartile fences of the last ``size`` rows, full windows only, and a flag outside them."""
+    w = trailing(entity, ts, size)
+    full = F.count(value).over(w) == size
+    q1, q3 = F.percentile(value, 0.25).over(w), F.percentile(value, 0.75).over(w)
+    low, high = F.when(full, q1 - k * (q3 - q1)), F.when(full, q3 + k * (q3 - q1))
+    return {"low": low, "high": high, "outside": ((F.col(value) < low) | (F.col(value) > high)).cast("int")}
+
+
+def rolling_range(value: str, entity: Names, ts: Names, size: int) -> dict[str, Column]:
+    """Least and greatest of the ``size`` rows before, and whether the value leaves them; full windows only."""
+    w = series(entity, ts).rowsBetween(-size, -1)
+    full = F.count(value).over(w) == size
+    low, high = F.when(full, F.min(value).over(w)), F.when(full, F.max(value).over(w))
+    return {"low": low, "high": high, "outside": ((F.col(value) < low) | (F.col(value) > high)).cast("int")}
+
+
+def smoothed(score: str, entity: Names, ts: Names, size: int) -> dict[str, Column]:
+    """A score's mean and greatest value over the last ``size`` rows, however many there are."""
+    w = trailing(entity, ts, size)
+    return {"smooth_mean": F.avg(score).over(w), "smooth_max": F.max(score).over(w)}
+
+
+def norm_cusum(df: DataFrame, entity: Names, ts: str, channels: list[str], reference: int, k: float = 0.5, h: float = 5.0) -> DataFrame:
+    """One-sided cumulative sum ``s`` of the length of the vector of z-scores, in deviations of the first ``reference`` rows, less ``k`` and the reference's mean length."""
+    keys, w = names(entity), series(entity, ts)
+    n = df.withColumn("__i", F.row_number().over(w) - 1)
+
+    def ref(c: Column) -> Column:
+        return F.when(F.col("__i") < reference, c)
+
+    z = {f"__z{i}": (F.col(c) - F.avg(ref(F.col(c))).over(whole(keys))) / (F.stddev_pop(ref(F.col(c))).over(whole(keys)) + 1e-12) for i, c in enumerate(channels)}
+    n = n.withColumns(z).withColumn("__len", F.sqrt(sum((F.col(c) * F.col(c) for c in z), F.lit(0.0))))
+    n = n.withColumn("__x", F.col("__len") - F.avg(ref(F.col("__len"))).over(whole(keys)) - k)
+    n = n.withColumn("__p", F.sum("__x").over(expanding(keys, ts)))
+    s = n.withColumn("s", F.col("__p") - F.least(F.lit(0.0), F.min("__p").over(expanding(keys, ts))))
+    return s.withColumn("alarm", (F.col("s") > h).cast("int")).drop("__i", "__len", "__x", "__p", *z)
+
+
+def event_scores(df: DataFrame, entity: Names, index: str, columns: list[str], start: int, end: int, before: int, top: int = 3) -> DataFrame:
+    """Features most out of line in an event: mean over rows ``start`` to ``end`` in deviations of the ``before`` rows ahead of it; (feature, z, rank), the ``top`` of each entity."""
+    keys = names(entity)
+    long = df.where(F.col(index).between(start - before, end)).unpivot([*keys, index], columns, "feature", "__v")
+    base, now = F.when(F.col(index) < start, F.col("__v")), F.when(F.col(index) >= start, F.col("__v"))
+    z = long.groupBy(*keys, "feature").agg(((F.avg(now) - F.avg(base)) / (F.stddev_samp(base) + 1e-12)).alias("z"))
+    return z.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.abs("z").desc(), "feature"))).where(F.col("rank") <= top)
+
+
+def contributions(df: DataFrame, keys: Names, errors: list[str]) -> DataFrame:
+    """Each channel's percentage of a row's summed error: (keys, channel, pct)."""
+    total = sum((F.col(c) for c in errors[1:]), F.col(errors[0]))
+    parts = df.select(*names(keys), *((100 * F.col(c) / (total + 1e-12)).alias(c) for c in errors))
+    return parts.unpivot(names(keys), errors, "channel", "pct")
+
+
 def bands(value: str, entity: Names, ts: Names, size: int, k: float = 2.0) -> dict[str, Column]:
     """Moving mean with k deviations around it, and the place of the value between them; full windows only."""
     w = trailing(entity, ts, size)
@@ -80,8 +145,8 @@ def regions(df: DataFrame, entity: Names, index: str, flag: str, gap: int = 1) -
 
 def winsorized(df: DataFrame, entity: Names, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     keys = names(entity)
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__q"))
-    return df.join(q, keys).withColumn("winsorized", F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[1])).drop("__q")
+    q = exact_quantiles(df, keys, value, [low, high], "__q")
+    return df.join(q, keys, "left").withColumn("winsorized", F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[1])).drop("__q")
 
 
 def median_replaced(value: str, flag: str, entity: Names, ts: Names, size: int) -> Column:
@@ -123,7 +188,9 @@ def window_errors(df: DataFrame, entity: Names, index: str, errors: str) -> Data
 
 def isolation_forest(df: DataFrame, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 42, name: str = "iso_score") -> DataFrame:
     """Isolation scores: trees are grown on a bounded sample on the driver, all rows are scored on the executors."""
-    some = df.select(*columns).na.drop().orderBy(F.xxhash64(*columns)).limit(sample * 8).toPandas().to_numpy(float)
+    known = df.select(*columns).na.drop()
+    share = min(1.0, 16.0 * sample / max(known.count(), 1))
+    some = known.where(F.pmod(F.xxhash64(*columns, F.lit(1)), F.lit(1 << 30)) / float(1 << 30) <= share).orderBy(F.xxhash64(*columns)).limit(sample * 8).toPandas().to_numpy(float)
     rng = np.random.default_rng(seed)
 
     def mean_depth(n: int) -> float:

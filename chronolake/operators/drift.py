@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions.windows import Names, expanding, names, series, trailing
+from chronolake.operators.quantile import exact_quantiles
 from chronolake.operators.stats import ks_and_w1
 
 
@@ -13,12 +14,12 @@ def psi(df: DataFrame, by: Names, value: str, is_reference: str, bins: int = 10,
     """Stability index over bins of equal reference frequency. Current values outside the reference's range are left out, empty shares count ``eps``."""
     keys = names(by)
     ref = F.col(is_reference) == 1
-    cuts = df.where(ref).groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("e"))
-    d = df.join(cuts, keys)
+    cuts = exact_quantiles(df.where(ref), keys, value, [i / bins for i in range(bins + 1)], "e")
     v = F.col(value)
-    at = sum((F.when(v > F.col("e")[i], 1).otherwise(0) for i in range(1, bins)), F.lit(0)).alias("bin")
-    inside = d.where((v >= F.col("e")[0]) & (v <= F.col("e")[bins]))
-    c = inside.select(*keys, at, F.col(is_reference).alias("r")).groupBy(*keys, "bin").agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("c"))
+    d = df.select(*keys, v.alias("__v"), F.col(is_reference).alias("__r")).join(cuts, keys)
+    one = d.where((F.col("__v") >= F.col("e")[0]) & (F.col("__v") <= F.col("e")[bins])).select(*keys, "__v", "e", F.col("__r").alias("r"), (1 - F.col("__r")).alias("c"))
+    at = F.size(F.filter(F.slice("e", 2, bins - 1), lambda x: x < F.col("__v"))).alias("bin")
+    c = one.select(*keys, at, "r", "c").groupBy(*keys, "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     g = Window.partitionBy(*keys)
     p, q = F.greatest(F.col("r") / F.sum("r").over(g), F.lit(eps)), F.greatest(F.col("c") / F.sum("c").over(g), F.lit(eps))
     one = c.select(*keys, ((q - p) * F.log(q / p)).alias("x")).groupBy(*keys).agg(F.sum("x").alias("psi"))

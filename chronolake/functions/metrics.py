@@ -27,6 +27,70 @@ def point(y: str = "y", f: str = "f") -> dict[str, Column]:
     }
 
 
+def relative_errors(y: str = "y", f: str = "f") -> dict[str, Column]:
+    """Median of percentage errors, and the ratio of root mean square to mean absolute error (1 where all are of one size)."""
+    size = F.abs(F.col(f) - F.col(y))
+    return {"mdape": F.percentile(size / (F.abs(F.col(y)) + EPS), 0.5), "rmse_over_mae": F.sqrt(F.avg(size * size)) / F.avg(size)}
+
+
+def by_horizon(scored: DataFrame, model: Names = "model", step: str = "step", y: str = "actual", f: str = "forecast") -> DataFrame:
+    """Errors of each model at each step ahead."""
+    e = F.col(f) - F.col(y)
+    return scored.groupBy(*names(model), step).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"))
+
+
+def owa(smape: Column, mase_: Column, base_smape: Column, base_mase: Column) -> Column:
+    """Overall weighted average: half the sum of both errors over those of the baseline."""
+    return (smape / base_smape + mase_ / base_mase) / 2
+
+
+def rmsse(scored: DataFrame, train: DataFrame, entity: Names, ts: str, value: str, y: str = "y", f: str = "f") -> DataFrame:
+    """Root mean squared error over the training rows' mean squared one-step difference, per entity: (entity, rmsse)."""
+    keys = names(entity)
+    d = F.col(value) - F.lag(value).over(series(keys, ts))
+    scale = train.select(*keys, F.pow(d, 2).alias("__d")).groupBy(*keys).agg(F.avg("__d").alias("__s"))
+    own = scored.groupBy(*keys).agg(F.avg(F.pow(F.col(f) - F.col(y), 2)).alias("__e"))
+    return own.join(scale, keys).select(*keys, F.sqrt(F.col("__e") / F.col("__s")).alias("rmsse"))
+
+
+def weighted(errors: DataFrame, weights: DataFrame, entity: Names, error: str, weight: str) -> DataFrame:
+    """One row: errors by entity, weighted by their share of all weights."""
+    return errors.join(weights, names(entity)).agg((F.sum(F.col(error) * F.col(weight)) / F.sum(weight)).alias(f"w{error}"))
+
+
+def error_correlation(df: DataFrame, by: Names, a: str, b: str) -> DataFrame:
+    """Correlation of two models' errors: the lower, the more a blend can gain."""
+    return df.groupBy(*names(by)).agg(F.corr(a, b).alias("corr"))
+
+
+def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Mean precision at each positive, the highest scores first; equal scores count together."""
+    by = df.groupBy(score).agg(F.sum(label).alias("__p"), F.count(F.lit(1)).alias("__n")).withColumn("__k", -F.col(score))
+    seen = running_before(running_before(by, "__k", "__p", "__pb"), "__k", "__n", "__nb")
+    precision = (F.col("__pb") + F.col("__p")) / (F.col("__nb") + F.col("__n"))
+    return seen.agg((F.sum(precision * F.col("__p")) / F.sum("__p")).alias("average_precision"))
+
+
+def threshold_at(df: DataFrame, label: str, score: str, sensitivity: float) -> DataFrame:
+    """The highest score from which on at least that share of the positives is flagged, and the share of negatives flagged with them."""
+    by = df.groupBy(score).agg(F.sum(label).alias("__p"), F.sum(1 - F.col(label)).alias("__q")).withColumn("__k", -F.col(score))
+    seen = running_before(running_before(by, "__k", "__p", "__pb"), "__k", "__q", "__qb")
+    totals = by.agg(F.sum("__p").alias("__tp"), F.sum("__q").alias("__tq"))
+    rate = (F.col("__pb") + F.col("__p")) / F.col("__tp")
+    row = F.struct(F.col(score).alias("threshold"), rate.alias("sensitivity"), ((F.col("__qb") + F.col("__q")) / F.col("__tq")).alias("false_positive_rate"))
+    return seen.join(F.broadcast(totals)).where(rate >= sensitivity).agg(F.max_by(row, score).alias("r")).select("r.*")
+
+
+def segments(df: DataFrame, entity: Names, index: str, actual: str, flagged: str) -> DataFrame:
+    """Each run of actual anomalies: start, end, whether any of its rows is flagged, and after how many rows the first one is."""
+    keys = names(entity)
+    w = series(keys, index)
+    n = df.withColumn("__i", F.row_number().over(w)).withColumn("__g", F.col("__i") - F.sum(actual).over(w))
+    own = n.where(F.col(actual) == 1)
+    first = F.min(F.when(F.col(flagged) == 1, F.col("__i")))
+    return own.groupBy(*keys, "__g").agg(F.min(index).alias("start"), F.max(index).alias("end"), F.max(flagged).alias("detected"), (first - F.min("__i")).alias("latency")).drop("__g")
+
+
 def report(df: DataFrame, by: Names, y: str = "y", f: str = "f") -> DataFrame:
     return df.groupBy(*names(by)).agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in point(y, f).items()))
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from chronolake.functions.windows import Names, names, series
 from chronolake.operators.forecast import Fit, ses_level
 
+#: Rows beyond which a value's weight in a smoothed level is below the last digit, for smoothing weights from 0.1.
+LEVEL_ROWS = 400
+
 
 def origins(n: int, least: int, horizon: int, count: int, gap: int = 0) -> list[int]:
     """Last training places, evenly spread."""
@@ -50,35 +53,49 @@ def split_rows(df: DataFrame, entity: Names, ts: str, folds: DataFrame) -> DataF
     return n.join(F.broadcast(folds)).withColumn("part", part).where("part is not null").drop("train_start", "train_end", "test_start", "test_end")
 
 
+def tail_folds(df: DataFrame, entity: Names, ts: str, folds: int, test: int, gap: int = 0, window: int | None = None) -> DataFrame:
+    """Each row beside every fold it belongs to (``t`` from 0, ``fold``, ``part``), for test stretches at the end of each entity's own length.
+
+    Training rows are all before the gap, or the last ``window`` of them.
+    """
+    n = df.withColumns({"t": F.row_number().over(series(entity, ts)) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy(*names(entity)))})
+    f = n.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("__s", F.col("__n") - (folds - F.col("fold")) * test)
+    train = F.col("t") < F.col("__s") - gap
+    if window:
+        train = train & (F.col("t") >= F.col("__s") - gap - window)
+    part = F.when(train, "train").when(F.col("t").between(F.col("__s"), F.col("__s") + test - 1), "test")
+    return f.withColumn("part", part).where("part is not null").drop("__n", "__s")
+
+
 def closed_form(df: DataFrame, entity: Names, ts: str, value: str, horizon: int, season: int, step: int, least: int, count: int, alpha: float = 0.3) -> DataFrame:
     """Forecasts of five baselines from ``count`` origins, ``step`` apart back from the end: (entity, origin, step, model, forecast, actual, scale).
 
-    An origin's training rows are all before it. Each series is numbered once; a row goes to the
-    origins after it, and everything an origin needs is one aggregate over (entity, origin).
+    An origin's training rows are all before it. Each series is numbered once, and everything an origin
+    needs is a running sum at its row.
     ``scale`` is the training rows' mean absolute difference, for scaled errors.
     """
     keys = names(entity)
     w, g = series(entity, ts), Window.partitionBy(*keys)
     n = df.select(*keys, F.col(value).alias("y"), F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(g).alias("n"), F.abs(F.col(value) - F.lag(value).over(w)).alias("d"))
-    # Origin k is the place after which k * step + horizon rows are left.
-    ends = F.expr(f"filter(transform(sequence(0, {count - 1}), k -> n - {horizon} - k * {step}), o -> o >= {least})")
-    train = n.withColumn("o", F.explode(ends)).where("i <= o")
-    last = F.array_sort(F.collect_list(F.when(F.col("i") > F.col("o") - season, F.struct("i", "y"))))
-    one = train.groupBy(*keys, F.col("o").alias("origin")).agg(
-        F.avg("y").alias("mean"),
-        F.max_by("y", "i").alias("naive"),
-        F.min_by("y", "i").alias("first"),
-        ses_level("y", "i", "o", alpha).alias("ses"),
-        F.regr_slope(F.col("y"), F.col("i")).alias("b"),
-        F.regr_intercept(F.col("y"), F.col("i")).alias("a"),
-        F.avg("d").alias("scale"),
-        last.alias("last"),
-    )
+    # Origin k is the place after which k * step + horizon rows are left. What an origin needs of all rows
+    # is a running sum at its own row; only the smoothed level takes rows to origins, those close enough to count.
+    t, y, w = F.col("i"), F.col("y"), series(keys, "i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    n = n.withColumns({"t": t - F.col("n") / 2, "c": y - F.avg("y").over(g)})
+    total, mean_t, mean_c = F.count(F.lit(1)).over(upto), F.avg("t").over(upto), F.avg("c").over(upto)
+    slope = (F.sum(F.col("t") * F.col("c")).over(upto) - total * mean_t * mean_c) / (F.sum(F.col("t") * F.col("t")).over(upto) - total * mean_t * mean_t)
+    left = F.col("n") - horizon - t
+    run = n.select(*keys, "i", F.avg("y").over(upto).alias("mean"), y.alias("naive"), F.first("y").over(upto).alias("first"), slope.alias("b"), F.avg("i").over(upto).alias("mt"), F.avg("d").over(upto).alias("scale"), F.collect_list(y).over(w.rowsBetween(-(season - 1), 0)).alias("last"), left.alias("left"))
+    at_origin = (F.col("left") % step == 0) & F.col("left").between(0, (count - 1) * step) & (F.col("i") >= least)
+    one = run.where(at_origin).select(*keys, F.col("i").alias("origin"), "mean", "naive", "first", "b", (F.col("mean") - F.col("b") * F.col("mt")).alias("a"), "scale", "last")
+    ends = F.expr(f"filter(transform(sequence(0, {count - 1}), k -> n - {horizon} - k * {step}), o -> o >= {least} and o >= i and o < i + {LEVEL_ROWS})")
+    level = n.withColumn("origin", F.explode(ends)).groupBy(*keys, "origin").agg(ses_level("y", "i", "origin", alpha).alias("ses"))
+    one = one.join(level, [*keys, "origin"])
     at = one.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     h, o = F.col("step"), F.col("origin")
     models = {
         "naive": F.col("naive"),
-        "seasonal_naive": F.col("last")[F.pmod(h - 1, F.lit(season))]["y"],
+        "seasonal_naive": F.col("last")[F.pmod(h - 1, F.lit(season))],
         "drift": F.col("naive") + h * (F.col("naive") - F.col("first")) / (o - 1),
         "ses": F.col("ses"),
         "theta": 0.5 * (F.col("a") + F.col("b") * (o + h)) + 0.5 * F.col("ses"),
@@ -89,7 +106,7 @@ def closed_form(df: DataFrame, entity: Names, ts: str, value: str, horizon: int,
 
 
 def per_series(df: DataFrame, entity: Names, ts: str, value: str, models: dict[str, Fit], ends: Callable[[int], list[int]], horizon: int) -> DataFrame:
-    """Any forecasters from chosen origins, one series at a time; a failing one falls back to the last value."""
+    """Any forecasters from chosen origins, one series at a time; a failing one falls back to the last value, and ``failed`` says so."""
     keys = names(entity)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -98,15 +115,16 @@ def per_series(df: DataFrame, entity: Names, ts: str, value: str, models: dict[s
         for o in ends(len(y)):
             train, test = y[: o + 1], y[o + 1 : o + 1 + horizon]
             for name, fit in models.items():
+                failed = False
                 try:
                     f = fit(train, horizon)
                 except (np.linalg.LinAlgError, ValueError, IndexError):
-                    f = np.full(horizon, train[-1])
-                rows += [(*(pdf[k].iloc[0] for k in keys), o, s + 1, name, float(f[s]), float(a)) for s, a in enumerate(test)]
-        return pd.DataFrame(rows, columns=[*keys, "origin", "step", "model", "forecast", "actual"])
+                    f, failed = np.full(horizon, train[-1]), True
+                rows += [(*(pdf[k].iloc[0] for k in keys), o, s + 1, name, float(f[s]), float(a), failed) for s, a in enumerate(test)]
+        return pd.DataFrame(rows, columns=[*keys, "origin", "step", "model", "forecast", "actual", "failed"])
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{fields}, origin int, step int, model string, forecast double, actual double")
+    return df.groupBy(*keys).applyInPandas(run, f"{fields}, origin int, step int, model string, forecast double, actual double, failed boolean")
 
 
 def leaderboard(scored: DataFrame) -> DataFrame:

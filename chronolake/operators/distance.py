@@ -153,15 +153,53 @@ def shapelet(a: Column, s: list[float]) -> Column:
 
 
 def features(a: Column) -> dict[str, Column]:
-    """Moments, crossings, peaks and autocorrelation of an array."""
+    """Moments, quantiles, changes, crossings, peaks, trend and autocorrelation of an array."""
     n = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+    def count(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda s, v: s + F.when(v, 1).otherwise(0))
+
+    mean = total(a) / n
     d = F.transform(a, lambda x: x - mean)
-    ss = F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x)
-    later = F.slice(d, 2, n - 1)
-    cross = F.aggregate(F.zip_with(F.slice(d, 1, n - 1), later, lambda x, y: F.when(x * y < 0, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    lag1 = F.aggregate(F.zip_with(F.slice(d, 1, n - 1), later, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return {"mean": mean, "std": F.sqrt(ss / n), "min": F.array_min(a), "max": F.array_max(a), "zero_crossings": cross, "acf1": lag1 / ss}
+    ss = total(F.transform(d, lambda x: x * x))
+    std = F.sqrt(ss / n)
+    head, tail = F.slice(d, 1, n - 1), F.slice(d, 2, n - 1)
+    step = F.zip_with(F.slice(a, 1, n - 1), F.slice(a, 2, n - 1), lambda x, y: y - x)
+    ordered = F.array_sort(a)
+
+    def quantile(p: float) -> Column:
+        at = p * (n - 1)
+        low = F.element_at(ordered, (F.floor(at) + 1).cast("int"))
+        return low + (F.element_at(ordered, (F.ceil(at) + 1).cast("int")) - low) * (at - F.floor(at))
+
+    places = F.transform(a, lambda x, i: i - (n - 1) / 2)
+    inner = F.sequence(F.lit(2), n - 1)
+    return {
+        "mean": mean,
+        "std": std,
+        "min": F.array_min(a),
+        "max": F.array_max(a),
+        "range": F.array_max(a) - F.array_min(a),
+        "median": quantile(0.5),
+        "q25": quantile(0.25),
+        "q75": quantile(0.75),
+        "iqr": quantile(0.75) - quantile(0.25),
+        "skew": total(F.transform(d, lambda x: x * x * x)) / n / (std * std * std),
+        "kurtosis": total(F.transform(d, lambda x: x * x * x * x)) / n / (std * std * std * std) - 3,
+        "energy": total(F.transform(a, lambda x: x * x)) / n,
+        "mean_abs_change": total(F.transform(step, F.abs)) / (n - 1),
+        "zero_crossings": count(F.zip_with(head, tail, lambda x, y: x * y < 0)),
+        "above_mean": count(F.transform(d, lambda x: x > 0)),
+        "peaks": count(F.transform(inner, lambda i: (F.element_at(a, i) > F.element_at(a, i - 1)) & (F.element_at(a, i) > F.element_at(a, i + 1)))),
+        "argmax": F.array_position(a, F.array_max(a)) - 1,
+        "argmin": F.array_position(a, F.array_min(a)) - 1,
+        "slope": total(F.zip_with(places, a, lambda t, x: t * x)) / total(F.transform(places, lambda t: t * t)),
+        "acf1": total(F.zip_with(head, tail, lambda x, y: x * y)) / ss,
+        "acf2": total(F.zip_with(F.slice(d, 1, n - 2), F.slice(d, 3, n - 2), lambda x, y: x * y)) / ss,
+    }
 
 
 def spectrum(column: str, bins: int = 8) -> Column:

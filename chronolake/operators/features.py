@@ -188,3 +188,86 @@ def box_cox(values: np.ndarray, grid: Sequence[float] = tuple(np.linspace(-2, 2,
         return -len(values) / 2 * np.log(y.var()) + (p - 1) * logs.sum()
 
     return float(max(grid, key=likelihood))
+
+
+#: Public holidays on the same day each year (month, day).
+HOLIDAYS = ((1, 1), (7, 4), (11, 11), (12, 25), (12, 26))
+
+
+def holiday(ts: str, days: Sequence[tuple[int, int]] = HOLIDAYS) -> Column:
+    """1 on the days given as (month, day), else 0."""
+    c = F.col(ts)
+    hit = [(F.month(c) == m) & (F.dayofmonth(c) == d) for m, d in days]
+    return sum((h.cast("int") for h in hit[1:]), hit[0].cast("int"))
+
+
+def interactions(pairs: Sequence[tuple[str, str]], eps: float = 1e-8) -> dict[str, Column]:
+    """Product and ratio of pairs of columns."""
+    out = {}
+    for a, b in pairs:
+        out |= {f"{a}_x_{b}": F.col(a) * F.col(b), f"{a}_per_{b}": F.col(a) / (F.col(b) + eps)}
+    return out
+
+
+def unscaled(df: DataFrame, sizes: DataFrame, entity: Names, z: str, name: str = "value") -> DataFrame:
+    """Values back from z-scores and the ``mean`` and ``std`` of each entity."""
+    return df.join(sizes, names(entity)).withColumn(name, F.col(z) * F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")) + F.col("mean")).drop("mean", "std")
+
+
+def box_cox_power(df: DataFrame, entity: Names, value: str, grid: Sequence[float]) -> DataFrame:
+    """The power of greatest likelihood among ``grid`` for each entity's positive values, by one aggregate."""
+    v, keys = F.col(value).cast("double"), names(entity)
+    logs = F.log(v)
+
+    def moved(p: float) -> Column:
+        return logs if abs(p) < 1e-9 else (F.pow(v, F.lit(float(p))) - 1) / p
+
+    scores = [F.struct((-F.count(v) / 2 * F.log(F.var_pop(moved(p))) + (p - 1) * F.sum(logs)).alias("l"), F.lit(-float(p)).alias("m")) for p in grid]
+    best = df.where(v > 0).groupBy(*keys).agg(F.array_max(F.array(*scores)).alias("b"))
+    return best.select(*keys, (-F.col("b.m")).alias("power"))
+
+
+def market(price: str, entity: Names, ts: Names, size: int = 20, year: int = 252) -> dict[str, Column]:
+    """Realised volatility of log returns (by the year), and the value against its mean over ``size`` rows; full windows only."""
+    w, p = trailing(entity, ts, size), F.col(price)
+    back = F.log(p) - F.log(F.lag(p).over(series(entity, ts)))
+    full = F.count(F.lit(1)).over(w) == size
+    return {"log_return": back, "ratio": F.when(full, p / F.avg(p).over(w)), "scale": F.lit(float(year) ** 0.5)}
+
+
+def macd(df: DataFrame, entity: Names, ts: str, price: str, fast: float = 2 / 13, slow: float = 2 / 27, signal: float = 2 / 10) -> DataFrame:
+    """Adds ``macd`` (fast less slow smoothed price) and ``macd_signal``, its own smoothing."""
+    d = ewm(ewm(df, entity, ts, price, fast, name="__fast"), entity, ts, price, slow, name="__slow")
+    d = d.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
+    return ewm(d, entity, ts, "macd", signal, name="macd_signal")
+
+
+def parts(df: DataFrame, entity: Names, ts: Names, shares: Sequence[float], labels: Sequence[str] = ("train", "calibration", "test")) -> DataFrame:
+    """Adds ``part`` by position in time: the first share of each entity's rows, the next, and so on."""
+    keys = names(entity)
+    i = F.row_number().over(series(keys, ts)) - 1
+    at = i / F.count(F.lit(1)).over(whole(keys))
+    out, upto = F.lit(labels[-1]), 0.0
+    edges = []
+    for share, label in zip(shares[:-1], labels[:-1], strict=True):
+        upto += share
+        edges.append((upto, label))
+    for edge, label in reversed(edges):
+        out = F.when(at < edge, label).otherwise(out)
+    return df.withColumn("part", out)
+
+
+def entity_part(key: str, percent: int) -> Column:
+    """``test`` for that share of entities, ``train`` for the others; an entity is never in both."""
+    return F.when(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(100)) < percent, "test").otherwise("train")
+
+
+def build(df: DataFrame, entity: Names, ts: str, value: str, lag_steps: Sequence[int] = (), sizes: Sequence[int] = (), season: int | None = None, calendar: Sequence[str] = ()) -> DataFrame:
+    """A feature table in one call: lags, shifted rolling statistics, differences and parts of the calendar, by name. None sees its own row's value but the differences."""
+    from chronolake.operators.spine import calendar_parts
+
+    cols = lags(value, entity, ts, lag_steps) | rolling(value, entity, ts, sizes)
+    if season:
+        cols |= differences(value, entity, ts, season)
+    own = calendar_parts(ts)
+    return df.withColumns(cols | {k: own[k] for k in calendar})

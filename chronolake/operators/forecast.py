@@ -89,25 +89,42 @@ def demand_class(df: DataFrame, entity: Names, ts: str, value: str, zero_based:
     return one.withColumn("class", kind)
 
 
+def tsb(df: DataFrame, entity: Names, ts: str, value: str, horizon: int, alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
+    """Intermittent demand: smoothed size times smoothed chance of a demand, as one aggregate.
+
+    Both start from the first value: its size and 1, or 1 and a half where it's no demand.
+    """
+    keys, w = names(entity), series(entity, ts)
+    hit = (F.col(value) > 0).cast("int")
+    n = df.select(*keys, F.col(value).alias("__v"), hit.alias("__h"), F.row_number().over(w).alias("__i"), F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__j"))
+    g = Window.partitionBy(*keys)
+    n = n.withColumns({"__n": F.count(F.lit(1)).over(g), "__m": F.sum("__h").over(g)})
+    first = F.max(F.when(F.col("__i") == 1, F.col("__v")))
+    size = F.sum(F.when(F.col("__h") == 1, alpha * F.col("__v") * F.pow(F.lit(1 - alpha), F.col("__m") - F.col("__j"))).otherwise(0.0)) + F.pow(F.lit(1 - alpha), F.max("__m")) * F.when(first > 0, first).otherwise(1.0)
+    chance = F.sum(beta * F.col("__h") * F.pow(F.lit(1 - beta), F.col("__n") - F.col("__i"))) + F.pow(F.lit(1 - beta), F.max("__n")) * F.when(first > 0, 1.0).otherwise(0.5)
+    one = n.groupBy(*keys).agg((size * chance).alias("forecast"))
+    return one.select(*keys, _steps(horizon), "forecast")
+
+
 # ---------------------------------------------------------------- one series at a time
 
 Fit = Callable[[np.ndarray, int], np.ndarray]
 
 
 def per_series(df: DataFrame, entity: Names, ts: str, value: str, horizon: int, fit: Fit) -> DataFrame:
-    """A function of (values, horizon) for each series. One that fails falls back to the last value."""
+    """A function of (values, horizon) for each series. One that fails falls back to the last value, and ``failed`` says so."""
     keys = names(entity)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(ts)[value].to_numpy(float)
+        y, failed = pdf.sort_values(ts)[value].to_numpy(float), False
         try:
             f = np.asarray(fit(y, horizon), float)
         except (np.linalg.LinAlgError, ValueError, IndexError):
-            f = np.full(horizon, y[-1])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * horizon for k in keys}, "step": np.arange(1, horizon + 1), "forecast": f})
+            f, failed = np.full(horizon, y[-1]), True
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * horizon for k in keys}, "step": np.arange(1, horizon + 1), "forecast": f, "failed": failed})
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{fields}, step int, forecast double")
+    return df.groupBy(*keys).applyInPandas(run, f"{fields}, step int, forecast double, failed boolean")
 
 
 def holt(alpha: float = 0.3, beta: float = 0.1, phi: float = 1.0) -> Fit:

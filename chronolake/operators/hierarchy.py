@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from chronolake.functions.windows import Names, names
 
+#: Bottoms whose shares go to every task that deals out a total.
+MOST_BOTTOMS = 100_000
+
 
 def levels(df: DataFrame, levels_: Sequence[Sequence[str]], at: Names, value: str) -> DataFrame:
     """Sums for several groupings in one pass (grouping sets), with a ``level`` made of the columns grouped by."""
@@ -45,7 +48,28 @@ def proportions(history: DataFrame, at: Names, value: str, by_averages: bool = F
 
 def top_down(total: DataFrame, shares: DataFrame, at: Names, value: str) -> DataFrame:
     """The total's forecast, dealt out to all bottoms."""
-    return total.select(*names(at), value).withColumn("__k", F.lit(1)).join(shares.withColumn("__k", F.lit(1)), "__k").select("bottom", *names(at), (F.col(value) * F.col("share")).alias(value))
+    few = shares.count()
+    if few > MOST_BOTTOMS:
+        raise ValueError(f"more than {MOST_BOTTOMS} bottoms")
+    return total.select(*names(at), value).join(F.broadcast(shares)).select("bottom", *names(at), (F.col(value) * F.col("share")).alias(value))
+
+
+def middle_out(middle: DataFrame, shares: DataFrame, at: Names, value: str) -> DataFrame:
+    """Forecasts of a middle level (``node``), dealt out to the bottoms below by their share of it (``node``, ``bottom``, ``share``), as bottoms; sums of these give the levels above."""
+    return middle.join(shares, "node").select("bottom", *names(at), (F.col(value) * F.col("share")).alias(value))
+
+
+def shares_within(history: DataFrame, parent: str, value: str) -> DataFrame:
+    """Share of each bottom in its parent's sum over all times: (node, bottom, share)."""
+    own = history.groupBy(F.col(parent).alias("node"), "bottom").agg(F.sum(value).alias("__s"))
+    total = own.groupBy("node").agg(F.sum("__s").alias("__t"))
+    return own.join(total, "node").select("node", "bottom", (F.col("__s") / F.col("__t")).alias("share"))
+
+
+def node_errors(forecasts: DataFrame, actuals: DataFrame, at: Names, value: str) -> DataFrame:
+    """Mean absolute error of each node and ``method``."""
+    a = actuals.select("node", *names(at), F.col(value).alias("__a"))
+    return forecasts.join(a, ["node", *names(at)]).groupBy("method", "node").agg(F.avg(F.abs(F.col(value) - F.col("__a"))).alias("mae"))
 
 
 def incoherence(nodes: DataFrame, matrix: DataFrame, at: Names, value: str, tolerance: float = 1e-6) -> DataFrame:
@@ -65,10 +89,10 @@ def projection(s: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
 
 def reconcile(nodes: DataFrame, matrix: DataFrame, at: Names, value: str, covariance: np.ndarray | None = None, most_nodes: int = 5_000) -> DataFrame:
     """Least-squares reconciliation of forecasts of all nodes. The matrix of nodes is made on the driver and must be small."""
-    pairs = matrix.limit(most_nodes * 100 + 1).toPandas()
-    nodes_, bottoms = sorted(pairs["node"].unique()), sorted(pairs["bottom"].unique())
-    if len(nodes_) > most_nodes:
+    if matrix.select("node").distinct().count() > most_nodes:
         raise ValueError(f"more than {most_nodes} nodes")
+    pairs = matrix.distinct().toPandas()
+    nodes_, bottoms = sorted(pairs["node"].unique()), sorted(pairs["bottom"].unique())
     s = np.zeros((len(nodes_), len(bottoms)))
     s[[nodes_.index(x) for x in pairs["node"]], [bottoms.index(x) for x in pairs["bottom"]]] = 1
     p = projection(s, covariance)

@@ -25,6 +25,12 @@ def ffill_limited(df: DataFrame, entity: Names, ts: str, value: str, limit: int,
     return placed.withColumn(name, F.when(F.col("__place") <= limit, ffill(value, entity, ts))).drop("__place")
 
 
+def bfill_limited(df: DataFrame, entity: Names, ts: str, value: str, limit: int, name: str = "filled") -> DataFrame:
+    """Carried back over at most ``limit`` missing rows."""
+    back = series(entity, ts).rowsBetween(0, limit)
+    return df.withColumn(name, F.first(value, ignorenulls=True).over(back))
+
+
 def mean_fill(value: str, entity: Names) -> Column:
     return F.coalesce(F.col(value), F.avg(value).over(whole(entity)))
 
@@ -58,9 +64,9 @@ def with_indicator(df: DataFrame, entity: Names, value: str) -> DataFrame:
     return df.join(middle, names(entity)).withColumns({"was_missing": F.col(value).isNull().cast("int"), "filled": F.coalesce(F.col(value), "__m")}).drop("__m")
 
 
-def since_observed(value: str, entity: Names, ts: str) -> Column:
-    """Hours since the last value; 0 before any."""
-    at = F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000
+def since_observed(value: str, entity: Names, ts: Names) -> Column:
+    """Hours since the last value; 0 before any. Of several order columns the first is the time."""
+    at = F.unix_micros(F.col(names(ts)[0]).cast("timestamp")) / 3_600_000_000
     seen = F.last(F.when(F.col(value).isNotNull(), at), ignorenulls=True).over(expanding(entity, ts))
     return F.coalesce(at - seen, F.lit(0.0))
 

@@ -130,6 +130,25 @@ def adaptive_conformal(df: DataFrame, entity: Names, ts: str, y: str, f: str, al
     return df.groupBy(*names(entity)).applyInPandas(run, f"{fields}, alpha_t double, lower double, upper double")
 
 
+def calibration_error(df: DataFrame, tau: str, y: str, q: str) -> DataFrame:
+    """One row: mean distance of empirical from nominal levels."""
+    r = reliability(df, tau, y, q)
+    return r.agg(F.avg(F.abs(F.col("empirical") - F.col(tau))).alias("mace"))
+
+
+def residual_interval(df: DataFrame, by: Names, f: str, e: str, z: float = 1.96) -> DataFrame:
+    """Forecasts with ``z`` sample deviations of their group's residuals on both sides."""
+    sd = df.groupBy(*names(by)).agg(F.stddev_samp(e).alias("__s"))
+    return df.join(sd, names(by)).withColumns({"lower": F.col(f) - z * F.col("__s"), "upper": F.col(f) + z * F.col("__s")}).drop("__s")
+
+
+def rolling_coverage(y: str, lower: str, upper: str, entity: Names, ts: Names, size: int = 50, least: int = 10) -> Column:
+    """Share of the last ``size`` rows inside their intervals, once there are ``least``."""
+    w = series(entity, ts).rowsBetween(-(size - 1), 0)
+    hit = covered(y, lower, upper)
+    return F.when(F.count(hit).over(w) >= least, F.avg(hit).over(w))
+
+
 def empirical_interval(residuals: DataFrame, by: Names, e: str, alpha: float) -> DataFrame:
     return residuals.groupBy(*names(by)).agg(F.percentile(e, alpha / 2).alias("low"), F.percentile(e, 1 - alpha / 2).alias("high"))
 

@@ -96,10 +96,11 @@ def profile(df: DataFrame, entity: Names, part: Column, value: str) -> DataFrame
     return df.groupBy(*names(entity), part.alias("part")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def aligned(fine: DataFrame, coarse: DataFrame, fine_ts: str, coarse_ts: str, value: str) -> DataFrame:
-    """Each fine row with the coarse value whose period it lies in: an equi-join on the month, not a range join."""
-    c = coarse.select(F.to_date(F.date_trunc("month", coarse_ts)).alias("__m"), F.col(value))
-    return fine.withColumn("__m", F.to_date(F.date_trunc("month", fine_ts))).join(c, "__m", "left").drop("__m")
+def aligned(fine: DataFrame, coarse: DataFrame, fine_ts: str, coarse_ts: str, value: str, entity: Names = ()) -> DataFrame:
+    """Each fine row with the coarse value (of its entity) whose period it lies in: an equi-join on the month, not a range join."""
+    keys = names(entity)
+    c = coarse.select(*keys, F.to_date(F.date_trunc("month", coarse_ts)).alias("__m"), F.col(value))
+    return fine.withColumn("__m", F.to_date(F.date_trunc("month", fine_ts))).join(c, [*keys, "__m"], "left").drop("__m")
 
 
 def rolled(df: DataFrame, entity: Names, at: str, value: str, size: int, name: str = "rolled") -> DataFrame:

@@ -119,3 +119,9 @@ def forecast_index(df: DataFrame, entity: Names, ts: str, horizon: int, step: st
 
 def per_entity_count(entity: Names) -> Column:
     return F.count(F.lit(1)).over(whole(entity))
+
+
+def missing(df: DataFrame, entity: Names, ts: str, step: str = "1 day") -> DataFrame:
+    """The steps between an entity's first and last time that have no row."""
+    keys = names(entity)
+    return spine(df, entity, ts, step).join(df.select(*keys, ts), [*keys, ts], "left_anti")

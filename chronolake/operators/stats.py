@@ -53,13 +53,15 @@ def durbin_watson(df: DataFrame, entity: Names, ts: str, e: str) -> DataFrame:
     return df.select(*names(entity), e, d.alias("__d")).groupBy(*names(entity)).agg((F.sum(F.pow("__d", 2)) / F.sum(F.pow(e, 2))).alias("dw"))
 
 
-def diebold_mariano(df: DataFrame, entity: Names, ts: str, e1: str, e2: str, horizon: int = 1) -> DataFrame:
-    """Equal accuracy of two forecasts by squared loss. Negative statistics favour the first; ``p_value`` is two-sided normal.
+def diebold_mariano(df: DataFrame, entity: Names, ts: str, e1: str, e2: str, horizon: int = 1, power: int = 2, alternative: str = "two-sided") -> DataFrame:
+    """Equal accuracy of two forecasts by squared loss, or absolute loss (``power`` 1). Negative statistics favour the first.
+
+    ``p_value`` is normal: two-sided, or for the first being better ("less") or worse ("greater").
 
     The long-run variance takes lags below the horizon with falling weights. ``dm_modified`` has the small-sample factor.
     """
     keys = names(entity)
-    loss = df.select(*keys, ts, (F.pow(e1, 2) - F.pow(e2, 2)).alias("d")).withColumn("c", F.col("d") - F.avg("d").over(whole(keys)))
+    loss = df.select(*keys, ts, (F.pow(F.abs(e1), power) - F.pow(F.abs(e2), power)).alias("d")).withColumn("c", F.col("d") - F.avg("d").over(whole(keys)))
     w = series(entity, ts)
     lagged = loss.select("*", *(F.lag("c", k).over(w).alias(f"c{k}") for k in range(1, horizon)))
     one = lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_d"), F.sum(F.col("c") * F.col("c")).alias("g0"), *(F.sum(F.col("c") * F.col(f"c{k}")).alias(f"g{k}") for k in range(1, horizon)))
@@ -69,7 +71,29 @@ def diebold_mariano(df: DataFrame, entity: Names, ts: str, e1: str, e2: str, hor
         var = var + 2 * (1 - k / horizon) * F.col(f"g{k}") / n
     dm = F.col("mean_d") / F.sqrt(F.greatest(var, F.lit(1e-12)) / n)
     factor = F.sqrt((n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n)
-    return one.select(*keys, "n", "mean_d", dm.alias("dm"), (dm * factor).alias("dm_modified")).withColumn("p_value", 2 * (1 - normal_cdf(F.abs("dm"))))
+    p = {"two-sided": 2 * (1 - normal_cdf(F.abs("dm"))), "less": normal_cdf(F.col("dm")), "greater": 1 - normal_cdf(F.col("dm"))}[alternative]
+    return one.select(*keys, "n", "mean_d", dm.alias("dm"), (dm * factor).alias("dm_modified")).withColumn("p_value", p)
+
+
+def normality(df: DataFrame, by: Names, value: str) -> DataFrame:
+    """Skewness and kurtosis (both 0 for the normal), and the Jarque-Bera statistic with its p-value (two degrees of freedom)."""
+    s, k, n = F.skewness(value), F.kurtosis(value), F.count(value)
+    jb = n / 6 * (s * s + k * k / 4)
+    return df.groupBy(*names(by)).agg(n.alias("n"), s.alias("skewness"), k.alias("kurtosis"), jb.alias("jarque_bera"), F.exp(-jb / 2).alias("p_value"))
+
+
+def comparison(df: DataFrame, entity: Names, ts: str, models: dict[str, str], baseline: str, horizon: int = 1) -> DataFrame:
+    """Each model's errors beside the baseline's: mean absolute errors, skill, share of rows with less error, Diebold-Mariano by absolute loss."""
+    out = None
+    for name, e in models.items():
+        if name == baseline:
+            continue
+        base = models[baseline]
+        own = df.groupBy(*names(entity)).agg(F.lit(name).alias("model"), F.avg(F.abs(e)).alias("mae"), F.avg(F.abs(base)).alias("baseline_mae"), F.avg((F.abs(e) < F.abs(base)).cast("double")).alias("pct_better"))
+        dm = diebold_mariano(df, entity, ts, e, base, horizon, 1).select(*names(entity), "dm")
+        own = own.withColumn("skill", 1 - F.col("mae") / F.col("baseline_mae")).join(dm, names(entity))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def paired_t(df: DataFrame, by: Names, a: str, b: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.functions.windows import series
-from chronolake.operators import features, learn, spine
+from chronolake.operators import backtest, features, learn, spine
 from chronolake.plans.catalog import daily, query, table
 from chronolake.plans.watch_queries import hours
 
@@ -36,7 +36,8 @@ def global_boosted(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stacked_folds(spark: SparkSession, d: str) -> DataFrame:
     x = supervised(spark, d)
-    oof = learn.out_of_fold(x, [(0, 200, 200, 260), (0, 260, 260, 320)], "t", LAGS, "value", ["ridge", "forest"])
+    n = x.agg(F.max("t")).first()[0] + 1
+    oof = learn.out_of_fold(x, backtest.expanding_folds(n, 4, n // 5), "t", LAGS, "value", ["ridge", "forest"])
     w = learn.blend_weights(oof, ["p_ridge", "p_forest"], "value")
     return oof.select("entity", "t", "value", "p_ridge", "p_forest", sum(F.lit(v) * F.col(k) for k, v in w.items()).alias("blend"))
 

@@ -140,12 +140,7 @@ f AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN ts END IGNORE NULLS)
 SELECT event_id, round(coalesce((epoch_us(ts) - epoch_us(seen)) / 3600000000.0, 0), 6) AS hours FROM f""")
 def hours_since_observed(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
-    from pyspark.sql import Window
-
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("value").isNotNull(), at), ignorenulls=True).over(w)
-    return rounded(e.select("event_id", F.coalesce((at - seen) / 3_600_000_000, F.lit(0.0)).alias("hours")))
+    return rounded(e.select("event_id", impute.since_observed("value", "user_id", ["ts", "event_id"]).alias("hours")))
 
 
 @query("""
@@ -213,9 +208,9 @@ def ewm_mean_adjust_false(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {MONTHLY}, n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM monthly)
-SELECT a.entity, a.ts, round(sum(b.value * pow(0.7, a.i - b.i)) / sum(pow(0.7, a.i - b.i)), 4) AS ewm FROM n a JOIN n b ON a.entity = b.entity AND b.i <= a.i AND b.i > a.i - 24 GROUP BY 1, 2""")
+SELECT a.entity, a.ts, round(sum(b.value * pow(0.7, a.i - b.i)) / sum(pow(0.7, a.i - b.i)), 4) AS ewm FROM n a JOIN n b ON a.entity = b.entity AND b.i <= a.i GROUP BY 1, 2""")
 def ewm_mean_adjust_true(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(monthly(spark, d).select("entity", "ts", features.ewm_over("value", "entity", "ts", 0.3, 24).alias("ewm")), 4)
+    return rounded(features.ewm(monthly(spark, d), "entity", "ts", "value", 0.3, adjust=True).select("entity", "ts", "ewm"), 4)
 
 
 @query(f"""
@@ -330,8 +325,9 @@ def asof_nearest(spark: SparkSession, d: str) -> DataFrame:
 WITH {DAILY}, {MONTHLY}
 SELECT d.entity, d.ts, round(d.value / m.value, 6) AS share FROM daily d LEFT JOIN monthly m ON d.entity = m.entity AND CAST(date_trunc('month', d.ts) AS DATE) = m.ts""")
 def align_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    day, month = daily(spark, d).withColumn("m", F.to_date(F.date_trunc("month", "ts"))), monthly(spark, d).select("entity", F.col("ts").alias("m"), F.col("value").alias("month_value"))
-    return rounded(day.join(month, ["entity", "m"], "left").select("entity", "ts", (F.col("value") / F.col("month_value")).alias("share")))
+    month = monthly(spark, d).select("entity", F.col("ts").alias("m"), F.col("value").alias("month_value"))
+    both = resample.aligned(daily(spark, d), month, "ts", "m", "month_value", "entity")
+    return rounded(both.select("entity", "ts", (F.col("value") / F.col("month_value")).alias("share")))
 
 
 @query(f"""
@@ -350,9 +346,9 @@ def latest_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(joins.latest(table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join_customers(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 

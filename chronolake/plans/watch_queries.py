@@ -120,9 +120,16 @@ def psi(spark: SparkSession, d: str) -> DataFrame:
     return rounded(drift.psi(halves(spark, d), "k", "v", "r"))
 
 
-@query()
+@query(f"""
+WITH {HALVES}, e AS (SELECT k, quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e, stddev_samp(v) AS sd FROM s WHERE r = 1 GROUP BY 1),
+b AS (SELECT s.k, r, len(list_filter(e[2:10], lambda x: v > x)) AS bin FROM s JOIN e ON s.k = e.k WHERE v >= e[1] AND v <= e[11]), c AS (SELECT k, bin, sum(r) AS r, sum(1 - r) AS c FROM b GROUP BY 1, 2),
+p AS (SELECT k, greatest(r / sum(r) OVER w, 1e-6) AS p, greatest(c / sum(c) OVER w, 1e-6) AS q FROM c WINDOW w AS (PARTITION BY k)), z AS (SELECT k, sum((q - p) * ln(q / p)) AS psi FROM p GROUP BY 1),
+y AS (SELECT k, v, sum(r) AS r, sum(1 - r) AS c FROM s GROUP BY 1, 2), f AS (SELECT k, sum(r) OVER w / sum(r) OVER g AS fr, sum(c) OVER w / sum(c) OVER g AS fc, lead(v) OVER w - v AS dx, sum(r) OVER g AS nr, sum(c) OVER g AS nc FROM y WINDOW w AS (PARTITION BY k ORDER BY v), g AS (PARTITION BY k)),
+t AS (SELECT k, CAST(max(nr) AS BIGINT) AS n_reference, CAST(max(nc) AS BIGINT) AS n_current, max(abs(fr - fc)) AS ks, sum(abs(fr - fc) * coalesce(dx, 0)) AS w1, max(abs(fr - fc)) * sqrt(max(nr) * max(nc) / (max(nr) + max(nc))) AS l FROM f GROUP BY 1),
+u AS (SELECT *, least(1.0, greatest(0.0, 2 * exp(-2 * l * l) - 2 * exp(-8 * l * l) + 2 * exp(-18 * l * l) - 2 * exp(-32 * l * l) + 2 * exp(-50 * l * l))) AS ks_p FROM t)
+SELECT u.k, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'none' WHEN psi < 0.25 THEN 'moderate' ELSE 'severe' END AS severity, n_reference, n_current, round(ks, 6) AS ks, round(w1, 4) AS w1, round(ks_p, 6) AS ks_p, round(w1 / sd, 6) AS w1_scaled, psi >= 0.1 OR ks_p < 0.05 AS drifted FROM u JOIN z ON z.k = u.k JOIN e ON e.k = u.k""")
 def drift_report(spark: SparkSession, d: str) -> DataFrame:
-    return drift.drift_report(halves(spark, d), "k", "v", "r")
+    return rounded(drift.drift_report(halves(spark, d), "k", "v", "r"), 6, w1=4)
 
 
 @query(f"""
@@ -232,10 +239,13 @@ def isolation_scores(spark: SparkSession, d: str) -> DataFrame:
     return anomaly.isolation_forest(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"), ["l_quantity", "l_extendedprice", "l_discount"])
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {DAILY}, n AS MATERIALIZED (SELECT entity, CAST(row_number() OVER (PARTITION BY entity ORDER BY ts) AS INT) AS i, CASE WHEN (value - avg(value) OVER w) / CASE WHEN count(value) OVER w >= 14 AND stddev_samp(value) OVER w > 0 THEN stddev_samp(value) OVER w END > 2 THEN 1 END AS f FROM daily WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN 27 PRECEDING AND CURRENT ROW)),
+h AS MATERIALIZED (SELECT entity, i, lead(i) OVER (PARTITION BY entity ORDER BY i) AS nx FROM n WHERE f = 1), a AS (SELECT entity, min(i) AS i FROM h GROUP BY 1 UNION ALL SELECT a.entity, (SELECT min(h.i) FROM h WHERE h.entity = a.entity AND h.i >= a.i + 10) FROM a WHERE (SELECT min(h.i) FROM h WHERE h.entity = a.entity AND h.i >= a.i + 10) IS NOT NULL)
+SELECT n.entity, n.i, coalesce(f, 0) AS f, CASE WHEN a.i IS NULL THEN 0 ELSE 1 END AS alert FROM n LEFT JOIN a ON a.entity = n.entity AND a.i = n.i""")
 def alert_cooldown(spark: SparkSession, d: str) -> DataFrame:
     n = daily(spark, d).withColumn("i", F.row_number().over(series("entity", "ts"))).withColumn("z", anomaly.rolling_z("value", "entity", "ts", 28))
-    return anomaly.cooled(n.select("entity", "i", (F.col("z") > 2).cast("int").alias("f")), "entity", "i", "f", 10)
+    return anomaly.cooled(n.select("entity", "i", F.coalesce((F.col("z") > 2).cast("int"), F.lit(0)).alias("f")), "entity", "i", "f", 10)
 
 
 # ---------------------------------------------------------------- windows of streams, on whole tables
@@ -290,11 +300,14 @@ def graph_hop(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / 64, 6) + 0.0 AS mean, round(CAST(list_min(embedding) AS DOUBLE), 6) AS min, round(CAST(list_max(embedding) AS DOUBLE), 6) AS max FROM embeddings""")
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, len(embedding) AS n FROM embeddings), m AS (SELECT *, list_sum(a) / n AS mean FROM e), p AS (SELECT *, list_transform(a, lambda x: x - mean) AS d, list_sort(a) AS o FROM m), s AS (SELECT *, list_sum(list_transform(d, lambda x: x * x)) AS ss FROM p)
+SELECT vec_id, round(mean, 6) + 0.0 AS mean, round(sqrt(ss / n), 6) AS std, round(list_min(a), 6) AS min, round(list_max(a), 6) AS max, round(list_max(a) - list_min(a), 6) AS range, round(list_aggregate(a, 'quantile_cont', 0.5), 6) + 0.0 AS median, round(list_aggregate(a, 'quantile_cont', 0.25), 6) + 0.0 AS q25, round(list_aggregate(a, 'quantile_cont', 0.75), 6) + 0.0 AS q75, round(list_aggregate(a, 'quantile_cont', 0.75) - list_aggregate(a, 'quantile_cont', 0.25), 6) AS iqr,
+ round(list_sum(list_transform(d, lambda x: x * x * x)) / n / pow(sqrt(ss / n), 3), 6) + 0.0 AS skew, round(list_sum(list_transform(d, lambda x: x * x * x * x)) / n / pow(ss / n, 2) - 3, 6) + 0.0 AS kurtosis, round(list_sum(list_transform(a, lambda x: x * x)) / n, 6) AS energy, round(list_sum(list_transform(range(1, n), lambda i: abs(a[i + 1] - a[i]))) / (n - 1), 6) AS mean_abs_change,
+ CAST(len(list_filter(range(1, n), lambda i: d[i] * d[i + 1] < 0)) AS INT) AS zero_crossings, CAST(len(list_filter(d, lambda x: x > 0)) AS INT) AS above_mean, CAST(len(list_filter(range(2, n), lambda i: a[i] > a[i - 1] AND a[i] > a[i + 1])) AS INT) AS peaks, CAST(list_position(a, list_max(a)) - 1 AS BIGINT) AS argmax, CAST(list_position(a, list_min(a)) - 1 AS BIGINT) AS argmin,
+ round(list_sum(list_transform(range(1, n + 1), lambda i: (i - 1 - (n - 1) / 2.0) * a[i])) / list_sum(list_transform(range(1, n + 1), lambda i: pow(i - 1 - (n - 1) / 2.0, 2))), 6) + 0.0 AS slope, round(list_sum(list_transform(range(1, n), lambda i: d[i] * d[i + 1])) / ss, 6) + 0.0 AS acf1, round(list_sum(list_transform(range(1, n - 1), lambda i: d[i] * d[i + 2])) / ss, 6) + 0.0 AS acf2 FROM s""")
 def array_features(spark: SparkSession, d: str) -> DataFrame:
-    f = distance.features(F.col("x"))
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return rounded(e.select("vec_id", *(f[k].alias(k) for k in ("mean", "min", "max"))))
+    return rounded(e.select("vec_id", *(c.alias(k) for k, c in distance.features(F.col("x")).items())))
 
 
 @query("""

@@ -76,29 +76,120 @@ class Cusum(Detector):
 
 
 class Adwin(Detector):
-    """A window that drops its older part when the means of two parts differ more than chance allows. The window is the state."""
+    """A window that drops its older part when the means of two parts differ more than chance allows.
+
+    The state is the window as exponential buckets (Bifet and Gavalda 2007): sizes are powers of two, no more than ``per_size``
+    of a size, so it grows with the logarithm of the window and no value is left out. Cuts lie between
+    buckets. State: rows, then (rows, sum, sum of squares) of each bucket, the oldest first.
+    """
 
     outputs, start = ("mean", "width", "change"), ()
-    delta, most = 0.002, 1000
+    delta, per_size = 0.002, 5
 
     def update(self, x: float) -> tuple[float, ...]:
-        w = [*self.state, x][-self.most :]
+        s = self.state
+        buckets = [list(s[i : i + 3]) for i in range(0, len(s), 3)]
+        buckets.append([1.0, x, x * x])
+        size, end = 1.0, len(buckets)
+        while True:
+            same = [i for i in range(end) if buckets[i][0] == size]
+            if len(same) <= self.per_size:
+                break
+            i = same[0]
+            buckets[i] = [a + b for a, b in zip(buckets[i], buckets[i + 1], strict=True)]
+            del buckets[i + 1]
+            size, end = 2 * size, len(buckets)
         changed = False
-        if len(w) >= 10:
-            total, head, n = sum(w), 0.0, len(w)
-            mean = total / n
-            var = sum((v - mean) ** 2 for v in w) / n
-            for i in range(1, n):
-                head += w[i - 1]
-                if i % max(1, n // 20) or i < 5 or n - i < 5:
+        n, total, squares = (sum(b[k] for b in buckets) for k in range(3))
+        while n >= 10:
+            var = max(squares / n - (total / n) ** 2, 0.0)
+            log = math.log(2 * math.log(n) / self.delta)
+            left = head = 0.0
+            cut = 0
+            for i, b in enumerate(buckets[:-1]):
+                left, head = left + b[0], head + b[1]
+                if left < 5 or n - left < 5:
                     continue
-                m = 1 / (1 / i + 1 / (n - i))
-                log = math.log(2 * math.log(n) / self.delta)
-                if abs(head / i - (total - head) / (n - i)) > math.sqrt(2 / m * var * log) + 2 / (3 * m) * log:
-                    w, changed = w[i:], True
-                    break
-        self.state = tuple(w)
-        return sum(w) / len(w), float(len(w)), float(changed)
+                m = 1 / (1 / left + 1 / (n - left))
+                if abs(head / left - (total - head) / (n - left)) > math.sqrt(2 / m * var * log) + 2 / (3 * m) * log:
+                    cut = i + 1
+            if not cut:
+                break
+            buckets, changed = buckets[cut:], True
+            n, total, squares = (sum(b[k] for b in buckets) for k in range(3))
+        self.state = tuple(v for b in buckets for v in b)
+        return total / n, n, float(changed)
+
+
+class FadingZ(Detector):
+    """z-score after the value is learnt, weights falling by ``decay`` a step; the deviation's denominator is w - w / n."""
+
+    outputs, start, decay = ("mean", "z"), (0.0, 0.0, 0.0, 0.0), 0.98
+
+    def update(self, x: float) -> tuple[float, ...]:
+        n, w, mean, m = self.state
+        n, w = n + 1, self.decay * w + 1
+        step = x - mean
+        mean += step / w
+        m = self.decay * m + step * (x - mean)
+        self.state = (n, w, mean, m)
+        sd = math.sqrt(max(m / (w - w / n), 1e-12)) if n > 1 else 1.0
+        return mean, (x - mean) / (sd + 1e-12)
+
+
+class VitalMonitor(Detector):
+    """Exponentially weighted mean and variance of a vital sign; the value is scored before it is learnt, and the alert is 0, 1 (warning) or 2 (critical)."""
+
+    outputs, start = ("z", "alert"), (0.0, 0.0, 0.0)
+    rate, warn, critical, least = 0.1, 2.5, 4.0, 5
+
+    def update(self, x: float) -> tuple[float, ...]:
+        n, mean, var = self.state
+        z = (x - mean) / math.sqrt(var + 1e-6) if n >= self.least else 0.0
+        if not n:
+            self.state = (1.0, x, 0.0)
+        else:
+            step = x - mean
+            self.state = (n + 1, mean + self.rate * step, (1 - self.rate) * (var + self.rate * step * step))
+        return z, float((abs(z) > self.warn) + (abs(z) > self.critical))
+
+
+class LearntCusum(Detector):
+    """Two-sided sums against mean and deviation of the first ``learn`` values; both start anew after an alarm."""
+
+    outputs, start = ("s_hi", "s_lo", "alarm"), (0.0, 0.0, 0.0, 0.0, 0.0)
+    learn, k, h = 30, 0.5, 5.0
+
+    def update(self, x: float) -> tuple[float, ...]:
+        n, mean, m2, hi, lo = self.state
+        if n < self.learn:
+            n += 1
+            step = x - mean
+            mean += step / n
+            self.state = (n, mean, m2 + step * (x - mean), 0.0, 0.0)
+            return 0.0, 0.0, 0.0
+        z = (x - mean) / (math.sqrt(m2 / n) + 1e-12)
+        hi, lo = max(0.0, hi + z - self.k), max(0.0, lo - z - self.k)
+        alarm = max(hi, lo) > self.h
+        self.state = (n, mean, m2, 0.0 if alarm else hi, 0.0 if alarm else lo)
+        return hi, lo, float(alarm)
+
+
+class OnlineConformal(Detector):
+    """For a stream of absolute residuals: a width that grows after a miss and shrinks after a hit, so that a share ``alpha`` misses in the long run."""
+
+    outputs, start = ("width", "missed"), (0.0, 0.0)
+    alpha, rate = 0.1, 0.05
+
+    def update(self, x: float) -> tuple[float, ...]:
+        n, width = self.state
+        if not n:
+            self.state = (1.0, abs(x))
+            return abs(x), 0.0
+        missed = float(abs(x) > width)
+        scale = max(abs(x), width, 1e-12)
+        self.state = (n + 1, max(0.0, width + self.rate * scale * (missed - self.alpha)))
+        return width, missed
 
 
 class Histogram(Detector):

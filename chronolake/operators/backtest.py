@@ -67,6 +67,15 @@ def tail_folds(df: DataFrame, entity: Names, ts: str, folds: int, test: int, gap
     return f.withColumn("part", part).where("part is not null").drop("__n", "__s")
 
 
+def purged_rows(df: DataFrame, entity: Names, ts: str, folds: int, purge: int, embargo: int) -> DataFrame:
+    """Each row beside every fold (``t`` from 0, ``fold``, ``part``): a stretch of each entity is for validation, rows up to ``purge`` before and ``embargo`` after it are in neither part."""
+    n = df.withColumns({"t": F.row_number().over(series(entity, ts)) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy(*names(entity)))})
+    f = n.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    a, b = F.floor(F.col("__n") * F.col("fold") / folds), F.floor(F.col("__n") * (F.col("fold") + 1) / folds)
+    part = F.when((F.col("t") >= a) & (F.col("t") < b), "validation").when((F.col("t") < a - purge) | (F.col("t") >= b + embargo), "train")
+    return f.withColumn("part", part).where("part is not null").drop("__n")
+
+
 def closed_form(df: DataFrame, entity: Names, ts: str, value: str, horizon: int, season: int, step: int, least: int, count: int, alpha: float = 0.3) -> DataFrame:
     """Forecasts of five baselines from ``count`` origins, ``step`` apart back from the end: (entity, origin, step, model, forecast, actual, scale).
 

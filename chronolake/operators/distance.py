@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, where ``use`` has it inside another array function."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def z_normalized(a: Column) -> Column:
     n = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    return F.transform(a, lambda x: (x - mean) / (F.sqrt(var) + 1e-8))
+
+    def scaled(m: Column) -> Column:
+        var = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / n
+        return let(F.sqrt(var) + 1e-8, lambda s: F.transform(a, lambda x: (x - m) / s))
+
+    return let(F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n, scaled)
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -163,7 +173,7 @@ def features(a: Column) -> dict[str, Column]:
         return F.aggregate(x, F.lit(0), lambda s, v: s + F.when(v, 1).otherwise(0))
 
     mean = total(a) / n
-    d = F.transform(a, lambda x: x - mean)
+    d = let(mean, lambda m: F.transform(a, lambda x: x - m))
     ss = total(F.transform(d, lambda x: x * x))
     std = F.sqrt(ss / n)
     head, tail = F.slice(d, 1, n - 1), F.slice(d, 2, n - 1)

@@ -271,3 +271,15 @@ def build(df: DataFrame, entity: Names, ts: str, value: str, lag_steps: Sequence
         cols |= differences(value, entity, ts, season)
     own = calendar_parts(ts)
     return df.withColumns(cols | {k: own[k] for k in calendar})
+
+
+def ewm_spread(df: DataFrame, entity: Names, ts: str, value: str, halflife: float) -> DataFrame:
+    """Adds ``ewm`` and ``ewm_std`` (corrected for bias), weights halving every ``halflife`` rows, divided by the weights so far."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts)
+        e = pdf[value].ewm(halflife=halflife)
+        return pdf.assign(ewm=e.mean(), ewm_std=e.std())
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy(*names(entity)).applyInPandas(run, f"{fields}, ewm double, ewm_std double")

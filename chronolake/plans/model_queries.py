@@ -414,15 +414,18 @@ def crps_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(probabilistic.crps_quantiles(quantiles(spark, d), ["entity", "ts"], "tau", "y", "q"), 7)
 
 
-@query(f"""
+CRPS = f"""
 WITH {BASELINES}, x AS (SELECT entity, e7 AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM b), s AS MATERIALIZED (SELECT * FROM x)
-SELECT a.entity, round(avg(abs(a.x)) - 0.5 * (SELECT avg(abs(p.x - q.x)) FROM s p JOIN s q ON p.entity = q.entity WHERE p.entity = a.entity), 3) AS crps FROM s a GROUP BY 1""")
+SELECT a.entity, round(avg(abs(a.x)) - 0.5 * (SELECT avg(abs(p.x - q.x)) FROM s p JOIN s q ON p.entity = q.entity WHERE p.entity = a.entity), 3) AS crps FROM s a GROUP BY 1"""
+
+
+@query(CRPS)
 def crps_samples(spark: SparkSession, d: str) -> DataFrame:
     b = baselines(spark, d)
     return rounded(probabilistic.crps_samples(b.withColumn("zero", F.lit(0.0)), "entity", "zero", "e7"), 3)
 
 
-@query()
+@query(CRPS)
 def crps_samples_whole(spark: SparkSession, d: str) -> DataFrame:
     """As :func:`crps_samples`, days without a forecast left out first."""
     return rounded(probabilistic.crps_samples(baselines(spark, d).where("e7 is not null").withColumn("zero", F.lit(0.0)), "entity", "zero", "e7"), 3)

@@ -45,13 +45,13 @@ def strength(df: DataFrame, entity: Names) -> DataFrame:
     return df.groupBy(*names(entity)).agg(of(t).alias("trend_strength"), of(s).alias("seasonal_strength"))
 
 
-def loess(y: np.ndarray, span: int, weights: np.ndarray | None = None) -> np.ndarray:
-    """Local linear fits with tricube weights over the ``span`` nearest places; missing places are estimated too."""
+def loess(y: np.ndarray, span: int, weights: np.ndarray | None = None, beyond: int = 0) -> np.ndarray:
+    """Local linear fits with tricube weights over the ``span`` nearest places; missing places are estimated too, and ``beyond`` places before and after."""
     n = len(y)
     known = np.flatnonzero(~np.isnan(y))
     w0 = np.ones(n) if weights is None else weights
-    out = np.empty(n)
-    for i in range(n):
+    out = np.empty(n + 2 * beyond)
+    for i in range(-beyond, n + beyond):
         far = np.abs(known - i)
         near = known[np.argsort(far, kind="stable")[: min(span, len(known))]]
         reach = max(np.abs(near - i).max(), 1) * max(1.0, span / len(near))
@@ -61,24 +61,33 @@ def loess(y: np.ndarray, span: int, weights: np.ndarray | None = None) -> np.nda
         x = near - np.average(near, weights=w)
         s = (w * x * x).sum()
         b = (w * x * y[near]).sum() / s if s > 1e-12 else 0.0
-        out[i] = np.average(y[near], weights=w) + b * (i - np.average(near, weights=w))
+        out[i + beyond] = np.average(y[near], weights=w) + b * (i - np.average(near, weights=w))
     return out
 
 
 def stl_arrays(y: np.ndarray, period: int, seasonal: int = 7, robust: bool = True, inner: int = 2, outer: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trend, season and rest by repeated local fits (seasonal-trend decomposition)."""
+    """Trend, season and rest by repeated local fits (Cleveland and others 1990).
+
+    Each place of the cycle is smoothed over the cycles and carried one cycle beyond both ends; what running means of one
+    cycle (twice) and of three rows and a local fit leave of that is trend, and taken out of the season. Series of less than
+    two cycles have no season.
+    """
     n = len(y)
     trend, season, w = np.zeros(n), np.zeros(n), np.ones(n)
     span = int(np.ceil(1.5 * period / (1 - 1.5 / max(seasonal, 2))) // 2 * 2 + 1)
+    if n < 2 * period:
+        trend = loess(y, span)
+        return trend, season, y - trend
     for _ in range(outer if robust else 1):
         for _ in range(inner):
             d = y - trend
-            cycle = np.empty(n)
+            cycle = np.empty(n + 2 * period)
             for k in range(period):
-                if len(d[k::period]):
-                    cycle[k::period] = loess(d[k::period], seasonal, w[k::period])
-            low = pd.Series(cycle).rolling(period, center=True, min_periods=1).mean().to_numpy()
-            season = cycle - low
+                cycle[k::period] = loess(d[k::period], seasonal, w[k::period], 1)
+            low = cycle
+            for size in (period, period, 3):
+                low = np.convolve(low, np.full(size, 1 / size), "valid")
+            season = cycle[period : period + n] - loess(low, period + 1 - period % 2)
             trend = loess(y - season, span, w)
         rest = y - trend - season
         h = 6 * np.nanmedian(np.abs(rest))
@@ -98,6 +107,27 @@ def stl(df: DataFrame, entity: Names, ts: str, value: str, period: int, seasonal
     return df.groupBy(*names(entity)).applyInPandas(run, f"{fields}, trend double, seasonal double, resid double")
 
 
+def stl_filled(y: np.ndarray, period: int, rounds: int = 5) -> np.ndarray:
+    """Missing values by trend plus season, from a straight line between neighbours, renewed ``rounds`` times. Without any value all stay missing."""
+    gone = np.isnan(y)
+    out = pd.Series(y).interpolate(method="linear").ffill().bfill().to_numpy(copy=True)
+    if gone.all():
+        return out
+    for _ in range(rounds if gone.any() else 0):
+        trend, season, _ = stl_arrays(out, period)
+        out[gone] = (trend + season)[gone]
+    return out
+
+
+def stl_outliers(df: DataFrame, entity: Names, ts: str, value: str, period: int, most: float = 3.0) -> DataFrame:
+    """Adds ``robust_z`` of the rest by local fits (0.6745 deviations from its median over their median) and ``outlier``."""
+    fit = stl(df, entity, ts, value, period)
+    middle = fit.join(fit.groupBy(*names(entity)).agg(F.median("resid").alias("__m")), names(entity))
+    spread = middle.groupBy(*names(entity)).agg(F.median(F.abs(F.col("resid") - F.col("__m"))).alias("__s"))
+    z = 0.6745 * (F.col("resid") - F.col("__m")) / (F.col("__s") + 1e-8)
+    return middle.join(spread, names(entity)).withColumn("robust_z", z).withColumn("outlier", F.abs("robust_z") > most).drop("__m", "__s")
+
+
 def mstl(df: DataFrame, entity: Names, ts: str, value: str, periods: list[int], rounds: int = 2) -> DataFrame:
     """Several periods in turn, shortest first: ``trend``, ``seasonal_<period>``, ``resid``."""
 

@@ -260,3 +260,14 @@ def cooled(df: DataFrame, entity: Names, index: str, flag: str, cooldown: int) -
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields)
     return df.groupBy(*names(entity)).applyInPandas(run, f"{fields}, alert int")
+
+
+def alert_levels(df: DataFrame, entity: Names, index: str, z: str, p: str, cooldown: int, warn: float = 0.55, critical: float = 0.80) -> DataFrame:
+    """Adds ``score`` (0.4 of |z| over 5, at most 1, and 0.6 of the chance), ``alert`` and ``level``.
+
+    An alert silences the next ``cooldown`` places; silenced rows are "NORMAL". A null z or chance counts as zero.
+    """
+    score = 0.4 * F.least(F.abs(F.coalesce(z, F.lit(0.0))) / 5, F.lit(1.0)) + 0.6 * F.coalesce(p, F.lit(0.0))
+    rows = df.withColumn("score", score).withColumn("__over", (F.col("score") >= warn).cast("int"))
+    level = F.when(F.col("alert") == 0, "NORMAL").when(F.col("score") >= critical, "CRITICAL").otherwise("WARNING")
+    return cooled(rows, entity, index, "__over", cooldown).drop("__over").withColumn("level", level)

@@ -78,6 +78,62 @@ def dtw_column(a: str, b: str, radius: int) -> Column:
     return run(F.col(a), F.col(b))
 
 
+def aligned_many(a: np.ndarray, b: np.ndarray, kind: str, eps: float = 0.25, gamma: float = 1.0, band: int | None = None) -> np.ndarray:
+    """Distances of the series in the rows of ``a`` to those of ``b``, by the table of their prefixes, all rows at once.
+
+    ``lcss``: 1 less the longest common subsequence (values within ``eps``, places within ``band``) over the shorter length.
+    ``edr``: least number of edits, values within ``eps`` being equal, over the longer length. ``erp``: least cost of edits, a
+    gap costing the value's size. ``soft``: warping with a soft minimum of squared differences. An empty series is at
+    distance 1 (``lcss``, ``edr``), at the other's cost of gaps (``erp``) or infinitely far (``soft``); two are at 0.
+    """
+    (r, n), m = a.shape, b.shape[1]
+    if not n or not m:
+        empty = np.abs(a).sum(1) + np.abs(b).sum(1) if kind == "erp" else np.full(r, np.inf if kind == "soft" else 1.0)
+        return np.zeros(r) if n == m else empty
+    before = np.zeros((m + 1, r))
+    if kind == "edr":
+        before += np.arange(m + 1.0)[:, None]
+    elif kind == "erp":
+        before[1:] = np.cumsum(np.abs(b), 1).T
+    elif kind == "soft":
+        before[1:] = np.inf
+    for i in range(n):
+        row, gap = np.empty_like(before), np.abs(a[:, i])
+        row[0] = {"lcss": 0.0, "edr": i + 1.0, "erp": before[0] + gap, "soft": np.inf}[kind]
+        for j in range(m):
+            diagonal, up, left, diff = before[j], before[j + 1], row[j], np.abs(a[:, i] - b[:, j])
+            if kind == "lcss":
+                match = (diff <= eps) & (band is None or abs(i - j) <= band)
+                row[j + 1] = np.where(match, diagonal + 1, np.maximum(up, left))
+            elif kind == "edr":
+                row[j + 1] = np.minimum(diagonal + (diff > eps), np.minimum(up, left) + 1)
+            elif kind == "erp":
+                row[j + 1] = np.minimum(diagonal + diff, np.minimum(up + gap, left + np.abs(b[:, j])))
+            else:
+                parts = np.stack([diagonal, up, left])
+                least = parts.min(0)
+                row[j + 1] = diff * diff + least - gamma * np.log(np.exp((least - parts) / gamma).sum(0))
+        before = row
+    return {"lcss": lambda x: 1 - x / min(n, m), "edr": lambda x: x / max(n, m)}.get(kind, lambda x: x)(before[m])
+
+
+def aligned_column(a: str, b: str, kind: str, **settings: float) -> Column:
+    """:func:`aligned_many` of two array columns; null where one is null. Pairs of a batch with the same lengths go together."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out, lengths = np.full(len(x), np.nan), {}
+        for i, (p, q) in enumerate(zip(x, y, strict=True)):
+            if p is not None and q is not None:
+                lengths.setdefault((len(p), len(q)), []).append(i)
+        for (n, m), at in lengths.items():
+            left, right = (np.array([c.iloc[i] for i in at], float).reshape(len(at), k) for c, k in ((x, n), (y, m)))
+            out[at] = aligned_many(left, right, kind, **settings)
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+    return run(F.col(a), F.col(b))
+
+
 def shape_distance(a: np.ndarray, b: np.ndarray) -> float:
     """1 less the greatest normalised cross-correlation over shifts."""
     n = 1 << (2 * len(a) - 1).bit_length()

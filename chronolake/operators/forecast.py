@@ -306,5 +306,18 @@ def direct(lag_steps: list[int], ridge: float = 1e-6, group: int = 1) -> Fit:
     return fit
 
 
+def mimo(lag_steps: list[int], ridge: float = 1e-6) -> Fit:
+    """One linear model whose answer is the whole horizon: all steps share the rows and the matrix."""
+    return lambda y, h: direct(lag_steps, ridge, h)(y, h)
+
+
+def multi_step(strategy: str, lag_steps: list[int], group: int = 1, ridge: float = 1e-6) -> Fit:
+    """A linear model of lags by strategy: "recursive", "direct" (a model per step), "mimo" (one for all) or "dirmo" (one per ``group`` steps)."""
+    known = {"recursive": lambda: recursive(lag_steps, ridge), "direct": lambda: direct(lag_steps, ridge), "mimo": lambda: mimo(lag_steps, ridge), "dirmo": lambda: direct(lag_steps, ridge, group)}
+    if strategy not in known:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return known[strategy]()
+
+
 #: Forecasters by name, for backtests: of (df, entity, ts, value, horizon).
 REGISTRY: dict[str, Callable[..., DataFrame]] = {"mean": mean, "naive": naive, "drift": drift, "ses": ses, "theta": theta}

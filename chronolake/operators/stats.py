@@ -82,6 +82,68 @@ def normality(df: DataFrame, by: Names, value: str) -> DataFrame:
     return df.groupBy(*names(by)).agg(n.alias("n"), s.alias("skewness"), k.alias("kurtosis"), jb.alias("jarque_bera"), F.exp(-jb / 2).alias("p_value"))
 
 
+def skewness_kurtosis_test(df: DataFrame, by: Names, value: str) -> DataFrame:
+    """Normality by D'Agostino's transformed skewness and Anscombe's transformed kurtosis: both z-scores, their squares' sum and its p-value.
+
+    Groups of fewer than 8 values, or without spread, have nulls.
+    """
+    n = F.count(value).cast("double")
+    one = df.groupBy(*names(by)).agg(n.alias("n"), F.skewness(value).alias("g"), (F.kurtosis(value) + 3).alias("b"))
+    n, g, b = F.col("n"), F.col("g"), F.col("b")
+    y = g * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta - 1)) - 1
+    u = y / F.sqrt(2 / (w2 - 1))
+    z_skew = F.log(u + F.sqrt(u * u + 1)) / F.sqrt(F.log(w2) / 2)
+    x = (b - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
+    inner = (1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4)))
+    z_kurt = (1 - 2 / (9 * a) - F.signum(inner) * F.pow(F.abs(inner), 1 / 3)) / F.sqrt(2 / (9 * a))
+    enough = (n >= 8) & g.isNotNull() & ~F.isnan(g)
+    out = one.select(*names(by), n.cast("long").alias("n"), F.when(enough, z_skew).alias("z_skewness"), F.when(enough, z_kurt).alias("z_kurtosis"))
+    k2 = F.col("z_skewness") * F.col("z_skewness") + F.col("z_kurtosis") * F.col("z_kurtosis")
+    return out.withColumn("k2", k2).withColumn("p_value", F.exp(-F.col("k2") / 2))
+
+
+def giacomini_white(df: DataFrame, entity: Names, ts: str, e1: str, e2: str, power: int = 1) -> DataFrame:
+    """Equal conditional accuracy of two forecasts, given the loss difference of the row before.
+
+    Loss differences are regressed on a constant and their own lag; the statistic is Wald's with the residuals' robust
+    covariance, its p-value that of two degrees of freedom. Four aggregates over a series; no rows are gathered.
+    """
+    keys = names(entity)
+    d = df.select(*keys, ts, (F.pow(F.abs(e1), power) - F.pow(F.abs(e2), power)).alias("d"))
+    d = d.withColumn("z", F.lag("d").over(series(entity, ts))).where("z is not null and d is not null")
+    line = d.groupBy(*keys).agg(F.regr_slope("d", "z").alias("b"), F.regr_intercept("d", "z").alias("a"))
+    r2 = F.pow(F.col("d") - F.col("a") - F.col("b") * F.col("z"), 2)
+    one = d.join(line, keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("d").alias("g1"), F.avg(F.col("d") * F.col("z")).alias("g2"), F.avg(r2).alias("s11"), F.avg(r2 * F.col("z")).alias("s12"), F.avg(r2 * F.col("z") * F.col("z")).alias("s22")
+    )
+    g1, g2, s11, s12, s22 = map(F.col, ("g1", "g2", "s11", "s12", "s22"))
+    wald = F.col("n") * (g1 * g1 * s22 - 2 * g1 * g2 * s12 + g2 * g2 * s11) / (s11 * s22 - s12 * s12)
+    return one.select(*keys, "n", wald.alias("wald")).withColumn("p_value", F.exp(-F.col("wald") / 2))
+
+
+def phillips_perron(df: DataFrame, entity: Names, ts: str, value: str, lags: int) -> DataFrame:
+    """Unit root with a constant: the t statistic of the level's coefficient less one, corrected by a long-run variance of ``lags`` lags with falling weights."""
+    keys, w = names(entity), series(entity, ts)
+    d = df.select(*keys, ts, F.col(value).cast("double").alias("y"), F.lag(F.col(value).cast("double")).over(w).alias("l")).where("l is not null")
+    line = d.groupBy(*keys).agg(F.regr_slope("y", "l").alias("b"), F.regr_intercept("y", "l").alias("a"), F.regr_sxx("y", "l").alias("sxx"))
+    e = d.join(line, keys).select(*keys, ts, "b", "sxx", (F.col("y") - F.col("a") - F.col("b") * F.col("l")).alias("e"))
+    e = e.select("*", *(F.lag("e", k).over(w).alias(f"e{k}") for k in range(1, lags + 1)))
+    one = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("b"), F.max("sxx").alias("sxx"), F.sum(F.col("e") * F.col("e")).alias("ss"), *(F.sum(F.col("e") * F.col(f"e{k}")).alias(f"g{k}") for k in range(1, lags + 1)))
+    n, short = F.col("n"), F.col("ss") / F.col("n")
+    long = short
+    for k in range(1, lags + 1):
+        long = long + 2 * (1 - k / (lags + 1)) * F.col(f"g{k}") / n
+    s2 = F.col("ss") / (n - 2)
+    se = F.sqrt(s2 / F.col("sxx"))
+    z = (F.col("b") - 1) / se * F.sqrt(short / long) - (long - short) / 2 / F.sqrt(long) * n * se / F.sqrt(s2)
+    # Fixed value: 5 % point with a constant for large samples.
+    return one.select(*keys, "n", (F.col("b") - 1).alias("rho"), z.alias("z_tau"), (z < -2.86).alias("stationary"))
+
+
 def comparison(df: DataFrame, entity: Names, ts: str, models: dict[str, str], baseline: str, horizon: int = 1) -> DataFrame:
     """Each model's errors beside the baseline's: mean absolute errors, skill, share of rows with less error, Diebold-Mariano by absolute loss."""
     out = None
@@ -143,6 +205,35 @@ def granger(df: DataFrame, ts: str, cause: str, effect: str, lag: int) -> dict[s
     return {"lag": float(lag), "n": float(n), "f": f, "p_value": f_tail(f, lag, free)}
 
 
+def granger_in_var(df: DataFrame, ts: str, channels: list[str], lag: int) -> list[tuple[str, str, float, float]]:
+    """For each (cause, effect): F statistic and p-value of the cause's lags in the regression of the effect on the lags of all channels. One aggregate serves all pairs.
+
+    The second degrees of freedom are those of all equations together.
+    """
+    import numpy as np
+
+    w = Window.orderBy(ts)
+    lagged = {c: [f"{c}__{k}" for k in range(1, lag + 1)] for c in channels}
+    d = df.select(*channels, *(F.lag(c, k).over(w).alias(f"{c}__{k}") for c in channels for k in range(1, lag + 1)))
+    flat = [*channels, *(x for c in channels for x in lagged[c])]
+    m, n = moments(d, flat)
+    m, at = np.array(m), {c: i for i, c in enumerate(flat, 1)}
+    full = [0, *(at[x] for c in channels for x in lagged[c])]
+    free = len(channels) * (n - len(full))
+    out = []
+    for effect in channels:
+        y = at[effect]
+        rss = _regression_rss(m[np.ix_(full, full)].tolist(), m[full, y].tolist(), m[y, y])
+        for cause in channels:
+            if cause == effect:
+                continue
+            less = [i for i in full if i not in {at[x] for x in lagged[cause]}]
+            part = _regression_rss(m[np.ix_(less, less)].tolist(), m[less, y].tolist(), m[y, y])
+            f = (part - rss) / lag / (rss / (n - len(full)))
+            out.append((cause, effect, f, f_tail(f, lag, free)))
+    return out
+
+
 def adf(df: DataFrame, ts: str, value: str, lag: int = 1) -> dict[str, float]:
     """Dickey-Fuller statistic with a constant and ``lag`` lagged differences."""
     import numpy as np

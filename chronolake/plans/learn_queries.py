@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from chronolake.functions.windows import series
 from chronolake.operators import backtest, features, learn, spine
-from chronolake.plans.catalog import daily, query, table
-from chronolake.plans.watch_queries import hours
+from chronolake.plans.catalog import daily, query, rounded, table
+from chronolake.plans.watch_queries import HOURS, hours, least_squares
 
 LAGS = ["lag_1", "lag_7", "roll_mean_7", "day_of_week"]
 
@@ -42,12 +42,19 @@ def stacked_folds(spark: SparkSession, d: str) -> DataFrame:
     return oof.select("entity", "t", "value", "p_ridge", "p_forest", sum(F.lit(v) * F.col(k) for k, v in w.items()).alias("blend"))
 
 
-@query()
+CHANNELS = ("click", "view", "purchase")
+TERMS = ["one", *(f"{c}_{k}" for k in (1, 2) for c in CHANNELS)]
+
+
+@query(f"""
+WITH RECURSIVE {HOURS}, x AS (SELECT 'a' AS g, CAST(1 AS DOUBLE) AS one, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in CHANNELS)}, {", ".join(f"CAST(lag({c}, {k}) OVER (ORDER BY ts) AS DOUBLE) AS {c}_{k}" for k in (1, 2) for c in CHANNELS)} FROM h), v AS (SELECT * FROM x WHERE click_2 IS NOT NULL),
+{", ".join(least_squares(f"r_{c}", "v", TERMS, c) for c in CHANNELS)}
+{" UNION ALL ".join(f"SELECT '{c}' AS channel, CAST(unnest(range(0, {len(TERMS)})) AS INT) AS term, round(unnest(coef), 6) + 0.0 AS coefficient FROM r_{c}" for c in CHANNELS)}""")
 def vector_autoregression(spark: SparkSession, d: str) -> DataFrame:
     names = ["click", "view", "purchase"]
     c = learn.vector_autoregression(hours(spark, d), "ts", names, 2)
     rows = [(names[i], j, float(v)) for i, r in enumerate(c) for j, v in enumerate(r)]
-    return spark.createDataFrame(rows, "channel string, term int, coefficient double")
+    return rounded(spark.createDataFrame(rows, "channel string, term int, coefficient double"))
 
 
 @query()

@@ -188,9 +188,13 @@ def recursive_direct_forecast(spark: SparkSession, d: str) -> DataFrame:
     return out.join(forecast.per_series(m, *args, forecast.direct([1, 2, 3, 12], 1e-3, 3)).withColumnRenamed("forecast", "direct"), ["entity", "step"])
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {MONTHLY}, n AS MATERIALIZED (SELECT entity, value, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i, count(*) OVER (PARTITION BY entity) AS n, var_pop(value) OVER (PARTITION BY entity) + 1e-9 AS s FROM monthly),
+k AS (SELECT entity, CAST(0 AS BIGINT) AS i, value AS level, s AS v FROM n WHERE i = 1 UNION ALL SELECT n.entity, n.i, k.level + (k.v + 0.1 * n.s) / (k.v + 1.1 * n.s) * (n.value - k.level), (k.v + 0.1 * n.s) * (1 - (k.v + 0.1 * n.s) / (k.v + 1.1 * n.s)) FROM k JOIN n ON n.entity = k.entity AND n.i = k.i + 1),
+e AS (SELECT k.entity, k.level FROM k JOIN n ON n.entity = k.entity AND n.i = k.i WHERE n.i = n.n)
+SELECT entity, CAST(unnest(range(1, 7)) AS INT) AS step, round(level, 3) AS forecast, false AS failed FROM e""")
 def local_level_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.per_series(monthly(spark, d), "entity", "ts", "value", 6, forecast.local_level())
+    return rounded(forecast.per_series(monthly(spark, d), "entity", "ts", "value", 6, forecast.local_level()), 3)
 
 
 # ---------------------------------------------------------------- backtests

@@ -82,16 +82,48 @@ def cross_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.ccf(hours(spark, d).withColumn("e", F.lit(1)), "e", "ts", "click", "view", 3).select("lag", "corr"))
 
 
-@query()
+def least_squares(name: str, rows: str, columns: list[str], target: str, by: str = "g") -> str:
+    """SQL (in a recursive WITH) of a regression by normal equations: (``by``, n, rss, coef, inv), inv being the diagonal of the inverse."""
+    p = len(columns)
+    cells = [f"[{', '.join([*(f'sum({a} * {b})' for b in columns), f'sum({a} * {target})', *('1.0' if a == b else '0.0' for b in columns)])}]" for a in columns]
+    return f"""{name}_m AS MATERIALIZED (SELECT {by}, count(*) AS n, sum({target} * {target}) AS yy, [{", ".join(f"sum({c} * {target})" for c in columns)}] AS xy, CAST([{", ".join(cells)}] AS DOUBLE[][]) AS m FROM {rows} GROUP BY 1),
+{name}_g AS (SELECT {by}, 0 AS k, m FROM {name}_m UNION ALL SELECT {by}, k + 1, list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {2 * p + 2}), lambda j: CASE WHEN i = k + 1 THEN m[i][j] / m[i][i] ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)) FROM {name}_g WHERE k < {p}),
+{name} AS MATERIALIZED (SELECT q.{by}, n, yy - list_sum(list_transform(range(1, {p + 1}), lambda i: g.m[i][{p + 1}] * xy[i])) AS rss, list_transform(g.m, lambda r: r[{p + 1}]) AS coef, list_transform(range(1, {p + 1}), lambda i: g.m[i][{p + 1} + i]) AS inv FROM {name}_g g JOIN {name}_m q ON q.{by} = g.{by} WHERE k = {p})"""
+
+
+def tail_of_f(f: str, first: int, free: str) -> str:
+    """SQL of the F distribution's upper tail: in closed form for 2 degrees of freedom, by Simpson's rule (angles of the t distribution) for 1."""
+    if first == 2:
+        return f"pow({free} / ({free} + 2 * {f}), {free} / 2.0)"
+    at = f"atan(sqrt({f} / {free}))"
+    return f"2 * exp(lgamma(({free} + 1) / 2.0) - lgamma({free} / 2.0)) / sqrt(pi()) * (pi() / 2 - {at}) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos({at} + (pi() / 2 - {at}) * i / 2000), 0), {free} - 1)))"
+
+
+def _granger_sql() -> str:
+    kinds = ("click", "view")
+    cols = ", ".join(f"CAST(lag({c}, {k}) OVER (ORDER BY ts) AS DOUBLE) AS {c}_{k}" for c in kinds for k in (1, 2))
+    ctes, out = [f"{HOURS}, x AS (SELECT 'a' AS g, CAST(1 AS DOUBLE) AS one, CAST(click AS DOUBLE) AS click, CAST(view AS DOUBLE) AS view, {cols} FROM h)"], []
+    for k in (1, 2):
+        ctes.append(f"x{k} AS (SELECT * FROM x WHERE click_{k} IS NOT NULL)")
+        for c, e in (kinds, kinds[::-1]):
+            own, other = [f"{e}_{i}" for i in range(1, k + 1)], [f"{c}_{i}" for i in range(1, k + 1)]
+            ctes += [least_squares(f"small_{e}_{k}", f"x{k}", ["one", *own], e), least_squares(f"full_{e}_{k}", f"x{k}", ["one", *own, *other], e)]
+            out.append(f"SELECT cause, effect, lag, f, {tail_of_f('f', k, 'free')} AS p FROM (SELECT '{c}' AS cause, '{e}' AS effect, CAST({k} AS DOUBLE) AS lag, (s.rss - b.rss) / {k} / (b.rss / (b.n - {2 * k + 1})) AS f, b.n - {2 * k + 1} AS free FROM small_{e}_{k} s JOIN full_{e}_{k} b ON s.g = b.g) q")
+    return f"WITH RECURSIVE {', '.join(ctes)}, o AS ({' UNION ALL '.join(out)}) SELECT cause, effect, lag, round(f, 5) AS f, round(p, 6) AS p_value FROM o"
+
+
+@query(_granger_sql())
 def granger_f(spark: SparkSession, d: str) -> DataFrame:
     h = hours(spark, d)
     rows = [(c, e, float(x["lag"]), x["f"], x["p_value"]) for c, e in (("click", "view"), ("view", "click")) for k in (1, 2) for x in [stats.granger(h, "ts", c, e, k)]]
-    return spark.createDataFrame(rows, "cause string, effect string, lag double, f double, p_value double")
+    return rounded(spark.createDataFrame(rows, "cause string, effect string, lag double, f double, p_value double"), 5, p_value=6)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {TOTAL}, d AS (SELECT ts, value - lag(value) OVER (ORDER BY ts) AS d, lag(value) OVER (ORDER BY ts) AS l FROM total), x AS (SELECT 'a' AS g, CAST(1 AS DOUBLE) AS one, d, l, lag(d, 1) OVER (ORDER BY ts) AS d1, lag(d, 2) OVER (ORDER BY ts) AS d2, lag(d, 3) OVER (ORDER BY ts) AS d3 FROM d), v AS (SELECT * FROM x WHERE d3 IS NOT NULL), {least_squares("r", "v", ["one", "l", "d1", "d2", "d3"], "d")}
+SELECT round(coef[2] / sqrt(rss / (n - 5) * inv[2]), 5) AS stat, CAST(n AS DOUBLE) AS n, CAST(-3.43 AS DOUBLE) AS crit_1, CAST(-2.86 AS DOUBLE) AS crit_5, CAST(-2.57 AS DOUBLE) AS crit_10, CASE WHEN coef[2] / sqrt(rss / (n - 5) * inv[2]) < -2.86 THEN CAST(1 AS DOUBLE) ELSE 0 END AS stationary FROM r""")
 def dickey_fuller(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([{k: float(v) for k, v in stats.adf(total(spark, d), "ts", "value", 3).items()}])
+    return rounded(spark.createDataFrame([{k: float(v) for k, v in stats.adf(total(spark, d), "ts", "value", 3).items()}]), 5)
 
 
 # ---------------------------------------------------------------- drift

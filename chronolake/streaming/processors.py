@@ -208,6 +208,78 @@ class Histogram(Detector):
         return (score,)
 
 
+class DetectorPipeline(Detector):
+    """Spikes and drift together: fading z-score, adaptive window, histogram after 30 values, smoothed |z|, alerts with a cooldown.
+
+    State: rows, row of the last alert, low and high of the histogram, its 20 counts, the z-score's four numbers, the count
+    of the smoothing buffer and its five places, then the adaptive window's buckets or, till the histogram begins, also the
+    values it will be made of.
+    """
+
+    outputs = ("z", "smoothed_z", "histogram", "alert", "drift", "window_mean")
+    most, warmup, bins, size, cooldown, decay = 3.5, 30, 20, 5, 10, 0.99
+    start = (0.0, -10.0, 0.0, 0.0, *(0.0,) * 20, *(0.0,) * 4, 0.0, *(0.0,) * 5, 0.0)
+
+    def update(self, x: float) -> tuple[float, ...]:
+        t, last, low, high = self.state[:4]
+        counts, spot, held = list(self.state[4:24]), self.state[24:28], int(self.state[28])
+        recent, waiting = list(self.state[29 : 29 + held]), int(self.state[34])
+        early, buckets = list(self.state[35 : 35 + waiting]), self.state[35 + waiting :]
+        t += 1
+        fading = FadingZ(spot)
+        fading.decay = self.decay
+        z = fading.update(x)[1]
+        window = Adwin(buckets)
+        mean, _, drift = window.update(x)
+        rarity = 0.0
+        if t <= self.warmup:
+            early.append(x)
+        if t == self.warmup:
+            low, high = min(early), max(early)
+            for v in early:
+                counts[self._bin(v, low, high)] += 1
+            early = []
+        if t >= self.warmup:
+            i = self._bin(x, low, high)
+            rarity = -math.log((counts[i] + 1e-3) / (sum(counts) + self.bins * 1e-3))
+            counts[i] += 1
+        recent = [*recent, abs(z)][-self.size :]
+        smoothed = sum(recent) / len(recent)
+        alert = smoothed > self.most and t - last >= self.cooldown
+        last = t if alert else last
+        self.state = (t, last, low, high, *counts, *fading.state, float(len(recent)), *recent, *(0.0,) * (self.size - len(recent)), float(len(early)), *early, *window.state)
+        return z, smoothed, rarity, float(alert), drift, mean
+
+    def _bin(self, v: float, low: float, high: float) -> int:
+        return min(self.bins - 1, max(0, int((v - low) / (high - low) * self.bins))) if high > low else 0
+
+
+class HalfSpaces(Detector):
+    """Score from the mass profile of a half-space tree over known bounds: little mass on the value's path, high score.
+
+    Values are counted in the current window; when it is full its masses become the reference ones. State: rows, then the
+    reference and the current masses of all nodes below the root, level by level. Nothing is scored in the first window.
+    """
+
+    outputs, depth, window, low, high = ("score",), 6, 250, 0.0, 1.0
+    start = (0.0,) * (1 + 2 * (2**7 - 2))
+
+    def update(self, x: float) -> tuple[float, ...]:
+        nodes = 2 ** (self.depth + 1) - 2
+        n, reference, current = self.state[0] + 1, list(self.state[1 : 1 + nodes]), list(self.state[1 + nodes :])
+        share = min(max((x - self.low) / (self.high - self.low), 0.0), 1.0)
+        mass = 0.0
+        for level in range(1, self.depth + 1):
+            at = 2**level - 2 + min(2**level - 1, int(share * 2**level))
+            mass += reference[at] * 2**level
+            current[at] += 1
+        if n % self.window == 0:
+            reference, current = current, [0.0] * nodes
+        score = 1 / (mass + 1) if n > self.window else 0.0
+        self.state = (n, *reference, *current)
+        return (score,)
+
+
 class OnlineMean(Detector):
     """A forecaster that learns as it goes: predicts, then moves its level towards the value."""
 

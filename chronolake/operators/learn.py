@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -134,6 +135,102 @@ def best_k(df: DataFrame, array: str, candidates: Sequence[int], seed: int = 42)
     return max(scores, key=scores.get), scores
 
 
+def linked_clusters(df: DataFrame, array: str, k: int, centres: int = 100, seed: int = 42) -> DataFrame:
+    """Adds ``cluster`` by average linkage, cut at ``k`` clusters.
+
+    Linkage needs all distances, so what is linked is k-means centres, each with the weight of its rows: their number is a
+    parameter, whatever the number of rows. With fewer rows than centres it is the linkage of the rows themselves.
+    """
+    d = df.withColumn("__v", array_to_vector(F.col(array).cast("array<double>")))
+    model = KMeans(k=centres, seed=seed, featuresCol="__v", predictionCol="__c").fit(d)
+    placed, middle = model.transform(d), np.array(model.clusterCenters())
+    weight = np.zeros(len(middle))
+    for r in placed.groupBy("__c").count().collect():
+        weight[r["__c"]] = r["count"]
+    group, size = np.arange(len(middle)), weight.copy()
+    far = np.sqrt(((middle[:, None] - middle[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.inf)
+    alive = weight > 0
+    far[~alive], far[:, ~alive] = np.inf, np.inf
+    while alive.sum() > k:
+        i, j = sorted(map(int, np.unravel_index(np.argmin(far), far.shape)))
+        far[i] = far[:, i] = (size[i] * far[i] + size[j] * far[j]) / (size[i] + size[j])
+        far[i, i], far[j], far[:, j], alive[j] = np.inf, np.inf, np.inf, False
+        size[i] += size[j]
+        group[group == j] = i
+    number = {g: n for n, g in enumerate(np.flatnonzero(alive).tolist())}
+    names_ = F.create_map(*(F.lit(x) for c, g in enumerate(group.tolist()) if g in number for x in (c, number[g])))
+    return placed.withColumn("cluster", names_[F.col("__c")]).drop("__v", "__c")
+
+
+def shape_clusters(df: DataFrame, array: str, k: int, rounds: int = 10, seed: int = 42) -> DataFrame:
+    """Adds ``cluster`` by shape: series of one length, scaled to mean 0 and deviation 1, nearest by cross-correlation at the best shift.
+
+    A cluster's shape is the first eigenvector of the products of its members, each shifted towards the last shape. The
+    products add up, so a task gives one matrix a cluster and the driver sums them; the members never meet in one place.
+    Starts from a hash of the series. A series without spread is zero everywhere and goes to the first cluster.
+    """
+    width = df.select(F.max(F.size(array))).first()[0] or 0
+    start = np.random.default_rng(seed).integers(0, k, 1 << 16)
+
+    def scaled(x: pd.Series) -> np.ndarray:
+        a = np.array(x.tolist(), float).reshape(len(x), width)
+        a = a - a.mean(1, keepdims=True)
+        return a / np.maximum(a.std(1, keepdims=True), 1e-12)
+
+    def placed(a: np.ndarray, shapes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Cluster and shifted copy of each row."""
+        if shapes is None:
+            return start[(np.abs(a * np.arange(1, width + 1)).sum(1) * 7919).astype(np.int64) % len(start)], a
+        n = 1 << (2 * width).bit_length()
+        cross = np.fft.irfft(np.fft.rfft(shapes, n)[None] * np.conj(np.fft.rfft(a, n))[:, None], n)
+        shifts = np.r_[0:width, -width + 1 : 0]
+        best = cross[:, :, shifts]
+        where = best.reshape(len(a), -1).argmax(1)
+        c, s = where // len(shifts), shifts[where % len(shifts)]
+        at = np.arange(width)[None] - s[:, None]
+        return c, np.where((at >= 0) & (at < width), np.take_along_axis(a, np.clip(at, 0, width - 1), 1), 0.0)
+
+    shapes = None
+    for _ in range(rounds if width else 0):
+
+        def products(batches: Iterator[pd.DataFrame], shapes: np.ndarray | None = shapes) -> Iterator[pd.DataFrame]:
+            total = np.zeros((k, width + 1, width))
+            for b in batches:
+                if len(b):
+                    c, moved = placed(scaled(b["x"]), shapes)
+                    for g in np.unique(c):
+                        total[g] += np.vstack([moved[c == g].T @ moved[c == g], moved[c == g].sum(0)])
+            yield pd.DataFrame({"c": np.arange(k), "m": [x.ravel() for x in total]})
+
+        sums = df.select(F.col(array).cast("array<double>").alias("x")).where("x is not null").mapInPandas(products, "c int, m array<double>")
+        summed = sums.select("c", F.posexplode("m").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("v")).toPandas()
+        total = np.zeros((k, width * (width + 1)))
+        total[summed["c"], summed["i"]] = summed["v"]
+        level = np.eye(width) - 1 / width
+        total = total.reshape(k, width + 1, width)
+        shapes = np.array([np.linalg.eigh(level @ x[:-1] @ level)[1][:, -1] for x in total])
+        # An eigenvector has no sign of its own: that of the members' sum.
+        shapes *= np.where((shapes * total[:, -1]).sum(1) < 0, -1, 1)[:, None]
+    final = shapes
+
+    @F.pandas_udf("int")
+    def assign(x: pd.Series) -> pd.Series:
+        known = x.notna().to_numpy()
+        out = pd.Series([None] * len(x), dtype="Int32")
+        if known.any() and width:
+            out[known] = placed(scaled(x[known]), final)[0].astype(np.int32)
+        return out
+
+    return df.withColumn("cluster", assign(F.col(array).cast("array<double>")))
+
+
+def reloaded(model: PipelineModel, path: str) -> PipelineModel:
+    """The model as read from what is written: what a serving job gets."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def k_anonymous(df: DataFrame, entity: str, ts: str, value: str, vectors: DataFrame, array: str, k: int) -> DataFrame:
     """Values replaced by their cluster's mean at each time; entities of clusters with fewer than ``k`` are left out."""
     n = vectors.count()

@@ -234,6 +234,55 @@ def granger_in_var(df: DataFrame, ts: str, channels: list[str], lag: int) -> lis
     return out
 
 
+def _partial(m, i: int, j: int, given: list[int], n: int) -> tuple[float, float]:  # noqa: ANN001
+    """Partial correlation of two columns of a moment matrix (column 0 the constant) and its p-value."""
+    import numpy as np
+
+    z = [0, *given]
+    pair = m[np.ix_([i, j], [i, j])] - m[np.ix_([i, j], z)] @ np.linalg.pinv(m[np.ix_(z, z)], hermitian=True) @ m[np.ix_(z, [i, j])]
+    size = pair[0, 0] * pair[1, 1]
+    r = float(np.clip(pair[0, 1] / math.sqrt(size), -1, 1)) if size > 0 else 0.0
+    free = n - len(given) - 2
+    return r, t_tail(r * math.sqrt(free / max(1 - r * r, 1e-12)), free) if free > 0 else 1.0
+
+
+def lagged_causes(df: DataFrame, ts: str, channels: list[str], lag: int, alpha: float = 0.05) -> list[tuple[str, int, str, float, float]]:
+    """(cause, lag, effect, partial correlation, p-value) for all channels and lags, by momentary conditional independence.
+
+    First the parents of each channel: lagged columns that stay correlated with it given the strongest 0, 1, 2, ... others.
+    Then each link is tested given the effect's other parents and the cause's own parents, so much earlier. Everything is
+    read off one aggregate of products of 2 x ``lag`` lagged columns a channel.
+    """
+    import numpy as np
+
+    w = Window.orderBy(ts)
+    at = {(c, k): 1 + k * len(channels) + i for k in range(2 * lag + 1) for i, c in enumerate(channels)}
+    flat = [f"{c}__{k}" for c, k in at]
+    m, n = moments(df.select(*(F.lag(c, k).over(w).alias(f"{c}__{k}") for c, k in at)), flat)
+    m = np.array(m)
+    parents: dict[str, list[tuple[str, int]]] = {}
+    for effect in channels:
+        left, size = [(c, k) for c in channels for k in range(1, lag + 1)], 0
+        strength = {x: 1.0 for x in left}
+        while size < len(left):
+            gone = []
+            for x in left:
+                others = sorted((o for o in left if o != x), key=lambda o: -strength[o])[:size]
+                r, p = _partial(m, at[x], at[effect, 0], [at[o] for o in others], n)
+                strength[x] = min(strength[x], abs(r))
+                if p > alpha:
+                    gone.append(x)
+            left, size = [x for x in left if x not in gone], size + 1
+        parents[effect] = sorted(left, key=lambda o: -strength[o])
+    out = []
+    for effect in channels:
+        for cause in channels:
+            for k in range(1, lag + 1):
+                given = {at[o] for o in parents[effect] if o != (cause, k)} | {at[c, j + k] for c, j in parents[cause]}
+                out.append((cause, k, effect, *_partial(m, at[cause, k], at[effect, 0], sorted(given - {at[cause, k]}), n)))
+    return out
+
+
 def adf(df: DataFrame, ts: str, value: str, lag: int = 1) -> dict[str, float]:
     """Dickey-Fuller statistic with a constant and ``lag`` lagged differences."""
     import numpy as np

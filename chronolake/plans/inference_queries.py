@@ -66,6 +66,11 @@ def granger_in_var(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.createDataFrame(stats.granger_in_var(hours(spark, d), "ts", VAR, 2), "cause string, effect string, f double, p_value double"), 5, p_value=6)
 
 
+@query()
+def lagged_causes(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(spark.createDataFrame(stats.lagged_causes(hours(spark, d), "ts", VAR, 2), "cause string, lag int, effect string, partial double, p_value double"))
+
+
 # ---------------------------------------------------------------- fills, outliers, strategies
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions.windows import series
 from chronolake.operators import backtest, features, learn, spine
+from chronolake.sources.readers import new_folder
 from chronolake.plans.catalog import daily, query, rounded, table
 from chronolake.plans.watch_queries import HOURS, hours, least_squares
 
@@ -62,6 +63,26 @@ def series_clusters(spark: SparkSession, d: str) -> DataFrame:
     return learn.clusters(table(spark, d, "embeddings"), "embedding", 10).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def linked_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return learn.linked_clusters(table(spark, d, "embeddings"), "embedding", 10).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def shape_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return learn.shape_clusters(table(spark, d, "embeddings"), "embedding", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_other FROM (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS ts, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE)) AS i FROM (SELECT DISTINCT o_orderpriority, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders) x) y WHERE i > 7")
+def reloaded_model(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of a model and of what is read back from its written form: rows, and rows that differ."""
+    x = supervised(spark, d)
+    model = learn.regressor("ridge", LAGS, "value").fit(x)
+    again = learn.reloaded(model, new_folder(spark))
+    both = learn.predicted(again, learn.predicted(model, x).withColumnRenamed("prediction", "first"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("first").eqNullSafe(F.col("prediction"))).alias("n_other"))
+
+
 @query()
 def calibrated_quality(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("n_chars").cast("double").alias("score"))

@@ -166,9 +166,14 @@ def croston_tsb(spark: SparkSession, d: str) -> DataFrame:
     return rounded(forecast.tsb(part_months(spark, d), "entity", "ts", "value", 3))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {MONTHLY}, y AS MATERIALIZED (SELECT entity, list(value ORDER BY ts) AS y, CAST(count(*) AS INT) AS n FROM monthly GROUP BY 1 HAVING count(*) >= 24), grid AS (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c FROM (VALUES (0.1), (0.3), (0.5), (0.8)) p(a) CROSS JOIN (VALUES (0.01), (0.1), (0.3)) q(b) CROSS JOIN (VALUES (0.05), (0.2), (0.5)) r(c)),
+h AS (SELECT entity, a, b, c, 0 AS i, list_avg(y[1:12]) AS level, (list_avg(y[13:24]) - list_avg(y[1:12])) / 12 AS trend, list_transform(y[1:12], lambda v: v - list_avg(y[1:12])) AS season, CAST(0 AS DOUBLE) AS sse FROM y CROSS JOIN grid
+ UNION ALL SELECT entity, a, b, c, i + 1, nl, b * (nl - level) + (1 - b) * trend, list_transform(range(1, 13), lambda k: CASE WHEN k = i % 12 + 1 THEN c * (v - nl) + (1 - c) * season[k] ELSE season[k] END), sse + pow(v - (level + trend + season[i % 12 + 1]), 2) FROM (SELECT h.*, y.y[h.i + 1] AS v, a * (y.y[h.i + 1] - season[h.i % 12 + 1]) + (1 - a) * (level + trend) AS nl FROM h JOIN y ON y.entity = h.entity WHERE h.i < y.n) x),
+f AS (SELECT h.*, row_number() OVER (PARTITION BY h.entity ORDER BY sse, a, b, c) AS o FROM h JOIN y ON y.entity = h.entity AND h.i = y.n), t AS (SELECT entity, i, level, trend, season, CAST(unnest(range(1, 13)) AS INT) AS step FROM f WHERE o = 1)
+SELECT entity, step, round(level + step * trend + season[(i + step - 1) % 12 + 1], 2) AS forecast, false AS failed FROM t""")
 def holt_winters_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.per_series(monthly(spark, d), "entity", "ts", "value", 12, forecast.holt_winters(12))
+    return rounded(forecast.per_series(monthly(spark, d), "entity", "ts", "value", 12, forecast.holt_winters(12)), 2)
 
 
 @query()
@@ -435,9 +440,16 @@ def crps_samples_whole(spark: SparkSession, d: str) -> DataFrame:
     return rounded(probabilistic.crps_samples(baselines(spark, d).where("e7 is not null").withColumn("zero", F.lit(0.0)), "entity", "zero", "e7"), 3)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {BASELINES}, p AS MATERIALIZED (SELECT entity, ts, y, f7, abs(y - f7) AS s, CAST(row_number() OVER w - 1 AS INT) AS i, list_sort(list(abs(y - f7)) OVER (PARTITION BY entity ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS past FROM b WINDOW w AS (PARTITION BY entity ORDER BY ts)),
+r AS (SELECT entity, 20 AS i, CAST(0.1 AS DOUBLE) AS a FROM p WHERE i = 20
+ UNION ALL SELECT entity, i + 1, least(0.99, greatest(0.01, a + 0.01 * (0.1 - CASE WHEN s > lo + (place - floor(place)) * (hi - lo) THEN 1 ELSE 0 END))) FROM (SELECT r.entity, r.i, r.a, p.s, (1 - r.a) * (r.i - 1) AS place, p.past[CAST(floor((1 - r.a) * (r.i - 1)) AS INT) + 1] AS lo, p.past[CAST(ceil((1 - r.a) * (r.i - 1)) AS INT) + 1] AS hi FROM r JOIN p ON p.entity = r.entity AND p.i = r.i) x),
+w AS (SELECT p.*, a, past[CAST(floor((1 - a) * (p.i - 1)) AS INT) + 1] + ((1 - a) * (p.i - 1) - floor((1 - a) * (p.i - 1))) * (past[CAST(ceil((1 - a) * (p.i - 1)) AS INT) + 1] - past[CAST(floor((1 - a) * (p.i - 1)) AS INT) + 1]) AS width FROM p LEFT JOIN r ON r.entity = p.entity AND r.i = p.i)
+SELECT entity, ts, round(y, 3) AS y, round(f7, 3) AS f7, round(a, 6) AS alpha_t, round(f7 - width, 6) AS lower, round(f7 + width, 6) AS upper FROM w""")
 def adaptive_conformal(spark: SparkSession, d: str) -> DataFrame:
-    return probabilistic.adaptive_conformal(baselines(spark, d).select("entity", "ts", "y", "f7"), "entity", "ts", "y", "f7")
+    """The first 20 days of an entity have no interval yet: null. Bounds have up to five decimals, so six digits round no half."""
+    out = probabilistic.adaptive_conformal(baselines(spark, d).select("entity", "ts", "y", "f7"), "entity", "ts", "y", "f7")
+    return rounded(out.select("entity", "ts", "y", "f7", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("alpha_t", "lower", "upper"))), 6, y=3, f7=3)
 
 
 @query()

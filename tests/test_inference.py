@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronolake.operators import anomaly, decompose, distance, forecast, stats
+from chronolake.operators import anomaly, decompose, distance, forecast, learn, stats
 from chronolake.plans import inference_queries
 from chronolake.streaming import processors
 
@@ -199,3 +199,46 @@ def test_stl_splits_a_clean_series():
     assert np.abs(trend - line).max() < 1e-6 and np.abs(season - wave).max() < 1e-6 and np.abs(rest).max() < 1e-6
     assert np.abs(decompose.stl_arrays(line, 7)[1]).max() < 1e-6
     assert np.array_equal(decompose.stl_arrays(line[:10], 7)[1], np.zeros(10))
+
+
+def test_lagged_causes_leave_out_what_goes_between(spark):
+    """x drives y and y drives z: x and z are related, but not directly."""
+    rng = np.random.default_rng(8)
+    e = rng.normal(0, 1, (3, 1500))
+    x, y, z = e[0].copy(), e[1].copy(), e[2].copy()
+    for i in range(1, 1500):
+        x[i] += 0.5 * x[i - 1]
+        y[i] += 0.8 * x[i - 1]
+        z[i] += 0.8 * y[i - 1]
+    d = spark.createDataFrame(pd.DataFrame({"ts": np.arange(1500), "x": x, "y": y, "z": z}))
+    got = {(c, k, e): (r, p) for c, k, e, r, p in stats.lagged_causes(d, "ts", ["x", "y", "z"], 2)}
+    assert len(got) == 18
+    strong = {k for k, (r, _) in got.items() if abs(r) > 0.3}
+    assert strong == {("x", 1, "x"), ("x", 1, "y"), ("y", 1, "z")}
+    assert abs(got["x", 2, "z"][0]) < 0.1
+
+
+def test_linked_and_shape_clusters(spark):
+    rng = np.random.default_rng(6)
+    blobs = [(g, (np.array([10.0 * g, -5.0 * g, 3.0]) + rng.normal(0, 0.5, 3)).tolist()) for g in range(4) for _ in range(40)]
+    d = spark.createDataFrame(blobs, "g int, v array<double>")
+    got = learn.linked_clusters(d, "v", 4, 20).toPandas()
+    assert (got.groupby("g").cluster.nunique() == 1).all() and got.cluster.nunique() == 4
+    # Average linkage of single rows, by hand: two near pairs and a far one.
+    rows = spark.createDataFrame([(i, [x]) for i, x in enumerate([0.0, 1.0, 10.0, 11.0, 100.0, 101.0])], "g int, v array<double>")
+    few = learn.linked_clusters(rows, "v", 2, 6).toPandas().set_index("g").cluster
+    assert few[[0, 1, 2, 3]].nunique() == 1 and few[[4, 5]].nunique() == 1 and few[0] != few[4]
+
+    t = np.arange(48)
+    made = []
+    for i in range(120):
+        at = 14 + rng.integers(-4, 5)
+        wave = np.exp(-((t - at) ** 2) / 8) if i % 2 else -np.exp(-((t - at) ** 2) / 8)
+        made.append((i % 2, (3 * wave + 100 + rng.normal(0, 0.1, 48)).tolist()))
+    s = spark.createDataFrame([*made, (2, [5.0] * 48), (3, None)], "g int, v array<double>").repartition(3)
+    out = learn.shape_clusters(s, "v", 2).toPandas()
+    sides = out[out.g < 2].groupby("g").cluster.agg(lambda c: c.value_counts(normalize=True).iloc[0])
+    assert (sides > 0.95).all()
+    assert out[out.g == 0].cluster.mode()[0] != out[out.g == 1].cluster.mode()[0]
+    assert out[out.g == 3].cluster.isna().all()
+    assert learn.shape_clusters(s.where("false"), "v", 2).collect() == []

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolake.llm import chat, langid, licenses, packing, pieces, pii, quality, rabitq, simhash, warc
+from chronolake.llm import chat, langid, lexical, licenses, packing, pieces, pii, quality, rabitq, runs, simhash, toxicity, warc
 from chronolake.llm.sql import ORACLE_SQL  # noqa: F401
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -65,6 +65,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path(WORD_MODEL), with_ids=False)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.with_periods(_documents(spark, sf_dir))))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries are the stated ones, all benchmark items; they search all documents."""
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_warc": op2_warc,
@@ -76,4 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_toxicity": op11_toxicity,
+    "op12_runs": op12_runs,
+    "op13_search": op13_search,
 }

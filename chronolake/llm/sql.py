@@ -28,4 +28,13 @@ v AS (SELECT doc_id, n_words, n - spaces AS word_chars, n_symbols, n_dup_lines,
  OR n - spaces > 20 * n_words OR 2 * (n - spaces) < 3 * n_words OR 2 * digits > n - spaces OR (n_lines >= 10 AND 10 * bullets > 9 * n_lines) OR (n_lines >= 10 AND 10 * ellipses > 3 * n_lines) AS bad FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM v"""
 
-ORACLE_SQL = {"op2_warc": OP2_WARC, "op6_chat": OP6_CHAT, "op9_quality": OP9_QUALITY}
+OP13_SEARCH = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS big_n, sum(len(w)) AS big_l FROM d WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+v AS (SELECT DISTINCT t FROM i), o AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d), f AS (SELECT doc_id, n, t, count(*) AS tf FROM o JOIN v USING (t) GROUP BY 1, 2, 3), g AS (SELECT t, count(*) AS df FROM f GROUP BY 1),
+c AS (SELECT doc_id, f.t, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // CAST(big_l AS BIGINT)))) AS gain FROM f JOIN g ON f.t = g.t, s),
+r AS (SELECT item_id, doc_id, sum(gain) AS score FROM i JOIN c ON i.t = c.t GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM k WHERE rank <= 10"""
+
+ORACLE_SQL = {"op2_warc": OP2_WARC, "op6_chat": OP6_CHAT, "op9_quality": OP9_QUALITY, "op13_search": OP13_SEARCH}

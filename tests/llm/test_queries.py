@@ -13,12 +13,12 @@ SF = "/root/testdata/sf0.001"
 def test_whole_table(spark, name):
     df = queries.QUERIES[name](spark, SF)
     rows = df.collect()
-    table, key = {"op1": ("embeddings", None), "op2": ("pages", "page_id"), "op6": ("conversations", "conv_id")}.get(name.split("_")[0], ("documents", "doc_id"))
+    table, key = {"op1": ("embeddings", None), "op2": ("pages", "page_id"), "op6": ("conversations", "conv_id"), "op13": ("benchmark", "item_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     whole = spark.read.parquet(f"{SF}/{table}.parquet")
     if key:
         want = {r[0] for r in whole.select(key).distinct().collect()} | ({-1} if name.startswith("op6") else set())
         assert {r[key] for r in rows} == want
-        assert name.startswith("op10") or len(rows) == len(want)
+        assert name.startswith(("op10", "op13")) or len(rows) == len(want)
     else:
         assert len(rows) == 5 * whole.where("vec_id % 50 = 0").count()
 
@@ -26,7 +26,7 @@ def test_whole_table(spark, name):
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)

@@ -39,6 +39,8 @@ SAMPLE = 20_000
 CELLS, TREE = 12_000_000, 16_384
 #: Children of a node in either tree.
 FAN = 8
+#: Random directions by which rows are put in order.
+DIMS = 64
 #: Separators become spaces and A-Z small; other bytes, all beyond ASCII among them, stay as they are.
 TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 
@@ -138,17 +140,40 @@ def corpus(rows: DataFrame, vocabulary: int) -> Corpus:
 # ---------------------------------------------------------------- trees
 
 
-def ordered_by_common(rows: list[np.ndarray], rank: np.ndarray) -> list[int]:
-    """An order that brings rows with the same most common terms together, so that nodes made of neighbours are tight."""
-    keys = [tuple(sorted(rank[r].tolist())[:6]) for r in rows]
-    return sorted(range(len(rows)), key=keys.__getitem__)
+def neighbours(start: np.ndarray, at: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """An order of sparse rows in which like ones stand together, so that nodes made of neighbours are tight.
 
-
-def levels(n: int) -> list[int]:
-    """Numbers of nodes from the leaves up to one root."""
-    out = [n]
-    while out[-1] > 1:
-        out.append(-(-out[-1] // FAN))
+    Rows are projected on ``DIMS`` random directions, then halved again and again along the direction in which they differ
+    most; cuts fall on the borders of nodes.
+    """
+    n = len(start) - 1
+    size = np.diff(start)
+    sketch, row = np.zeros((n, DIMS)), np.repeat(np.arange(n), size)
+    if n <= FAN or not len(at):
+        return np.arange(n)
+    norm = np.sqrt(np.bincount(row, mass.astype(np.float64) ** 2, n))
+    direction = np.random.default_rng(13).standard_normal((int(at.max()) + 1, DIMS))
+    share = mass / np.maximum(norm[row], 1e-12)
+    for d in range(DIMS):
+        sketch[:, d] = np.bincount(row, share * direction[at, d], n)
+    out, todo = np.arange(n), [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= FAN:
+            continue
+        x = sketch[out[a:b]]
+        x = x - x.mean(0)
+        v = x[np.argmax((x * x).sum(1))]
+        for _ in range(8):
+            v = (x @ v) @ x
+            v /= max(np.sqrt(v @ v), 1e-12)
+        along = x @ v
+        unit = FAN
+        while unit * FAN < b - a:
+            unit *= FAN
+        cut = min(max(round((b - a) / 2 / unit), 1) * unit, (b - a - 1) // unit * unit)
+        out[a:b] = out[a:b][np.argsort(along, kind="stable")]
+        todo += [(a, a + cut), (a + cut, b)]
     return out
 
 
@@ -156,10 +181,10 @@ class ItemTree:
     """Level 0 has a node for each item; a node holds its terms and their largest weights (all equal, as a weight belongs to the term)."""
 
     def __init__(self, items: Items, weight: np.ndarray) -> None:
-        rank = np.argsort(np.argsort(weight, kind="stable"), kind="stable")
-        self.order = ordered_by_common(items.held, rank)
-        self.keys = [items.keys[i] for i in self.order]
-        level = [items.held[i] for i in self.order]
+        at = np.concatenate(items.held)
+        order = neighbours(np.concatenate(([0], np.cumsum([len(x) for x in items.held]))), at, weight[at])
+        self.keys = [items.keys[i] for i in order]
+        level = [items.held[i] for i in order]
         self.levels = [level]
         while len(level) > 1:
             level = [np.unique(np.concatenate(level[i : i + FAN])) for i in range(0, len(level), FAN)]
@@ -204,12 +229,32 @@ class Search:
         self.kth = np.maximum(floor, 1)
         self.found: list[list[tuple[int, object]]] = [[] for _ in items.keys]
         self.of_term = np.zeros(len(items.weight), np.int64)
-        self.pairs = 0
+        #: Pairs of nodes bounded, and of items and documents scored.
+        self.pairs = self.scored = 0
 
     def run(self, tree: DocumentTree, ids: list) -> None:
         top = len(tree.levels) - 1
+        for item in range(len(self.kth)):
+            self._seed(item, tree, top)
         self._visit(len(self.items.levels) - 1, 0, tree, top, np.zeros(1, np.int64), ids)
 
+    def _seed(self, item: int, tree: DocumentTree, top: int) -> None:
+        """Raise an item's k-th best score by the documents below the nodes of greatest bound on each level."""
+        held, nodes = self.items.levels[0][item], np.zeros(1, np.int64)
+        for deep in range(top, 0, -1):
+            bound = tree.bounds(deep, nodes, held, self.items.weight)
+            self.pairs += len(nodes)
+            nodes = nodes[np.argsort(-bound, kind="stable")[: 1 + self.k // FAN]]
+            if bound.max() < self.kth[item]:
+                return
+            nodes = _children(nodes, len(tree.levels[deep - 1]) if deep > 1 else len(tree.start) - 1)
+        self.of_term[held] = self.items.weight[held]
+        got = np.sort(tree.scores(nodes, self.of_term))
+        self.scored += len(nodes)
+        self.of_term[held] = 0
+        if len(got) >= self.k:
+            self.kth[item] = max(self.kth[item], got[-self.k])
+
     def _visit(self, level: int, node: int, tree: DocumentTree, deep: int, nodes: np.ndarray, ids: list) -> None:
         held = self.items.levels[level][node]
         first, last = node * FAN**level, min((node + 1) * FAN**level, len(self.kth))
@@ -238,11 +283,12 @@ class Search:
         self.of_term[held] = self.items.weight[held]
         bound = tree.bounds(1, nodes, held, self.items.weight) if len(nodes) else np.zeros(0, np.int64)
         n = len(tree.start) - 1
-        for at in range(0, len(nodes), 64):
-            now = nodes[at : at + 64][bound[at : at + 64] >= self.kth[item]]
+        for at in range(0, len(nodes), 2 * FAN):
+            now = nodes[at : at + 2 * FAN][bound[at : at + 2 * FAN] >= self.kth[item]]
             if not len(now):
                 break
             docs = _children(now, n)
+            self.scored += len(docs)
             got = tree.scores(docs, self.of_term)
             good = got >= self.kth[item]
             if good.any():
@@ -268,7 +314,6 @@ def _searched(rows: DataFrame, items: ItemTree, counts: Corpus, k: int, floor: n
     """Best ``k`` documents of each item in each task: ``item`` (number in the tree), ``doc``, ``score``."""
     vocabulary = len(counts.weight)
     most = max(FAN * FAN, min(TREE, CELLS * FAN // max(vocabulary, 1)))
-    rank = np.argsort(np.argsort(counts.weight, kind="stable"), kind="stable")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search, id_type = Search(items, k, floor.copy()), None
@@ -279,10 +324,10 @@ def _searched(rows: DataFrame, items: ItemTree, counts: Corpus, k: int, floor: n
                 size = pc.list_value_length(part.column("at")).to_numpy(zero_copy_only=False).astype(np.int64)
                 at, tf = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "tf"))
                 impact = counts.impact(tf, np.repeat(part.column("n").to_numpy(zero_copy_only=False), size))
-                first = np.cumsum(size) - size
-                order = np.array(ordered_by_common([at[s : s + n] for s, n in zip(first.tolist(), size.tolist(), strict=True)], rank))
+                start = np.concatenate(([0], np.cumsum(size)))
+                order = neighbours(start, at, impact * counts.weight[at])
                 ids = part.column("doc").take(pa.array(order)).to_pylist()
-                search.run(DocumentTree(*_reordered(first, size, at, impact, order), vocabulary), ids)
+                search.run(DocumentTree(*_reordered(start[:-1], size, at, impact, order), vocabulary), ids)
             give_back()
         rows = [(i, d, s) for i, best in enumerate(search.found) for s, d in best]
         if rows:

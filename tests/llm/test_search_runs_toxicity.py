@@ -163,18 +163,23 @@ def test_search_against_all_scores(spark, seed, terms, sample):
 
 
 def test_search_drops_batches():
-    """Where one text holds an item's rare terms, most pairs of nodes are never looked at."""
+    """Items ask for terms of one topic each: nodes of other topics fall whole, and few documents are scored one by one."""
     rng = np.random.default_rng(4)
-    rows = [np.unique(np.concatenate([rng.integers(0, 50, 20), 50 + rng.integers(0, 3000, 10)])) for _ in range(8_192)]
-    start = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-    at = np.concatenate(rows)
-    weight = np.where(np.arange(3_050) < 50, 100, 8_000)
-    items = lexical.Items(list(range(64)), [rows[i * 100].astype(np.int32) for i in range(64)], {})
-    search = lexical.Search(lexical.ItemTree(items, weight), 1, np.zeros(64, np.int64))
-    tree = lexical.DocumentTree(start, at, np.full(len(at), 1000), 3_050)
-    search.run(tree, list(range(8_192)))
-    assert [best[0][1] for _, best in sorted(zip(search.items.keys, search.found, strict=True))] == [i * 100 for i in range(64)]
-    assert search.pairs < 64 * 1_024
+    rows = [np.unique(np.concatenate([rng.integers(0, 5, 3), 5 + 100 * (i % 32) + rng.integers(0, 100, 30)])) for i in range(8_192)]
+    weight = np.concatenate([np.full(5, 100), 3_000 + rng.integers(0, 3_000, 3_200)])
+    every = np.concatenate(rows)
+    order = lexical.neighbours(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), every, weight[every]).tolist()
+    kept = [rows[i] for i in order]
+    start, at = np.concatenate(([0], np.cumsum([len(r) for r in kept]))), np.concatenate(kept)
+    asked = [rows[i * 101].astype(np.int32) for i in range(64)]
+    search = lexical.Search(lexical.ItemTree(lexical.Items(list(range(64)), asked, {}), weight), 3, np.zeros(64, np.int64))
+    search.run(lexical.DocumentTree(start, at, np.full(len(at), 1000), len(weight)), order)
+    for key, best in zip(search.items.keys, search.found, strict=True):
+        of = np.zeros(len(weight), np.int64)
+        of[asked[key]] = weight[asked[key]]
+        every = sorted((-1000 * int(of[r].sum()), i) for i, r in enumerate(rows))
+        assert [(-s, i) for s, i in best] == every[:3]
+    assert search.scored < 0.1 * 64 * 8_192 and search.pairs < 0.5 * 64 * 1_024
 
 
 def test_search_of_empty_tables(spark):

@@ -308,12 +308,16 @@ def components(pairs: DataFrame) -> DataFrame:
 WIDE_BITS, MISS = 256, 0.001
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """Four longs: a SimHash of :data:`WIDE_BITS` bits over the distinct shingles of a whole text, words and shingles as in :func:`fingerprint`."""
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles of a whole text, rising; words and shingles as in :func:`fingerprint`."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    counts = np.zeros(WIDE_BITS, np.int64)
     joined = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) > words else [b" ".join(w)] if w else []
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64))
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """Four longs: a SimHash of :data:`WIDE_BITS` bits over the :func:`shingles` of a text."""
+    h, counts = shingles(text, words), np.zeros(WIDE_BITS, np.int64)
     for at in range(0, len(h), 1 << 14):
         for k in range(WIDE_BITS // 64):
             x = h[at : at + (1 << 14)] + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & ((1 << 64) - 1))
@@ -324,8 +328,9 @@ def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
     return np.packbits(2 * counts > len(h), bitorder="little").view("<i8")
 
 
-#: Standard errors over the expected number of differing bits that a link allows: of pairs at the similarity itself, 9 in 10 lie within.
-ERRORS = 1.3
+#: Standard errors over the expected number of differing bits: pairs within the first are sure to meet, pairs within the second
+#: are candidates where they meet. Of pairs at the similarity itself 9 in 10 lie within the first, 99 in 100 within the second.
+ERRORS, REACH = 1.3, 2.5
 #: Documents to leave out up to which their table goes to every executor instead of all texts through a shuffle.
 FEW = 1_000_000
 
@@ -423,43 +428,131 @@ def joined(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def nearest_joined(fp: np.ndarray, radius: int) -> np.ndarray:
+    """A spanning forest as :func:`joined`, of rows (i, j, differing bits), that prefers near pairs.
+
+    Up to :data:`SQUARE` rows it is the one of least distances (grown row by row), so a pair is left out only where
+    nearer ones connect it. More rows are joined within a third and two thirds of the radius first, then within all of it.
+    """
+    m = len(fp)
+    out: list[np.ndarray] = []
+    if m <= SQUARE:
+        u, far = np.ascontiguousarray(fp.T).view(np.uint64), np.zeros((m, m), np.int32)
+        for x in u:
+            far += np.bitwise_count(x[:, None] ^ x[None])
+        left = np.flatnonzero((far <= radius).sum(1) > 1)
+        while len(left) > 1:
+            at, left = left[0], left[1:]
+            best, by = far[at, left], np.full(len(left), at)
+            while len(left):
+                k = int(best.argmin())
+                if best[k] > radius:
+                    break
+                new = left[k]
+                out.append(np.array([by[k], new, best[k]]))
+                rest = np.arange(len(left)) != k
+                left, best, by = left[rest], best[rest], by[rest]
+                nearer = far[new, left] < best
+                best, by = np.where(nearer, far[new, left], best), np.where(nearer, new, by)
+        return np.array(out, np.int64).reshape(-1, 3)
+    sets = Sets(m)
+    for r in (radius // 3, 2 * radius // 3, radius):
+        group = np.array([sets.root(i) for i in range(m)])
+        order = np.argsort(group, kind="stable")
+        cuts = np.r_[np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]), m]
+        members = {int(group[order[a]]): order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+        left = order
+        while len(left):
+            own = group[left[0]]
+            front, left = members[int(own)].tolist(), left[group[left] != own]
+            while front and len(left):
+                i = front.pop()
+                d = _apart(fp[left], fp[i])
+                hit = np.flatnonzero(d <= r)
+                if not len(hit):
+                    continue
+                hit = hit[np.argsort(d[hit], kind="stable")]
+                found, first = np.unique(group[left[hit]], return_index=True)
+                for k in hit[first].tolist():
+                    sets.join(int(i), int(left[k]))
+                    out.append(np.array([i, left[k], d[k]]))
+                    front += members[int(group[left[k]])].tolist()
+                left = left[~np.isin(group[left], found)]
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _near_forest(links: np.ndarray) -> np.ndarray:
+    """Rows (a, b, differing bits) that join something new, near ones first."""
+    if not len(links):
+        return links
+    links = links[np.lexsort((links[:, 1], links[:, 0], links[:, 2]))]
+    nodes, flat = np.unique(links[:, :2], return_inverse=True)
+    sets = Sets(len(nodes))
+    return links[[sets.join(int(i), int(j)) for i, j in flat.reshape(-1, 2)]]
+
+
+def _weighted(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """:func:`_compared` with the number of differing bits, ``d``, and near links preferred to far ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links, fresh, n = np.zeros((0, 3), np.int64), [], 0
+        for node, fp in _by_key(batches):
+            if len(node) < 2:
+                continue
+            found = nearest_joined(fp, radius)
+            if len(found):
+                fresh.append(np.column_stack([node[found[:, :2]], found[:, 2]]))
+                n += len(found)
+            if n > 200_000 + len(links):
+                links, fresh, n = _near_forest(np.concatenate([links, *fresh])), [], 0
+        got = _near_forest(np.concatenate([links, *fresh]))
+        yield _frame(got).assign(d=got[:, 2])
+
+    return run
+
+
+def _by_key(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and fingerprints of one key after another, of rows sorted by key."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    last = None
+    for b in batches:
+        key, node = b["key"].to_numpy(), b["node"].to_numpy()
+        if not len(key):
+            continue
+        fp = np.stack([b[f"f{k}"].to_numpy() for k in range(4)], 1)
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for at, end in zip(cuts, cuts[1:]):
+            if held and last != key[at]:
+                yield np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+                held = []
+            last = key[at]
+            held.append((node[at:end], fp[at:end]))
+    if held:
+        yield np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+
+
 def _compared(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Over rows (key, node, f0 to f3) sorted by key: links that join all nodes of a key within the radius, those that join nothing new left out. Holds one key's nodes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         links, fresh, n = np.zeros((0, 2), np.int64), [], 0
-
-        def close() -> None:
-            nonlocal links, fresh, n
-            node, fp = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+        for node, fp in _by_key(batches):
             if len(node) > 1 and (found := joined(fp, radius)):
                 fresh.append(node[np.array(found)])
                 n += len(found)
             if n > 200_000 + len(links):
                 links, fresh, n = forest(np.unique(np.concatenate([links, *fresh]), axis=0)), [], 0
-            held.clear()
-
-        for b in batches:
-            key, node = b["key"].to_numpy(), b["node"].to_numpy()
-            if not len(key):
-                continue
-            fp = np.stack([b[f"f{k}"].to_numpy() for k in range(4)], 1)
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for at, end in zip(cuts, cuts[1:]):
-                if held and held[0][0] != key[at]:
-                    close()
-                held.append((key[at], node[at:end], fp[at:end]))
-        if held:
-            close()
         yield _frame(forest(np.unique(np.concatenate([links, *fresh]), axis=0)))
 
     return run
 
 
-def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+def wide_links(nodes: DataFrame, radius: int, reach: int | None = None) -> DataFrame:
     """Links (a, b) between nodes (``node``, ``fp`` of four longs) within a wide radius, each verified by all bits.
 
+    With a ``reach`` beyond the radius, pairs that meet and lie within it are linked too, a link has its number of differing bits ``d``, and
+    near links are preferred to far ones.
+
     Thresholds that make sure of every pair need too many probes here: 46 of 256 bits would take
     hundreds of probes for each part. So the parts are many samples of bits, their threshold 0, and a
     pair is found with a probability: the number of samples grows with their bits (:func:`sampling`), so
@@ -522,8 +615,8 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
                 yield f.iloc[own[met]].assign(key=(key[own[met]].view(np.uint64) ^ pair).view(np.int64))
 
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = nodes.mapInPandas(spread, schema).repartition(n, "key").sortWithinPartitions("key").mapInPandas(_compared(radius), "a long, b long")
-    return met
+    met = nodes.mapInPandas(spread, schema).repartition(n, "key").sortWithinPartitions("key")
+    return met.mapInPandas(_compared(radius), "a long, b long") if reach is None else met.mapInPandas(_weighted(reach), "a long, b long, d long")
 
 
 def _wide_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -557,21 +650,62 @@ def stars(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long").distinct()
 
 
-def _grouped(prints: DataFrame, first: Column, radius: int) -> DataFrame:
+#: Links of one group of candidates that one task thins out at most.
+THIN = 500_000
+
+
+def _thinned(found: DataFrame) -> DataFrame:
+    """Links (a, b) of the candidates' groups, most of those that nearer links make needless left out.
+
+    A group's links meet in one task, or in as many as their number asks for.
+    """
+    roots = components(materialize(stars(found.select("a", "b")), "near"))
+    known = materialize(found.join(roots, found.a == roots.node).select("a", "b", "d", "root"), "rooted_links")
+    sizes = known.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / THIN).alias("parts")).where("parts > 1")
+    dealt = known.join(sizes, "root", "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [np.zeros((0, 3), np.int64), *(b[["a", "b", "d"]].to_numpy(np.int64) for b in batches)]
+        yield _frame(_near_forest(np.concatenate(held)))
+
+    return dealt.select("root", "part", "a", "b", "d").repartition("root", "part").mapInPandas(run, "a long, b long").distinct()
+
+
+def _verified(found: DataFrame, docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose texts' sets of shingles have the similarity: the sets of linked nodes alone are made, each from one text."""
+    pairs = materialize(_thinned(found), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = prints.join(ends, "node").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("doc"))
+    asked = materialize(one.select("node", F.col("doc.id").alias("asked_id"), F.col("doc.mark").alias("asked_mark")), "asked")
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    keys = F.broadcast(asked) if asked.count() <= FEW else asked
+    met = texts.join(keys, (texts["mark"] == keys["asked_mark"]) & texts["id"].eqNullSafe(keys["asked_id"]))
+    run = lambda ts: {"set": [shingles(t, words).view(np.int64) for t in ts]}
+    # Rows that repeat id and text give one set.
+    sets = materialize(met.select("node", text_struct("text", "set array<long>", lambda: run)["set"].alias("set")).groupBy("node").agg(F.min("set").alias("set")), "sets")
+    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("s")), sets.select(F.col("node").alias("b"), F.col("set").alias("t"))
+    shared = F.size(F.array_intersect("s", "t"))
+    return pairs.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9).select("a", "b")
+
+
+def _grouped(prints: DataFrame, first: Column, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, errors: float) -> DataFrame:
     """``prints`` with ``component_id``, the least ``first`` of the linked nodes; nulls in it don't count."""
     nodes = materialize(prints.groupBy("node").agg(F.min(first).alias("least"), F.min("fp").alias("fp")), "nodes")
-    found = materialize(wide_links(nodes.select("node", "fp"), radius), "found")
-    return _named(prints, nodes, components(materialize(stars(found), "links")), "node")
+    radius, reach = wide_radius(similarity, errors), wide_radius(similarity, max(errors, REACH))
+    found = materialize(wide_links(nodes.select("node", "fp"), radius, reach), "found")
+    links = materialize(_verified(found, docs, prints, id_col, text_col, words, similarity), "links")
+    return _named(prints, nodes, components(links), "node")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, errors: float = ERRORS) -> DataFrame:
-    """One row per document: id and ``component_id``, the least id among documents whose wide fingerprints are linked.
+    """One row per document: id and ``component_id``, the least id among documents that links lead to.
 
-    For texts of a similarity (of their sets of shingles) of ``similarity`` or more. A pair at that
-    similarity lies ``errors`` standard errors inside the radius, and pairs somewhat below it are linked
-    too. Null and empty texts are copies of each other. Ids are handled as in :func:`near_duplicates`.
+    A link is a pair of texts of a similarity (of their sets of shingles) of ``similarity`` or more: wide fingerprints
+    find candidates, their sets decide. Equal fingerprints count as equal texts. A pair at the similarity lies ``errors`` standard errors inside the
+    radius at which two fingerprints are sure to meet. Null and empty texts are copies of each other. Ids are handled as in :func:`near_duplicates`.
     """
-    found = _grouped(_wide_prints(docs, id_col, text_col, words), F.col("id"), wide_radius(similarity, errors))
+    found = _grouped(_wide_prints(docs, id_col, text_col, words), F.col("id"), docs, id_col, text_col, words, similarity, errors)
     return found.select(F.col("id").alias(id_col), "component_id")
 
 
@@ -607,7 +741,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = _wide_prints(docs, id_col, text_col, words)
     first = F.when(F.col("id").isNotNull(), F.struct("id", "mark"))
-    found = _grouped(prints, first, wide_radius(similarity, errors)).where("id is not null")
+    found = _grouped(prints, first, docs, id_col, text_col, words, similarity, errors).where("id is not null")
     by_row = materialize(found.groupBy("id", "mark").agg((F.min("component_id") == F.struct("id", "mark")).alias("stays"), F.count("*").alias("n")), "by_row")
     gone = materialize(by_row.where("not stays or n > 1").select(F.col("id").alias("__gone_id"), F.col("mark").alias("__gone_mark")), "gone")
     if gone.count() <= FEW:

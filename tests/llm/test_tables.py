@@ -510,3 +510,62 @@ def test_long_addresses_and_text_ids(spark):
 def test_text_ids_of_conversations(spark):
     d = spark.createDataFrame([("b", 0, "user", "x"), ("a", 0, "user", "y"), ("a", 1, "assistant", "z")], "conv_id string, turn long, role string, text string")
     assert sorted((r.conv, r.n_turns) for r in chat.digests(d).collect()) == [("a", 2), ("b", 1)]
+
+
+@pytest.mark.parametrize("low", [0.6, 0.7, 0.75])
+def test_texts_below_the_similarity_stay(spark, low):
+    """Pairs under 0.8 stay both, though many of their fingerprints lie within the radius; a third text over 0.8 to one of them goes."""
+    rng = random.Random(int(low * 100))
+    rows, n = [], 60
+    for i in range(n):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 600))]
+        rows += [(i, " ".join(w)), (1_000 + i, damaged(rng, w, low + 0.005)), (2_000 + i, damaged(rng, w, 0.9))]
+    assert all(len(shingles(a[1]) & shingles(b[1])) < 0.8 * len(shingles(a[1]) | shingles(b[1])) for a, b in zip(rows[::3], rows[1::3], strict=True))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Two damaged copies of one text can be similar by way of it alone.
+    assert set(range(n)) <= kept and not any(2_000 + i in kept for i in range(n))
+    assert set(range(1_000, 1_000 + n)) <= kept
+
+
+def test_near_copies_are_the_components_of_similar_pairs(spark):
+    """Against all pairs: families of texts that drift away from each other step by step."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 300))]
+        for _ in range(8):
+            texts.append(" ".join(w))
+            for _ in range(max(1, len(w) // rng.choice([20, 40, 80]))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
+    sets = [shingles(t) or {t} for t in texts]
+    want = simhash.Sets(len(texts))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want.join(i, j)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    roots = [want.root(i) for i in range(len(texts))]
+    least = {r: roots.index(r) for r in roots}
+    assert all(roots[got[i]] == roots[i] for i in range(len(texts)))
+    assert sum(got[i] != least[roots[i]] for i in range(len(texts))) <= 0.02 * len(texts)
+
+
+@pytest.mark.parametrize("square", [8, 1024])
+def test_nearest_joined(monkeypatch, square):
+    """The components of all pairs within the radius; in small buckets the least distances in all."""
+    monkeypatch.setattr(simhash, "SQUARE", square)
+    rng = np.random.default_rng(square)
+    fps = [rng.integers(-(1 << 63), 1 << 63, 4)]
+    for _ in range(120):
+        fps.append(flipped(fps[rng.integers(len(fps))], rng.choice(256, rng.integers(10, 60), replace=False)))
+    fps = np.array(fps)
+    pairs = sorted((int(simhash._apart(fps[i : i + 1], fps[j])[0]), i, j) for i in range(len(fps)) for j in range(i))
+    want, total = simhash.Sets(len(fps)), 0
+    for d, i, j in pairs:
+        if d <= 44 and want.join(i, j):
+            total += d
+    found, got = simhash.nearest_joined(fps, 44), simhash.Sets(len(fps))
+    assert all(got.join(int(i), int(j)) for i, j, _ in found)
+    assert [got.root(i) for i in range(len(fps))] == [want.root(i) for i in range(len(fps))]
+    assert all(simhash._apart(fps[i : i + 1], fps[j])[0] == d for i, j, d in found)
+    assert found[:, 2].sum() == total if square == 1024 else found[:, 2].sum() >= total

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from chronolake.functions.windows import Names, names, series
 from chronolake.operators.forecast import Fit, ses_level
 
-#: Rows beyond which a value's weight in a smoothed level is below the last digit, for smoothing weights from 0.1.
-LEVEL_ROWS = 400
+def level_rows(alpha: float) -> int:
+    """Rows beyond which all older values together weigh less than a double's last digit in a smoothed level."""
+    return 1 if alpha >= 1 else min(2**31 - 2, math.ceil(math.log(2.0**-60) / math.log1p(-alpha))) if alpha > 0 else 2**31 - 2
 
 
 def origins(n: int, least: int, horizon: int, count: int, gap: int = 0) -> list[int]:
@@ -97,7 +99,7 @@ def closed_form(df: DataFrame, entity: Names, ts: str, value: str, horizon: int,
     run = n.select(*keys, "i", F.avg("y").over(upto).alias("mean"), y.alias("naive"), F.first("y").over(upto).alias("first"), slope.alias("b"), F.avg("i").over(upto).alias("mt"), F.avg("d").over(upto).alias("scale"), F.collect_list(y).over(w.rowsBetween(-(season - 1), 0)).alias("last"), left.alias("left"))
     at_origin = (F.col("left") % step == 0) & F.col("left").between(0, (count - 1) * step) & (F.col("i") >= least)
     one = run.where(at_origin).select(*keys, F.col("i").alias("origin"), "mean", "naive", "first", "b", (F.col("mean") - F.col("b") * F.col("mt")).alias("a"), "scale", "last")
-    ends = F.expr(f"filter(transform(sequence(0, {count - 1}), k -> n - {horizon} - k * {step}), o -> o >= {least} and o >= i and o < i + {LEVEL_ROWS})")
+    ends = F.expr(f"filter(transform(sequence(0, {count - 1}), k -> n - {horizon} - k * {step}), o -> o >= {least} and o >= i and o < cast(i as long) + {level_rows(alpha)})")
     level = n.withColumn("origin", F.explode(ends)).groupBy(*keys, "origin").agg(ses_level("y", "i", "origin", alpha).alias("ses"))
     one = one.join(level, [*keys, "origin"])
     at = one.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from chronolake.functions.windows import Names, names
 
-#: Bottoms whose shares go to every task that deals out a total.
-MOST_BOTTOMS = 100_000
+#: Times that meet a bottom's share as one array.
+TIMES = 1_000
 
 
 def levels(df: DataFrame, levels_: Sequence[Sequence[str]], at: Names, value: str) -> DataFrame:
@@ -47,11 +47,16 @@ def proportions(history: DataFrame, at: Names, value: str, by_averages: bool = F
 
 
 def top_down(total: DataFrame, shares: DataFrame, at: Names, value: str) -> DataFrame:
-    """The total's forecast, dealt out to all bottoms."""
-    few = shares.count()
-    if few > MOST_BOTTOMS:
-        raise ValueError(f"more than {MOST_BOTTOMS} bottoms")
-    return total.select(*names(at), value).join(F.broadcast(shares)).select("bottom", *names(at), (F.col(value) * F.col("share")).alias(value))
+    """The total's forecast, dealt out to all bottoms.
+
+    Every bottom needs every time. The times are packed into arrays of about ``TIMES``, which meet the shares by their number,
+    so neither side has to fit in a task.
+    """
+    keys, few = names(at), max(1, -(-total.count() // TIMES))
+    packs = total.select(F.struct(*keys, value).alias("row")).groupBy(F.pmod(F.xxhash64("row"), F.lit(few)).alias("pack")).agg(F.collect_list("row").alias("rows"))
+    asked = shares.select("bottom", "share", F.explode(F.sequence(F.lit(0), F.lit(few - 1))).cast("long").alias("pack"))
+    met = asked.join(packs, "pack").select("bottom", "share", F.explode("rows").alias("row"))
+    return met.select("bottom", *(F.col(f"row.{k}").alias(k) for k in keys), (F.col(f"row.{value}") * F.col("share")).alias(value))
 
 
 def middle_out(middle: DataFrame, shares: DataFrame, at: Names, value: str) -> DataFrame:

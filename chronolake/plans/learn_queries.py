@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions.windows import series
 from chronolake.operators import backtest, features, learn, spine
-from chronolake.sources.readers import new_folder
+from chronolake.session import shared_folder
 from chronolake.plans.catalog import daily, query, rounded, table
 from chronolake.plans.watch_queries import HOURS, hours, least_squares
 
@@ -78,7 +78,7 @@ def reloaded_model(spark: SparkSession, d: str) -> DataFrame:
     """Predictions of a model and of what is read back from its written form: rows, and rows that differ."""
     x = supervised(spark, d)
     model = learn.regressor("ridge", LAGS, "value").fit(x)
-    again = learn.reloaded(model, new_folder(spark))
+    again = learn.reloaded(model, shared_folder(spark, "model"))
     both = learn.predicted(again, learn.predicted(model, x).withColumnRenamed("prediction", "first"))
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("first").eqNullSafe(F.col("prediction"))).alias("n_other"))
 

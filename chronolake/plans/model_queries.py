@@ -189,8 +189,8 @@ def arima_forecast(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def recursive_direct_forecast(spark: SparkSession, d: str) -> DataFrame:
     m, args = monthly(spark, d), ("entity", "ts", "value", 12)
-    out = forecast.per_series(m, *args, forecast.recursive([1, 2, 3, 12])).withColumnRenamed("forecast", "recursive")
-    return out.join(forecast.per_series(m, *args, forecast.direct([1, 2, 3, 12], 1e-3, 3)).withColumnRenamed("forecast", "direct"), ["entity", "step"])
+    out = forecast.per_series(m, *args, forecast.recursive([1, 2, 3, 12])).withColumnsRenamed({"forecast": "recursive", "failed": "recursive_failed"})
+    return out.join(forecast.per_series(m, *args, forecast.direct([1, 2, 3, 12], 1e-3, 3)).withColumnsRenamed({"forecast": "direct", "failed": "direct_failed"}), ["entity", "step"])
 
 
 @query(f"""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +26,17 @@ def session(name: str = "chronolake", master: str | None = None, **conf: str) ->
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, label: str = "table") -> str:
+    """The name of an unused folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where the setting is absent and all of Spark is one process, a temporary folder takes its place; anywhere else that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", None) or "local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="chronolake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,13 +86,3 @@ def read_features(spark: SparkSession, path: str, ts: str, start: str, end: str,
 def online_view(df: DataFrame, entity: Names, ts: str) -> DataFrame:
     """The newest known value of each feature per entity."""
     return latest_known(df, entity, ts)
-
-
-def new_folder(spark: SparkSession) -> str:
-    """An unused folder below ``spark.checkpoint.dir``. Without that setting, a temporary one on a single machine, and an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master").startswith("local"):
-            raise ValueError("spark.checkpoint.dir isn't set")
-        base = tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/model-{uuid.uuid4().hex}"

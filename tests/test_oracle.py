@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from chronolake.plans import catalog, feature_queries, inference_queries, learn_queries, model_queries, score_queries, time_queries, watch_queries  # noqa: F401  they register themselves
+from chronolake.plans import catalog, feature_queries, inference_queries, learn_queries, linear_queries, model_queries, score_queries, state_queries, time_queries, watch_queries  # noqa: F401  they register themselves
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,4 +43,5 @@ def test_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     df = catalog.QUERIES[name](spark, SF)
-    assert df.count() > 0 and df.columns
+    assert len(set(df.columns)) == len(df.columns) > 0
+    assert df.collect()

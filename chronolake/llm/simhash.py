@@ -650,8 +650,8 @@ def stars(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long").distinct()
 
 
-#: Links of one group of candidates that one task thins out at most.
-THIN = 500_000
+#: Links of one group of candidates that one task thins out, about. Groups with more are at most one for so many links of all, which bounds their broadcast.
+THIN = 20_000
 
 
 def _thinned(found: DataFrame) -> DataFrame:
@@ -662,7 +662,7 @@ def _thinned(found: DataFrame) -> DataFrame:
     roots = components(materialize(stars(found.select("a", "b")), "near"))
     known = materialize(found.join(roots, found.a == roots.node).select("a", "b", "d", "root"), "rooted_links")
     sizes = known.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / THIN).alias("parts")).where("parts > 1")
-    dealt = known.join(sizes, "root", "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))))
+    dealt = known.join(F.broadcast(sizes), "root", "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [np.zeros((0, 3), np.int64), *(b[["a", "b", "d"]].to_numpy(np.int64) for b in batches)]

@@ -9,7 +9,7 @@ from chronolake.functions.windows import series
 from chronolake.operators import anomaly, decompose, distance, forecast, impute, stats
 from chronolake.plans.catalog import DAILY, daily, monthly, query, rounded, table
 from chronolake.plans.model_queries import BASELINES, baselines
-from chronolake.plans.score_queries import scaled_total
+from chronolake.plans.score_queries import scaled_daily
 from chronolake.plans.watch_queries import HOURS, hours, least_squares, tail_of_f
 from chronolake.streaming import processors
 
@@ -124,7 +124,20 @@ def alert_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def detector_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return processors.over_table(scaled_total(spark, d), "entity", "ts", "x", processors.DetectorPipeline)
+    return processors.over_table(scaled_daily(spark, d), "entity", "ts", "x", processors.DetectorPipeline)
+
+
+BIN = "CAST(least(19, greatest(0, ceil((x - lo) / (hi - lo) * 20) - 1)) AS INT)"
+
+
+@query(f"""
+WITH RECURSIVE {DAILY}, n AS MATERIALIZED (SELECT entity, ts, value / 1e5 AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM daily), e AS (SELECT entity, min(x) - 1 AS lo, max(x) + 1 AS hi FROM n WHERE i <= 50 GROUP BY 1), b AS MATERIALIZED (SELECT n.entity, ts, i, lo, hi, {BIN} + 1 AS b FROM n JOIN e ON e.entity = n.entity),
+c AS (SELECT entity, list(b) AS l FROM b WHERE i <= 50 GROUP BY 1),
+r AS (SELECT entity, CAST(50 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS score, list_transform(range(1, 21), lambda j: len(list_filter(l, lambda q: q = j)) + 1e-6::DOUBLE) AS k FROM c
+ UNION ALL SELECT b.entity, b.i, -ln(r.k[b.b] / (list_sum(r.k) * ((b.hi - b.lo) / 20 + 1e-12)) + 1e-12), list_transform(range(1, 21), lambda j: r.k[j] * 0.995 + CASE WHEN j = b.b THEN 1 ELSE 0 END) FROM r JOIN b ON b.entity = r.entity AND b.i = r.i + 1)
+SELECT n.entity, n.ts, round(coalesce(r.score, 0), 5) + 0.0 AS score FROM n LEFT JOIN r ON r.entity = n.entity AND r.i = n.i AND n.i > 50""")
+def density_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(processors.over_table(scaled_daily(spark, d), "entity", "ts", "x", processors.DensityHistogram).select("entity", "ts", "score"), 5)
 
 
 HALVES_DEPTH = 6

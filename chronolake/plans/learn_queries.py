@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.functions.windows import series
-from chronolake.operators import backtest, features, learn, spine
+from chronolake.operators import backtest, boosting, features, learn, spine
 from chronolake.session import shared_folder
 from chronolake.plans.catalog import daily, query, rounded, table
 from chronolake.plans.watch_queries import HOURS, hours, least_squares
@@ -34,6 +34,15 @@ def global_boosted(spark: SparkSession, d: str) -> DataFrame:
     return learn.predicted(learn.regressor("boosted", LAGS, "value").fit(x.where(F.col("ts") < cut)), x.where(F.col("ts") >= cut)).select("entity", "ts", "value", "prediction")
 
 
+@query()
+def quantile_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """Three quantiles of each day from 2000 on, from trees fitted on the days before, beside the plain quantiles of these."""
+    x = supervised(spark, d)
+    model = boosting.fit(x.where("ts < DATE '2000-01-01'"), LAGS, "value", [0.1, 0.5, 0.9], trees=6)
+    later = boosting.predict(x.where("ts >= DATE '2000-01-01'"), model)
+    return later.select("entity", "ts", "value", *(F.col("quantiles")[i].alias(f"q_{p}") for i, p in enumerate((10, 50, 90))), *(F.lit(b).alias(f"plain_{p}") for b, p in zip(model.base, (10, 50, 90), strict=True)))
+
+
 @query()
 def stacked_folds(spark: SparkSession, d: str) -> DataFrame:
     x = supervised(spark, d)

@@ -229,8 +229,12 @@ def error_contributions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stateful(step: str, start: str, out: str) -> str:
-    """SQL of a recursion along each day of all orders: ``start`` and ``step`` give the state's columns, ``out`` what is shown."""
-    return f"WITH RECURSIVE {TOTAL}, n AS MATERIALIZED (SELECT ts, value / 1e5 AS x, row_number() OVER (ORDER BY ts) AS i FROM total), r AS ({start} FROM n WHERE i = 1 UNION ALL {step} FROM r JOIN n ON n.i = r.i + 1) SELECT ts, {out} FROM r"
+    """SQL of a recursion along the days of each priority's orders: ``start`` and ``step`` give the state's columns, ``out`` what is shown."""
+    return f"WITH RECURSIVE {DAILY}, n AS MATERIALIZED (SELECT entity, ts, value / 1e5 AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM daily), r AS ({start} FROM n WHERE i = 1 UNION ALL {step} FROM r JOIN n ON n.entity = r.entity AND n.i = r.i + 1) SELECT entity, ts, {out} FROM r"
+
+
+def scaled_daily(spark: SparkSession, d: str) -> DataFrame:
+    return daily(spark, d).select("entity", "ts", (F.col("value") / 1e5).alias("x"))
 
 
 def scaled_total(spark: SparkSession, d: str) -> DataFrame:
@@ -238,30 +242,30 @@ def scaled_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_stateful(
-    "SELECT n.ts, n.i, 0.98 * w + 1, mean + (n.x - mean) / (0.98 * w + 1), 0.98 * m + (n.x - mean) * (n.x - (mean + (n.x - mean) / (0.98 * w + 1))), n.x",
-    "SELECT ts, i, CAST(1 AS DOUBLE) AS w, CAST(x AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS m, CAST(x AS DOUBLE) AS x",
+    "SELECT n.entity, n.ts, n.i, 0.98 * w + 1, mean + (n.x - mean) / (0.98 * w + 1), 0.98 * m + (n.x - mean) * (n.x - (mean + (n.x - mean) / (0.98 * w + 1))), n.x",
+    "SELECT entity, ts, i, CAST(1 AS DOUBLE) AS w, CAST(x AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS m, CAST(x AS DOUBLE) AS x",
     "round(mean, 5) AS mean, round(CASE WHEN i = 1 THEN 0 ELSE (x - mean) / (sqrt(greatest(m / (w - w / i), 1e-12)) + 1e-12) END, 4) + 0.0 AS z"))
 def fading_z(spark: SparkSession, d: str) -> DataFrame:
-    out = processors.over_table(scaled_total(spark, d), "entity", "ts", "x", processors.FadingZ)
-    return rounded(out.select("ts", "mean", "z"), 5, z=4)
+    out = processors.over_table(scaled_daily(spark, d), "entity", "ts", "x", processors.FadingZ)
+    return rounded(out.select("entity", "ts", "mean", "z"), 5, z=4)
 
 
 @query(_stateful(
-    "SELECT n.ts, n.i, mean + 0.1 * (n.x - mean), 0.9 * (var + 0.1 * (n.x - mean) * (n.x - mean)), CASE WHEN n.i > 5 THEN (n.x - mean) / sqrt(var + 1e-6) ELSE 0 END",
-    "SELECT ts, i, CAST(x AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS var, CAST(0 AS DOUBLE) AS z",
+    "SELECT n.entity, n.ts, n.i, mean + 0.1 * (n.x - mean), 0.9 * (var + 0.1 * (n.x - mean) * (n.x - mean)), CASE WHEN n.i > 5 THEN (n.x - mean) / sqrt(var + 1e-6) ELSE 0 END",
+    "SELECT entity, ts, i, CAST(x AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS var, CAST(0 AS DOUBLE) AS z",
     "round(z, 4) + 0.0 AS z, CAST(CASE WHEN abs(z) > 4 THEN 2 WHEN abs(z) > 2.5 THEN 1 ELSE 0 END AS INT) AS alert"))
 def vital_monitor(spark: SparkSession, d: str) -> DataFrame:
-    out = processors.over_table(scaled_total(spark, d), "entity", "ts", "x", processors.VitalMonitor)
-    return rounded(out.select("ts", "z", F.col("alert").cast("int")), 4)
+    out = processors.over_table(scaled_daily(spark, d), "entity", "ts", "x", processors.VitalMonitor)
+    return rounded(out.select("entity", "ts", "z", F.col("alert").cast("int")), 4)
 
 
 @query(f"""
-WITH RECURSIVE {TOTAL}, n AS MATERIALIZED (SELECT ts, value / 1e5 AS x, row_number() OVER (ORDER BY ts) AS i FROM total), m AS (SELECT avg(x) AS mean, stddev_pop(x) AS sd FROM n WHERE i <= 30), z AS MATERIALIZED (SELECT ts, i, CASE WHEN i > 30 THEN (x - mean) / (sd + 1e-12) END AS z FROM n CROSS JOIN m),
-r AS (SELECT ts, i, CAST(0 AS DOUBLE) AS hi, CAST(0 AS DOUBLE) AS lo FROM z WHERE i = 1 UNION ALL SELECT z.ts, z.i, CASE WHEN z.z IS NULL THEN 0 ELSE greatest(0, CASE WHEN greatest(r.hi, r.lo) > 5 THEN 0 ELSE r.hi END + z.z - 0.5) END, CASE WHEN z.z IS NULL THEN 0 ELSE greatest(0, CASE WHEN greatest(r.hi, r.lo) > 5 THEN 0 ELSE r.lo END - z.z - 0.5) END FROM r JOIN z ON z.i = r.i + 1)
-SELECT ts, round(hi, 4) + 0.0 AS s_hi, round(lo, 4) + 0.0 AS s_lo, CASE WHEN greatest(hi, lo) > 5 THEN 1 ELSE 0 END AS alarm FROM r""")
+WITH RECURSIVE {DAILY}, n AS MATERIALIZED (SELECT entity, ts, value / 1e5 AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM daily), m AS (SELECT entity, avg(x) AS mean, stddev_pop(x) AS sd FROM n WHERE i <= 30 GROUP BY 1), z AS MATERIALIZED (SELECT n.entity, ts, i, CASE WHEN i > 30 THEN (x - mean) / (sd + 1e-12) END AS z FROM n JOIN m ON m.entity = n.entity),
+r AS (SELECT entity, ts, i, CAST(0 AS DOUBLE) AS hi, CAST(0 AS DOUBLE) AS lo FROM z WHERE i = 1 UNION ALL SELECT z.entity, z.ts, z.i, CASE WHEN z.z IS NULL THEN 0 ELSE greatest(0, CASE WHEN greatest(r.hi, r.lo) > 5 THEN 0 ELSE r.hi END + z.z - 0.5) END, CASE WHEN z.z IS NULL THEN 0 ELSE greatest(0, CASE WHEN greatest(r.hi, r.lo) > 5 THEN 0 ELSE r.lo END - z.z - 0.5) END FROM r JOIN z ON z.entity = r.entity AND z.i = r.i + 1)
+SELECT entity, ts, round(hi, 4) + 0.0 AS s_hi, round(lo, 4) + 0.0 AS s_lo, CASE WHEN greatest(hi, lo) > 5 THEN 1 ELSE 0 END AS alarm FROM r""")
 def learnt_cusum(spark: SparkSession, d: str) -> DataFrame:
-    out = processors.over_table(scaled_total(spark, d), "entity", "ts", "x", processors.LearntCusum)
-    return rounded(out.select("ts", "s_hi", "s_lo", F.col("alarm").cast("int")), 4)
+    out = processors.over_table(scaled_daily(spark, d), "entity", "ts", "x", processors.LearntCusum)
+    return rounded(out.select("entity", "ts", "s_hi", "s_lo", F.col("alarm").cast("int")), 4)
 
 
 # ---------------------------------------------------------------- decisions

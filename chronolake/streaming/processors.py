@@ -84,7 +84,8 @@ class Adwin(Detector):
     """
 
     outputs, start = ("mean", "width", "change"), ()
-    delta, per_size = 0.002, 5
+    #: ``bound`` "variance" allows for the window's own variance, "hoeffding" for any values between 0 and 1.
+    delta, per_size, least, bound = 0.002, 5, 5, "variance"
 
     def update(self, x: float) -> tuple[float, ...]:
         s = self.state
@@ -101,17 +102,21 @@ class Adwin(Detector):
             size, end = 2 * size, len(buckets)
         changed = False
         n, total, squares = (sum(b[k] for b in buckets) for k in range(3))
-        while n >= 10:
+        while n >= 2 * self.least:
             var = max(squares / n - (total / n) ** 2, 0.0)
             log = math.log(2 * math.log(n) / self.delta)
             left = head = 0.0
             cut = 0
             for i, b in enumerate(buckets[:-1]):
                 left, head = left + b[0], head + b[1]
-                if left < 5 or n - left < 5:
+                if left < self.least or n - left < self.least:
                     continue
                 m = 1 / (1 / left + 1 / (n - left))
-                if abs(head / left - (total - head) / (n - left)) > math.sqrt(2 / m * var * log) + 2 / (3 * m) * log:
+                if self.bound == "hoeffding":
+                    chance = math.sqrt(math.log(4 * n * n / self.delta) / (2 * m))
+                else:
+                    chance = math.sqrt(2 / m * var * log) + 2 / (3 * m) * log
+                if abs(head / left - (total - head) / (n - left)) > chance:
                     cut = i + 1
             if not cut:
                 break
@@ -208,6 +213,37 @@ class Histogram(Detector):
         return (score,)
 
 
+class DensityHistogram(Detector):
+    """Score from a histogram over what the first ``warmup`` values span and ``margin`` more on both sides: the log of one over the density at the value.
+
+    Counts fade by ``alpha`` a step, and a value counts after it is scored; values beyond the ends are in the bins there. The first values score 0.
+    State: rows, low, high, then the values kept for the start or the counts.
+    """
+
+    outputs, start = ("score",), (0.0, 0.0, 0.0)
+    bins, alpha, warmup, margin = 20, 0.005, 50, 1.0
+
+    def update(self, x: float) -> tuple[float, ...]:
+        t, low, high, kept = self.state[0] + 1, *self.state[1:3], list(self.state[3:])
+        if t <= self.warmup:
+            kept.append(x)
+            if t == self.warmup:
+                low, high = min(kept) - self.margin, max(kept) + self.margin
+                first = [self._bin(v, low, high) for v in kept]
+                kept = [first.count(i) + 1e-6 for i in range(self.bins)]
+            self.state = (t, low, high, *kept)
+            return (0.0,)
+        i = self._bin(x, low, high)
+        density = kept[i] / (sum(kept) * ((high - low) / self.bins + 1e-12))
+        kept = [c * (1 - self.alpha) for c in kept]
+        kept[i] += 1
+        self.state = (t, low, high, *kept)
+        return (-math.log(density + 1e-12),)
+
+    def _bin(self, v: float, low: float, high: float) -> int:
+        return min(self.bins - 1, max(0, math.ceil((v - low) / (high - low) * self.bins) - 1))
+
+
 class DetectorPipeline(Detector):
     """Spikes and drift together: fading z-score, adaptive window, histogram after 30 values, smoothed |z|, alerts with a cooldown.
 

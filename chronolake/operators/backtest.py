@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions.windows import Names, names, series
@@ -144,3 +144,39 @@ def leaderboard(scored: DataFrame) -> DataFrame:
     by = scored.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e) / F.col("scale")).alias("mase"))
     base = by.where("model = 'naive'").select(F.col("mae").alias("__b"))
     return by.join(F.broadcast(base)).withColumn("gain", 1 - F.col("mae") / F.col("__b")).drop("__b")
+
+
+def zero_shot_rows(df: DataFrame, entity: Names, ts: str, horizon: int, windows: int, least: int, stride: int | None = None) -> DataFrame:
+    """Test rows of windows laid back from each series' end, for models that aren't trained: rows with ``window`` (0 the last), ``step``, ``context`` (rows before).
+
+    Windows with fewer than ``least`` rows of context are left out, so all models meet the same ones.
+    """
+    gap = stride or horizon
+    n = df.withColumns({"__i": F.row_number().over(series(entity, ts)), "__n": F.count(F.lit(1)).over(Window.partitionBy(*names(entity)))})
+    k = n.withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1)))).withColumn("context", F.col("__n") - horizon - F.col("window") * gap)
+    k = k.withColumn("step", F.col("__i") - F.col("context"))
+    return k.where((F.col("context") >= least) & F.col("step").between(1, horizon)).drop("__i", "__n")
+
+
+def random_folds(df: DataFrame, id_: Names, folds: int) -> DataFrame:
+    """Adds ``fold`` by a hash of the id. For rows without an order only: in a series, neighbours of a test row would be trained on."""
+    return df.withColumn("fold", (_hashed(names(id_)) % folds).cast("int"))
+
+
+def _hashed(columns: Sequence[str]) -> Column:
+    """32 bits of the MD5 of the columns as text."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns))), 1, 8), 16, 10).cast("long")
+
+
+def stratified_folds(df: DataFrame, label: str, id_: str, folds: int) -> DataFrame:
+    """Adds ``fold`` so that the folds' numbers of each label differ by one at most: rows of a label are dealt in the order of a hash of their id.
+
+    The order within a label is laid by ranges of the hash with a count of each range, so no label has to fit in a task.
+    """
+    h = _hashed([id_])
+    d = df.withColumns({"__h": h, "__r": F.shiftright(h, 20)})
+    sizes = d.groupBy(label, "__r").agg(F.count(F.lit(1)).alias("__c"))
+    before = sizes.withColumn("__b", F.sum("__c").over(Window.partitionBy(label).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))).drop("__c")
+    place = F.row_number().over(Window.partitionBy(label, "__r").orderBy("__h", id_)) - 1
+    met = d.withColumn("__p", place).join(before.withColumnsRenamed({label: "__l", "__r": "__s"}), F.col(label).eqNullSafe(F.col("__l")) & (F.col("__r") == F.col("__s")))
+    return met.withColumn("fold", ((F.coalesce("__b", F.lit(0)) + F.col("__p")) % folds).cast("int")).drop("__h", "__r", "__b", "__p", "__l", "__s")

@@ -87,3 +87,21 @@ def canary(key: str, percent: int) -> Column:
 def latency_window(value: str, entity: Names, ts: Names, size: int = 500) -> dict[str, Column]:
     w = trailing(entity, ts, size)
     return {f"p{p}": F.percentile(value, p / 100).over(w) for p in (50, 95, 99)}
+
+
+def retrain_windows(df: DataFrame, entity: Names, ts: str, every: int, length: int) -> DataFrame:
+    """A schedule of retraining from each series' first to its last day: ``entity``, ``window``, ``train_start``, ``train_end``, ``score_end`` (dates, ends in).
+
+    A model is trained on ``length`` days at most, and scores the ``every`` days that follow.
+    """
+    keys = names(entity)
+    ends = df.groupBy(*keys).agg(F.to_date(F.min(ts)).alias("lo"), F.to_date(F.max(ts)).alias("hi"))
+    k = ends.withColumn("window", F.explode(F.expr(f"sequence(1, greatest(1, cast(floor(datediff(hi, lo) / {every}) as int)))")))
+    end = F.date_add("lo", F.col("window") * every - 1)
+    return k.select(*keys, "window", F.greatest("lo", F.date_sub(end, length - 1)).alias("train_start"), end.alias("train_end"), F.least("hi", F.date_add(end, every)).alias("score_end")).where("train_end < hi")
+
+
+def batch_scores(vectors: DataFrame, entity: Names, start: str, forecast: str, version: str) -> DataFrame:
+    """Forecast vectors as rows for a serving table: ``entity``, ``step``, ``date`` (from the day after ``start``), ``forecast``, ``version``."""
+    rows = vectors.select(*names(entity), F.col(start).alias("__d"), F.posexplode(forecast).alias("__i", "forecast"))
+    return rows.select(*names(entity), (F.col("__i") + 1).alias("step"), F.date_add(F.to_date("__d"), F.col("__i") + 1).alias("date"), "forecast", F.lit(version).alias("version"))

@@ -345,3 +345,114 @@ def zivot_andrews(df: DataFrame, entity: Names, ts: str, value: str, lags: int =
     # 5 % points for a break in the level, and in level and slope.
     critical = -5.08 if trend_break else -4.93
     return one.select(*keys, "n", F.col("s.ts").alias("break_at"), F.col("s.statistic").alias("statistic"), F.lit(critical).alias("critical"), (F.col("s.statistic") < critical).alias("stationary"))
+
+
+# ---------------------------------------------------------------- regressions of every entity, causes, autoregressions
+
+
+def regression(df: DataFrame, by: Names, columns: Sequence[Column | str], target: Column | str) -> DataFrame:
+    """Least squares with standard errors: ``by``, ``n``, ``coef``, ``error`` (arrays in the order of the columns), ``rss``."""
+    p = len(columns)
+
+    @F.pandas_udf("coef array<double>, error array<double>, rss double")
+    def solved(cells: pd.Series, n: pd.Series) -> pd.DataFrame:
+        m = matrices(cells, p + 1)
+        x, xy = m[:, :p, :p], m[:, :p, p]
+        scale = np.sqrt(np.maximum(np.einsum("mii->mi", x), 1e-300))
+        inverse = np.linalg.pinv(x / scale[:, :, None] / scale[:, None, :]) / scale[:, :, None] / scale[:, None, :] if len(m) else x
+        b = np.einsum("mij,mj->mi", inverse, xy)
+        rss = m[:, p, p] - np.einsum("mi,mi->m", b, xy)
+        free = n.to_numpy(float) - p
+        s2 = np.maximum(rss, 0) / np.where(free > 0, free, np.nan)
+        error = np.sqrt(np.maximum(np.einsum("mii->mi", inverse), 0) * s2[:, None])
+        return pd.DataFrame({"coef": list(b), "error": list(error), "rss": rss})
+
+    return gram(df, by, [*columns, target]).select(*names(by), "n", solved("cells", "n").alias("r")).select(*names(by), "n", "r.*")
+
+
+def with_lags(df: DataFrame, by: Names, ts: str, channels: Sequence[str], lag: int) -> tuple[DataFrame, list[str]]:
+    """The channels as doubles and their lags ``c__k``, and the lags' names: lag 1 of all channels first."""
+    w = Window.partitionBy(*names(by)).orderBy(ts)
+    lagged = {f"{c}__{k}": F.lag(F.col(c).cast("double"), k).over(w) for k in range(1, lag + 1) for c in channels}
+    return df.select(*names(by), ts, *(F.col(c).cast("double").alias(c) for c in channels), *(v.alias(k) for k, v in lagged.items())), list(lagged)
+
+
+def _rss(m: np.ndarray, x: list[int], y: int) -> float:
+    return float(m[y, y] - m[y, x] @ np.linalg.lstsq(m[np.ix_(x, x)], m[x, y], rcond=None)[0])
+
+
+def granger(df: DataFrame, by: Names, ts: str, channels: Sequence[str], lag: int) -> DataFrame:
+    """Whether a channel's lags help another beside the lags of all: ``by``, ``cause``, ``effect``, ``f``, ``p_value``, for every pair and entity from one aggregate."""
+    from chronolake.operators.stats import f_tail
+
+    keys, k = names(by), len(channels)
+    d, lags = with_lags(df, by, ts, channels, lag)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, n, m in zip(b[keys].itertuples(index=False), b["n"], matrices(b["cells"], k + 1 + k * lag), strict=True):
+                every = list(range(k, len(m)))
+                for e in range(k):
+                    full, free = _rss(m, every, e), n - 1 - k * lag
+                    for c in range(k):
+                        if c != e:
+                            own = [i for i in every if i == k or (i - k - 1) % k != c]
+                            f = (_rss(m, own, e) - full) / lag / (full / free) if free > 0 and full > 0 else float("nan")
+                            rows.append((*key, channels[c], channels[e], f, f_tail(f, lag, free) if f == f else float("nan")))
+            yield pd.DataFrame(rows, columns=[*keys, "cause", "effect", "f", "p_value"])
+
+    fields = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in keys)
+    return gram(d, keys, [*channels, F.lit(1.0), *lags]).mapInPandas(run, f"{fields}, cause string, effect string, f double, p_value double")
+
+
+def autoregression(df: DataFrame, by: Names, ts: str, channels: Sequence[str], lag: int) -> DataFrame:
+    """Vector autoregressions: ``by``, ``n``, ``channel``, ``coef`` (intercept, lag 1 of all channels, lag 2, ...), ``covariance`` (the channel's row of the residuals')."""
+    keys, k = names(by), len(channels)
+    d, lags = with_lags(df, by, ts, channels, lag)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, n, m in zip(b[keys].itertuples(index=False), b["n"], matrices(b["cells"], k + 1 + k * lag), strict=True):
+                coef = np.linalg.lstsq(m[k:, k:], m[k:, :k], rcond=None)[0]
+                cov = (m[:k, :k] - coef.T @ m[k:, :k]) / n
+                rows += [(*key, n, c, coef[:, i].tolist(), cov[i].tolist()) for i, c in enumerate(channels)]
+            yield pd.DataFrame(rows, columns=[*keys, "n", "channel", "coef", "covariance"])
+
+    fields = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in keys)
+    return gram(d, keys, [*channels, F.lit(1.0), *lags]).mapInPandas(run, f"{fields}, n long, channel string, coef array<double>, covariance array<double>")
+
+
+def responses(fits: DataFrame, by: Names, channels: Sequence[str], horizon: int) -> DataFrame:
+    """Orthogonal responses and shares of the forecast error's variance: ``by``, ``shock``, ``channel``, ``step`` from 0, ``response``, ``share`` (up to the step)."""
+    keys, k = names(by), len(channels)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.set_index("channel").loc[list(channels)]
+        coef, cov = np.stack(pdf["coef"]), np.stack(pdf["covariance"])
+        lag = (coef.shape[1] - 1) // k
+        a = [coef[:, 1 + j * k : 1 + (j + 1) * k] for j in range(lag)]
+        psi = [np.eye(k)]
+        for h in range(1, horizon + 1):
+            psi.append(sum(psi[h - j - 1] @ a[j] for j in range(min(h, lag))))
+        theta = np.array(psi) @ np.linalg.cholesky(cov)
+        sums = np.cumsum(theta**2, 0)
+        share = sums / sums.sum(2, keepdims=True)
+        rows = [(*(pdf[x].iloc[0] for x in keys), s, c, h, float(theta[h, i, j]), float(share[h, i, j])) for h in range(horizon + 1) for i, c in enumerate(channels) for j, s in enumerate(channels)]
+        return pd.DataFrame(rows, columns=[*keys, "shock", "channel", "step", "response", "share"])
+
+    fields = ", ".join(f"`{x}` {fits.schema[x].dataType.simpleString()}" for x in keys)
+    return fits.groupBy(*keys).applyInPandas(run, f"{fields}, shock string, channel string, step int, response double, share double")
+
+
+def unit_root(df: DataFrame, by: Names, ts: str, value: str, lags: int) -> DataFrame:
+    """Augmented Dickey-Fuller with a constant: ``by``, ``n``, ``statistic``, ``stationary`` at 5 % for large samples."""
+    keys = names(by)
+    w = Window.partitionBy(*keys).orderBy(ts)
+    y = F.col(value).cast("double")
+    d = df.select(*keys, ts, F.lag(y).over(w).alias("l"), (y - F.lag(y).over(w)).alias("d"))
+    d = d.select("*", *(F.lag("d", k).over(w).alias(f"d{k}") for k in range(1, lags + 1)))
+    t = regression(d, keys, ["l", F.lit(1.0), *(f"d{k}" for k in range(1, lags + 1))], "d").withColumn("statistic", F.col("coef")[0] / F.col("error")[0])
+    # Fixed value: 5 % point with a constant.
+    return t.select(*keys, "n", "statistic", (F.col("statistic") < -2.86).alias("stationary"))

@@ -304,3 +304,38 @@ def rocket(column: str, kernels: int = 200, seed: int = 42) -> Column:
         return pd.Series(out)
 
     return run(F.col(column))
+
+
+def cluster_quality(df: DataFrame, array: str, cluster: str) -> DataFrame:
+    """``n``, ``silhouette`` (by squared distances) of each cluster, and the whole table's ``davies_bouldin`` and ``calinski_harabasz`` beside it.
+
+    A row's mean squared distance to a cluster follows from the cluster's size, sums and squares, so there are no pairs of rows: one row per cluster
+    meets every row. Clusters are few by their nature; a null cluster or array doesn't count.
+    """
+    d = df.where(F.col(array).isNotNull() & F.col(cluster).isNotNull()).select(F.col(cluster).alias("c"), F.col(array).cast("array<double>").alias("x"))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+    d = d.withColumn("xx", dot(F.col("x"), F.col("x")))
+    sums = d.select("c", F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(F.avg("v").alias("m"))
+    middles = sums.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("r")).select("c", F.col("r.m").alias("mean"))
+    sizes = d.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.avg("xx").alias("sq")).join(middles, "c")
+    every = sizes.agg(F.collect_list(F.struct("c", "n", "sq", "mean")).alias("k"))
+    met = d.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(every)).select("c", "row", F.explode(F.transform("k", lambda k: F.struct(k["c"].alias("o"), k["n"].alias("n"), (F.col("xx") - 2 * dot(F.col("x"), k["mean"]) + k["sq"]).alias("far")))).alias("k"))
+    own = F.when(F.col("c") == F.col("k.o"), F.col("k.far") * F.col("k.n") / (F.col("k.n") - 1))
+    row = met.groupBy("row", "c").agg(F.max(own).alias("a"), F.min(F.when(F.col("c") != F.col("k.o"), F.col("k.far"))).alias("b"), F.max(F.when(F.col("c") == F.col("k.o"), F.col("k.n"))).alias("n"))
+    score = F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    by = row.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("silhouette"))
+    # Mean distance to the middle, then the worst ratio for each cluster.
+    near = d.join(F.broadcast(middles), "c").groupBy("c").agg(F.avg(F.sqrt(F.aggregate(F.zip_with("x", "mean", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))).alias("s"), F.sum(F.aggregate(F.zip_with("x", "mean", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)).alias("w"))
+    full = near.join(sizes.select("c", "n", "mean"), "c")
+    packed = full.agg(F.collect_list(F.struct("c", "s", "mean")).alias("k"))
+    apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    worst = full.join(F.broadcast(packed)).select("n", "w", F.array_max(F.transform(F.filter("k", lambda k: k["c"] != F.col("c")), lambda k: (F.col("s") + k["s"]) / apart(F.col("mean"), k["mean"]))).alias("r"))
+    n, groups = F.sum("n"), F.count(F.lit(1))
+    total = d.agg(F.avg("xx").alias("xx")).join(F.broadcast(d.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("mm"))))
+    one = worst.agg(F.avg("r").alias("davies_bouldin"), n.alias("__n"), groups.alias("__k"), F.sum("w").alias("__w")).join(F.broadcast(total))
+    between = (F.col("xx") - F.col("mm")) * F.col("__n") - F.col("__w")
+    one = one.select("davies_bouldin", (between / (F.col("__k") - 1) / (F.col("__w") / (F.col("__n") - F.col("__k")))).alias("calinski_harabasz"))
+    return by.join(F.broadcast(one)).select(F.col("c").alias(cluster), "n", "silhouette", "davies_bouldin", "calinski_harabasz")

@@ -283,3 +283,16 @@ def ewm_spread(df: DataFrame, entity: Names, ts: str, value: str, halflife: floa
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.groupBy(*names(entity)).applyInPandas(run, f"{fields}, ewm double, ewm_std double")
+
+
+def fit_encoding(df: DataFrame, key: str, target: str, smoothing: float) -> DataFrame:
+    """``key``, ``encoded`` and ``default`` (the mean of all) from training rows, for :func:`encode`."""
+    total = df.agg(F.avg(target).alias("default"))
+    table = df.groupBy(key).agg(F.count(target).alias("__n"), F.avg(target).alias("__m")).join(F.broadcast(total))
+    return table.select(key, ((F.col("__n") * F.col("__m") + smoothing * F.col("default")) / (F.col("__n") + smoothing)).alias("encoded"), "default")
+
+
+def encode(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """Rows with ``encoded``; a key that training didn't see has the mean of all."""
+    default = table.agg(F.max("default").alias("__d"))
+    return df.join(table.select(key, "encoded"), key, "left").join(F.broadcast(default)).withColumn("encoded", F.coalesce("encoded", "__d")).drop("__d")

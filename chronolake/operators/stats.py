@@ -402,3 +402,23 @@ def chi2_tail(x: float, k: float) -> float:
         if abs(d * c - 1) < 1e-14:
             break
     return front * h
+
+
+def pacf_rows(acf_rows: DataFrame, entity: Names) -> DataFrame:
+    """Partial autocorrelations from the rows of :func:`acf` by the Durbin-Levinson recursion: ``entity``, ``lag``, ``partial``, ``significant``."""
+    keys = names(entity)
+    rho = acf_rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lag", "rho"))).alias("r"), F.max("n").alias("n")).select(*keys, "n", F.col("r.rho").alias("r"))
+    add = lambda t, x: t + x
+    empty = F.array().cast("array<double>")
+
+    def step(acc: Column, k: Column) -> Column:
+        phi = acc["phi"]
+        before = F.slice(F.col("r"), F.lit(1), F.size(phi))
+        top = F.element_at(F.col("r"), k) - F.aggregate(F.zip_with(phi, F.reverse(before), lambda a, b: a * b), F.lit(0.0), add)
+        a = top / (1 - F.aggregate(F.zip_with(phi, before, lambda x, y: x * y), F.lit(0.0), add))
+        return F.struct(F.concat(F.zip_with(phi, F.reverse(phi), lambda x, y: x - a * y), F.array(a)).alias("phi"), F.concat(acc["out"], F.array(a)).alias("out"))
+
+    start = F.struct(empty.alias("phi"), empty.alias("out"))
+    folded = rho.withColumn("p", F.aggregate(F.sequence(F.lit(1), F.size("r")), start, step)["out"])
+    rows = folded.select(*keys, "n", F.posexplode("p").alias("i", "partial"))
+    return rows.select(*keys, (F.col("i") + 1).alias("lag"), "partial", (F.abs("partial") > 1.96 / F.sqrt("n")).alias("significant"))

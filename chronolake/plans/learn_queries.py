@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.functions.windows import series
-from chronolake.operators import backtest, boosting, features, learn, spine
+from chronolake.operators import backtest, boosting, explain, features, learn, spine
 from chronolake.session import shared_folder
 from chronolake.plans.catalog import daily, query, rounded, table
 from chronolake.plans.watch_queries import HOURS, hours, least_squares
@@ -43,6 +43,15 @@ def quantile_boosted(spark: SparkSession, d: str) -> DataFrame:
     return later.select("entity", "ts", "value", *(F.col("quantiles")[i].alias(f"q_{p}") for i, p in enumerate((10, 50, 90))), *(F.lit(b).alias(f"plain_{p}") for b, p in zip(model.base, (10, 50, 90), strict=True)))
 
 
+@query()
+def boosted_contributions(spark: SparkSession, d: str) -> DataFrame:
+    """What each feature adds to each prediction of boosted trees."""
+    x = supervised(spark, d)
+    model = learn.regressor("boosted", LAGS, "value").fit(x.where("ts < DATE '2000-01-01'"))
+    found = explain.contributions(model, x.where("ts >= DATE '2000-01-01'"), LAGS)
+    return found.select("entity", "ts", "prediction", "base", *(F.col("contributions")[i].alias(f"from_{c}") for i, c in enumerate(LAGS)))
+
+
 @query()
 def stacked_folds(spark: SparkSession, d: str) -> DataFrame:
     x = supervised(spark, d)

@@ -254,16 +254,18 @@ def weighted_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return rounded(anomaly.ensemble(n, "entity", {"a": 0.7, "b": 0.3}).select("ts", "ensemble"))
 
 
-EDGES = [("db", "api"), ("cache", "api"), ("api", "web"), ("disk", "db"), ("net", "web"), ("web", "user")]
-TIMES = [("db", 4.0), ("cache", 12.0), ("api", 6.0), ("web", 8.0), ("disk", 1.0), ("net", 9.0), ("user", 10.0)]
-
-
 @query("""
-WITH RECURSIVE e(cause, effect) AS (VALUES ('db', 'api'), ('cache', 'api'), ('api', 'web'), ('disk', 'db'), ('net', 'web'), ('web', 'user')), t(node, time) AS (VALUES ('db', 4.0), ('cache', 12.0), ('api', 6.0), ('web', 8.0), ('disk', 1.0), ('net', 9.0), ('user', 10.0)),
-w AS (SELECT 'user' AS node, 0 AS depth UNION ALL SELECT e.cause, w.depth + 1 FROM w JOIN e ON e.effect = w.node WHERE w.depth < 5)
-SELECT node, CAST(min(depth) AS INT) AS depth, CAST(any_value(time) AS DOUBLE) AS time FROM w JOIN t USING (node) WHERE depth = 0 OR time < 10.0 GROUP BY 1""")
+WITH RECURSIVE n AS (SELECT event_type AS effect, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cause FROM events), c AS (SELECT cause, effect, count(*) AS n FROM n WHERE cause <> effect GROUP BY 1, 2), e AS (SELECT cause, effect FROM c WHERE n > (SELECT avg(n) FROM c)), t AS (SELECT event_type AS node, epoch(min(ts)) AS time FROM events GROUP BY 1),
+w AS (SELECT node, 0 AS depth FROM t WHERE node = 'purchase' UNION SELECT e.cause, w.depth + 1 FROM w JOIN e ON e.effect = w.node WHERE w.depth < 5)
+SELECT t.node, CAST(min(depth) AS INT) AS depth, round(any_value(t.time), 3) AS time FROM w JOIN t ON t.node = w.node WHERE depth = 0 OR t.time < (SELECT time FROM t WHERE node = 'purchase') + 7200 GROUP BY 1""")
 def rca_trace(spark: SparkSession, d: str) -> DataFrame:
-    return anomaly.trace_causes(spark.createDataFrame(EDGES, "cause string, effect string"), spark.createDataFrame(TIMES, "node string, time double"), "user")
+    """Kinds of events that lead to purchases: a kind causes another where users go from it to that more often than from one to another on the average; two hours late is early enough."""
+    e = table(spark, d, "events").select("event_type", "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    steps = e.select(F.col("event_type").alias("effect"), F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("cause")).where("cause <> effect")
+    counts = steps.groupBy("cause", "effect").agg(F.count(F.lit(1)).alias("n"))
+    edges = counts.join(F.broadcast(counts.agg(F.avg("n").alias("usual")))).where("n > usual").select("cause", "effect")
+    times = e.groupBy(F.col("event_type").alias("node")).agg(F.min("ts").cast("double").alias("time"))
+    return rounded(anomaly.trace_causes(edges, times, "purchase", tolerance=7200.0), 3)
 
 
 @query()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import luck, materialize, text_struct
+from chronolake.llm.common import give_back, luck, materialize, text_struct
 
 BITS = 64
 SEED = 42
@@ -435,9 +435,9 @@ def nearest_joined(fp: np.ndarray, radius: int) -> np.ndarray:
     nearer ones connect it. More rows are joined within a third and two thirds of the radius first, then within all of it.
     """
     m = len(fp)
-    out: list[np.ndarray] = []
+    out: list[tuple[int, int, int]] = []
     if m <= SQUARE:
-        u, far = np.ascontiguousarray(fp.T).view(np.uint64), np.zeros((m, m), np.int32)
+        u, far = np.ascontiguousarray(fp.T).view(np.uint64), np.zeros((m, m), np.int16)
         for x in u:
             far += np.bitwise_count(x[:, None] ^ x[None])
         left = np.flatnonzero((far <= radius).sum(1) > 1)
@@ -449,7 +449,7 @@ def nearest_joined(fp: np.ndarray, radius: int) -> np.ndarray:
                 if best[k] > radius:
                     break
                 new = left[k]
-                out.append(np.array([by[k], new, best[k]]))
+                out.append((int(by[k]), int(new), int(best[k])))
                 rest = np.arange(len(left)) != k
                 left, best, by = left[rest], best[rest], by[rest]
                 nearer = far[new, left] < best
@@ -475,7 +475,7 @@ def nearest_joined(fp: np.ndarray, radius: int) -> np.ndarray:
                 found, first = np.unique(group[left[hit]], return_index=True)
                 for k in hit[first].tolist():
                     sets.join(int(i), int(left[k]))
-                    out.append(np.array([i, left[k], d[k]]))
+                    out.append((int(i), int(left[k]), int(d[k])))
                     front += members[int(group[left[k]])].tolist()
                 left = left[~np.isin(group[left], found)]
     return np.array(out, np.int64).reshape(-1, 3)
@@ -506,6 +506,8 @@ def _weighted(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
             if n > 200_000 + len(links):
                 links, fresh, n = _near_forest(np.concatenate([links, *fresh])), [], 0
         got = _near_forest(np.concatenate([links, *fresh]))
+        del links, fresh
+        give_back()
         yield _frame(got).assign(d=got[:, 2])
 
     return run
@@ -613,6 +615,7 @@ def wide_links(nodes: DataFrame, radius: int, reach: int | None = None) -> DataF
                 low, high = np.minimum(block[met], other), np.maximum(block[met], other)
                 pair = (low * BLOCKS * 2 + high + 1).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                 yield f.iloc[own[met]].assign(key=(key[own[met]].view(np.uint64) ^ pair).view(np.int64))
+        give_back()
 
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = nodes.mapInPandas(spread, schema).repartition(n, "key").sortWithinPartitions("key")
@@ -651,7 +654,7 @@ def stars(pairs: DataFrame) -> DataFrame:
 
 
 #: Links of one group of candidates that one task thins out, about. Groups with more are at most one for so many links of all, which bounds their broadcast.
-THIN = 20_000
+THIN = 5_000
 
 
 def _thinned(found: DataFrame) -> DataFrame:
@@ -667,6 +670,8 @@ def _thinned(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [np.zeros((0, 3), np.int64), *(b[["a", "b", "d"]].to_numpy(np.int64) for b in batches)]
         yield _frame(_near_forest(np.concatenate(held)))
+        del held
+        give_back()
 
     return dealt.select("root", "part", "a", "b", "d").repartition("root", "part").mapInPandas(run, "a long, b long").distinct()
 

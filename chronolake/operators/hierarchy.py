@@ -53,8 +53,8 @@ def top_down(total: DataFrame, shares: DataFrame, at: Names, value: str) -> Data
     so neither side has to fit in a task.
     """
     keys, few = names(at), max(1, -(-total.count() // TIMES))
-    packs = total.select(F.struct(*keys, value).alias("row")).groupBy(F.pmod(F.xxhash64("row"), F.lit(few)).alias("pack")).agg(F.collect_list("row").alias("rows"))
-    asked = shares.select("bottom", "share", F.explode(F.sequence(F.lit(0), F.lit(few - 1))).cast("long").alias("pack"))
+    packs = total.select(F.struct(*keys, value).alias("row")).groupBy(F.pmod(F.xxhash64("row"), F.lit(few)).cast("int").alias("pack")).agg(F.collect_list("row").alias("rows"))
+    asked = shares.select("bottom", "share", F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("pack"))
     met = asked.join(packs, "pack").select("bottom", "share", F.explode("rows").alias("row"))
     return met.select("bottom", *(F.col(f"row.{k}").alias(k) for k in keys), (F.col(f"row.{value}") * F.col("share")).alias(value))
 

@@ -244,10 +244,10 @@ def scaled_total(spark: SparkSession, d: str) -> DataFrame:
 @query(_stateful(
     "SELECT n.entity, n.ts, n.i, 0.98 * w + 1, mean + (n.x - mean) / (0.98 * w + 1), 0.98 * m + (n.x - mean) * (n.x - (mean + (n.x - mean) / (0.98 * w + 1))), n.x",
     "SELECT entity, ts, i, CAST(1 AS DOUBLE) AS w, CAST(x AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS m, CAST(x AS DOUBLE) AS x",
-    "round(mean, 5) AS mean, round(CASE WHEN i = 1 THEN 0 ELSE (x - mean) / (sqrt(greatest(m / (w - w / i), 1e-12)) + 1e-12) END, 4) + 0.0 AS z"))
+    "round(mean, 9) AS mean, round(CASE WHEN i = 1 THEN 0 ELSE (x - mean) / (sqrt(greatest(m / (w - w / i), 1e-12)) + 1e-12) END, 4) + 0.0 AS z"))
 def fading_z(spark: SparkSession, d: str) -> DataFrame:
     out = processors.over_table(scaled_daily(spark, d), "entity", "ts", "x", processors.FadingZ)
-    return rounded(out.select("entity", "ts", "mean", "z"), 5, z=4)
+    return rounded(out.select("entity", "ts", "mean", "z"), 9, z=4)
 
 
 @query(_stateful(

@@ -255,3 +255,25 @@ def test_change_is_found():
     d, rng = processors.Adwin(), np.random.default_rng(11)
     changes = [i for i, x in enumerate([*rng.normal(0, 1, 200), *rng.normal(5, 1, 200)]) if d.update(x)[2]]
     assert changes and 200 <= changes[0] < 240
+
+
+def test_top_down_of_many_times(spark, monkeypatch):
+    """Every bottom at every time, in several packs of times."""
+    monkeypatch.setattr(hierarchy, "TIMES", 3)
+    total = spark.createDataFrame([(t, float(t)) for t in range(20)], "t int, v double")
+    shares = spark.createDataFrame([("a", 0.25), ("b", 0.75)], "bottom string, share double")
+    got = sorted((r.bottom, r.t, r.v) for r in hierarchy.top_down(total, shares, "t", "v").collect())
+    assert got == sorted((b, t, t * s) for t in range(20) for b, s in (("a", 0.25), ("b", 0.75)))
+
+
+def test_smoothed_level_at_small_weights(spark):
+    """All rows count, however old: against the plain recursion over 1,500 rows."""
+    y = [float((i * 37) % 101 + i) for i in range(1_500)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(y)], "e string, t int, v double")
+    got = backtest.closed_form(df, "e", "t", "v", 2, 7, 10, 100, 2, alpha=0.001).where("model = 'ses' and step = 1").collect()
+    assert len(got) == 2
+    for r in got:
+        level = y[0]
+        for v in y[1 : r.origin]:
+            level += 0.001 * (v - level)
+        assert abs(r.forecast - level) < 1e-9 * level

@@ -57,6 +57,8 @@ SECOND_PERSON = frozenset("you your yours yourself youre u ur du dich dir dein d
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”„‚‘’«»¡¿–—"
+#: Signs at a word's ends that stand for no letter.
+_PLAIN = ".,;:?\"'()[]"
 _REPEATED = re.compile(r"(.)\1{2,}")
 
 
@@ -150,7 +152,7 @@ class Words(dict):
         word = plain(token)
         weight, flags = self.lexicon.of(word), 0
         insult = word in INSULTS
-        if not insult and weight < ODDS and len(token) <= 40 and not word.isalpha():
+        if not insult and weight < ODDS and len(token) <= 40 and not token.strip(_PLAIN).isalpha():
             flags |= self._masked(token)
         elif not insult and weight < ODDS and len(token) <= 40 and _REPEATED.search(word):
             flags |= self._masked(token) | _REPEAT
@@ -168,7 +170,7 @@ class Words(dict):
         return code
 
     def _masked(self, token: str) -> int:
-        core = token.strip(".,;:?\"'()[]")
+        core = token.strip(_PLAIN)
         if not any(c.isalpha() for c in core):
             return 0
         word = unmasked(core)

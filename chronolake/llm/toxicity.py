@@ -156,6 +156,8 @@ class Words(dict):
             flags |= self._masked(token)
         elif not insult and weight < ODDS and len(token) <= 40 and _REPEATED.search(word):
             flags |= self._masked(token) | _REPEAT
+        elif not insult and weight < ODDS and len(token) <= 40 and not word.isascii() and unmasked(word) in INSULTS:
+            flags |= _MASKED | _HIT | _INSULT
         if flags & _INSULT:
             insult = True
         if flags & _HIT:

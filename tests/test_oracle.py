@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from chronolake.plans import bootstrap_queries, catalog, extra_queries, feature_queries, inference_queries, learn_queries, linear_queries, model_queries, panel_queries, score_queries, state_queries, time_queries, watch_queries, word_queries  # noqa: F401  they register themselves
+from chronolake.plans import bootstrap_queries, catalog, extra_queries, feature_queries, inference_queries, learn_queries, linear_queries, model_queries, panel_queries, score_queries, serving_queries, state_queries, time_queries, watch_queries, word_queries  # noqa: F401  they register themselves
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -87,13 +87,13 @@ def forecast_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS clicks FROM events WHERE event_type = 'click' AND user_id % 7 = 0 GROUP BY 1), v AS (SELECT CAST(ts AS DATE) AS day, count(*) AS views FROM events WHERE event_type = 'view' AND user_id % 7 = 1 GROUP BY 1)
-SELECT coalesce(c.day, v.day) AS day, clicks, views FROM c FULL JOIN v ON c.day = v.day""")
+WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1, 2), v AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT coalesce(c.user_id, v.user_id) AS user_id, coalesce(c.day, v.day) AS day, clicks, views FROM c FULL JOIN v ON c.user_id = v.user_id AND c.day = v.day""")
 def outer_aligned_days(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    c = e.where("event_type = 'click' and user_id % 7 = 0").groupBy("day").agg(F.count(F.lit(1)).alias("clicks"))
-    v = e.where("event_type = 'view' and user_id % 7 = 1").groupBy("day").agg(F.count(F.lit(1)).alias("views"))
-    return c.join(v, "day", "full")
+    c = e.where("event_type = 'click'").groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("clicks"))
+    v = e.where("event_type = 'view'").groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("views"))
+    return c.join(v, ["user_id", "day"], "full")
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY 1, 2")

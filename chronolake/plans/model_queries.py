@@ -15,6 +15,8 @@ from chronolake.plans.catalog import DAILY, MONTHLY, daily, monthly, query, roun
 BASELINES = f"""{DAILY},
 bl AS (SELECT entity, ts, value AS y, lag(value, 7) OVER w AS f7, lag(value, 1) OVER w AS f1 FROM daily WINDOW w AS (PARTITION BY entity ORDER BY ts)),
 b AS (SELECT *, f7 - y AS e7, f1 - y AS e1 FROM bl WHERE f7 IS NOT NULL)"""
+#: Days that quantiles of errors are taken from, and the days since, on which they are scored.
+SPLIT = "past AS (SELECT * FROM b WHERE ts < DATE '1996-01-01'), later AS (SELECT * FROM b WHERE ts >= DATE '1996-01-01')"
 
 
 def baselines(spark: SparkSession, d: str) -> DataFrame:
@@ -331,8 +333,12 @@ def forecasts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"""
-WITH {FORECASTS}, gr AS (SELECT fr.year, max(abs(fr.y - s.s)) AS g FROM fr JOIN (SELECT region, year, sum(y) AS s FROM al GROUP BY 1, 2) s ON s.region = fr.region AND s.year = fr.year GROUP BY 1), gt AS (SELECT ft.year, abs(ft.y - s.s) AS g FROM ft JOIN (SELECT year, sum(y) AS s FROM al GROUP BY 1) s ON s.year = ft.year)
-SELECT gr.year, greatest(gr.g, gt.g) < 0.01 AS coherent_before, true AS coherent FROM gr JOIN gt ON gr.year = gt.year""")
+WITH {FORECASTS}, gr AS (SELECT fr.year, max(abs(fr.y - s.s)) AS g FROM fr JOIN (SELECT region, year, sum(y) AS s FROM al GROUP BY 1, 2) s ON s.region = fr.region AND s.year = fr.year GROUP BY 1), gt AS (SELECT ft.year, abs(ft.y - s.s) AS g FROM ft JOIN (SELECT year, sum(y) AS s FROM al GROUP BY 1) s ON s.year = ft.year),
+c AS (SELECT al.bottom, al.region, al.year, al.y + fr.y + ft.y AS c, fr.n FROM al JOIN fr ON fr.region = al.region AND fr.year = al.year JOIN ft ON ft.year = al.year),
+r AS (SELECT region, year, sum(c) AS c, any_value(n) AS n FROM c GROUP BY 1, 2), t AS (SELECT year, sum(c / (1 + n)) / (1 + sum(n / (1.0 + n))) AS t FROM r GROUP BY 1), rr AS (SELECT r.region, r.year, (c - n * t) / (1 + n) AS r, t FROM r JOIN t ON t.year = r.year),
+b AS (SELECT c.bottom, c.region, c.year, c.c - rr.r - rr.t AS b FROM c JOIN rr ON rr.region = c.region AND rr.year = c.year),
+ar AS (SELECT rr.year, max(abs(rr.r - b.s)) AS g, max(t) AS t, sum(rr.r) AS r FROM rr JOIN (SELECT region, year, sum(b) AS s FROM b GROUP BY 1, 2) b ON b.region = rr.region AND b.year = rr.year GROUP BY 1)
+SELECT gr.year, greatest(gr.g, gt.g) < 0.01 AS coherent_before, greatest(ar.g, abs(ar.t - ar.r)) < 0.01 AS coherent FROM gr JOIN gt ON gr.year = gt.year JOIN ar ON ar.year = gr.year""")
 def coherence_check(spark: SparkSession, d: str) -> DataFrame:
     nodes, m = forecasts(spark, d)
     before = hierarchy.incoherence(nodes, m, "year", "value", 1e-2).select("year", F.col("coherent").alias("coherent_before"))
@@ -400,24 +406,29 @@ def enbpi_sliding(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {BASELINES}, q AS (SELECT entity, quantile_cont(-e7, 0.05) AS a, quantile_cont(-e7, 0.5) AS m, quantile_cont(-e7, 0.95) AS z FROM b GROUP BY 1),
-l AS (SELECT b.entity, ts, y, f7 + a AS q, 0.05 AS tau FROM b JOIN q USING (entity) UNION ALL SELECT b.entity, ts, y, f7 + m, 0.5 FROM b JOIN q USING (entity) UNION ALL SELECT b.entity, ts, y, f7 + z, 0.95 FROM b JOIN q USING (entity))
+WITH {BASELINES}, {SPLIT}, q AS (SELECT entity, quantile_cont(-e7, 0.05) AS a, quantile_cont(-e7, 0.5) AS m, quantile_cont(-e7, 0.95) AS z FROM past GROUP BY 1),
+l AS (SELECT b.entity, ts, y, f7 + a AS q, 0.05 AS tau FROM later b JOIN q USING (entity) UNION ALL SELECT b.entity, ts, y, f7 + m, 0.5 FROM later b JOIN q USING (entity) UNION ALL SELECT b.entity, ts, y, f7 + z, 0.95 FROM later b JOIN q USING (entity))
 SELECT CAST(tau AS DOUBLE) AS tau, count(*) AS n, round(avg(CASE WHEN y <= q THEN 1.0 ELSE 0 END), 6) AS empirical, round(avg(CASE WHEN y >= q THEN tau * (y - q) ELSE (tau - 1) * (y - q) END), 4) AS pinball FROM l GROUP BY 1""")
 def pinball_reliability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(probabilistic.reliability(quantiles(spark, d), "tau", "y", "q"), 4, tau=2, empirical=6)
 
 
+def split(b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The days before 1996 and the days since."""
+    return b.where("ts < DATE '1996-01-01'"), b.where("ts >= DATE '1996-01-01'")
+
+
 def quantiles(spark: SparkSession, d: str) -> DataFrame:
-    b = baselines(spark, d)
+    past, later = split(baselines(spark, d))
     levels = [0.05, 0.5, 0.95]
-    q = b.groupBy("entity").agg(F.percentile(-F.col("e7"), F.array(*map(F.lit, levels))).alias("p"))
+    q = exact_quantiles(past, "entity", -F.col("e7"), levels, "p")
     tau = F.explode(F.array(*(F.struct(F.lit(t).alias("tau"), F.lit(i).alias("i")) for i, t in enumerate(levels)))).alias("l")
-    return b.join(q, "entity").select("entity", "ts", "y", "f7", "p", tau).select("entity", "ts", "y", F.col("l.tau").alias("tau"), (F.col("f7") + F.element_at("p", F.col("l.i") + 1)).alias("q"))
+    return later.join(q, "entity").select("entity", "ts", "y", "f7", "p", tau).select("entity", "ts", "y", F.col("l.tau").alias("tau"), (F.col("f7") + F.element_at("p", F.col("l.i") + 1)).alias("q"))
 
 
 @query(f"""
-WITH {BASELINES}, q AS (SELECT entity, quantile_cont(-e7, 0.05) AS a, quantile_cont(-e7, 0.5) AS m, quantile_cont(-e7, 0.95) AS z FROM b GROUP BY 1),
-l AS (SELECT b.entity, ts, y, f7 + a AS q, 0.05 AS tau, 0.25 AS w FROM b JOIN q USING (entity) UNION ALL SELECT b.entity, ts, y, f7 + m, 0.5, 0.45 FROM b JOIN q USING (entity) UNION ALL SELECT b.entity, ts, y, f7 + z, 0.95, 0.25 FROM b JOIN q USING (entity))
+WITH {BASELINES}, {SPLIT}, q AS (SELECT entity, quantile_cont(-e7, 0.05) AS a, quantile_cont(-e7, 0.5) AS m, quantile_cont(-e7, 0.95) AS z FROM past GROUP BY 1),
+l AS (SELECT b.entity, ts, y, f7 + a AS q, 0.05 AS tau, 0.25 AS w FROM later b JOIN q USING (entity) UNION ALL SELECT b.entity, ts, y, f7 + m, 0.5, 0.45 FROM later b JOIN q USING (entity) UNION ALL SELECT b.entity, ts, y, f7 + z, 0.95, 0.25 FROM later b JOIN q USING (entity))
 SELECT entity, ts, round(sum(2 * w * CASE WHEN y >= q THEN tau * (y - q) ELSE (tau - 1) * (y - q) END), 7) AS crps FROM l GROUP BY 1, 2""")
 def crps_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(probabilistic.crps_quantiles(quantiles(spark, d), ["entity", "ts"], "tau", "y", "q"), 7)

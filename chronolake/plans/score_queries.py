@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from chronolake.functions import metrics
 from chronolake.functions.windows import series
 from chronolake.operators import anomaly, backtest, distance, drift, graph, probabilistic, stats
+from chronolake.operators.quantile import exact_quantiles
 from chronolake.plans.catalog import DAILY, TOTAL, daily, query, rounded, table, total
-from chronolake.plans.model_queries import BASELINES, baselines, quantiles, region_days
+from chronolake.plans.model_queries import BASELINES, SPLIT, baselines, quantiles, region_days, split
 from chronolake.plans.watch_queries import HOURS, hours
 from chronolake.streaming import processors
 
@@ -81,13 +82,13 @@ def residual_normality(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- intervals
 
 
-QUANTILES = "q AS (SELECT entity, quantile_cont(-e7, 0.05) AS a, quantile_cont(-e7, 0.5) AS m, quantile_cont(-e7, 0.95) AS z FROM b GROUP BY 1), iv AS (SELECT b.entity, ts, y, f7, e7, f7 + a AS lo, f7 + m AS mid, f7 + z AS hi FROM b JOIN q USING (entity))"
+QUANTILES = f"{SPLIT}, q AS (SELECT entity, quantile_cont(-e7, 0.05) AS a, quantile_cont(-e7, 0.5) AS m, quantile_cont(-e7, 0.95) AS z FROM past GROUP BY 1), iv AS (SELECT b.entity, ts, y, f7, e7, f7 + a AS lo, f7 + m AS mid, f7 + z AS hi FROM later b JOIN q USING (entity))"
 
 
 def intervals(spark: SparkSession, d: str) -> DataFrame:
-    b = baselines(spark, d)
-    q = b.groupBy("entity").agg(F.percentile(-F.col("e7"), F.array(F.lit(0.05), F.lit(0.95))).alias("p"))
-    return b.join(q, "entity").withColumns({"lo": F.col("f7") + F.col("p")[0], "hi": F.col("f7") + F.col("p")[1]}).drop("p")
+    past, later = split(baselines(spark, d))
+    q = exact_quantiles(past, "entity", -F.col("e7"), [0.05, 0.95], "p")
+    return later.join(q, "entity").withColumns({"lo": F.col("f7") + F.col("p")[0], "hi": F.col("f7") + F.col("p")[1]}).drop("p")
 
 
 @query(f"""
@@ -119,14 +120,14 @@ def residual_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {BASELINES}, {QUANTILES}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts DESC) AS back FROM iv), k AS (SELECT entity, greatest(lo + 1e5 - y, y - hi + 1e5) AS s FROM r WHERE back > 200), n AS (SELECT entity, count(*) AS n FROM k GROUP BY 1),
+WITH {BASELINES}, {QUANTILES}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts DESC) AS back FROM iv), k AS (SELECT entity, greatest(lo + 1e5 - y, y - hi + 1e5) AS s FROM r WHERE back > 60), n AS (SELECT entity, count(*) AS n FROM k GROUP BY 1),
 o AS (SELECT k.entity, s, n, row_number() OVER (PARTITION BY k.entity ORDER BY s) - 1 AS i FROM k JOIN n USING (entity)), p AS (SELECT entity, n, least(1, ceil(0.9 * (n + 1)) / n) * (n - 1) AS pos FROM n),
 w AS (SELECT o.entity, sum(CASE WHEN i = floor(pos) THEN s * (1 - (pos - floor(pos))) WHEN i = floor(pos) + 1 THEN s * (pos - floor(pos)) ELSE 0 END) AS width FROM o JOIN p USING (entity) GROUP BY 1)
-SELECT r.entity, ts, round(lo + 1e5 - width, 3) AS cqr_lower, round(hi - 1e5 + width, 3) AS cqr_upper FROM r JOIN w ON w.entity = r.entity WHERE back <= 200""")
+SELECT r.entity, ts, round(lo + 1e5 - width, 3) AS cqr_lower, round(hi - 1e5 + width, 3) AS cqr_upper FROM r JOIN w ON w.entity = r.entity WHERE back <= 60""")
 def conformal_quantile_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Intervals that are 100,000 too narrow on both sides, widened by what the calibration rows missed them by."""
     r = intervals(spark, d).withColumns({"lo": F.col("lo") + 1e5, "hi": F.col("hi") - 1e5, "back": F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("ts")))})
-    out = probabilistic.conformal_quantiles(r.where("back > 200"), r.where("back <= 200"), "entity", "y", "lo", "hi", 0.1)
+    out = probabilistic.conformal_quantiles(r.where("back > 60"), r.where("back <= 60"), "entity", "y", "lo", "hi", 0.1)
     return rounded(out.select("entity", "ts", "cqr_lower", "cqr_upper"), 3)
 
 
@@ -302,12 +303,11 @@ def best_versions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), m AS (SELECT *, list_sum(a) / len(a) AS m FROM e), s AS (SELECT *, sqrt(list_sum(list_transform(a, lambda x: (x - m) * (x - m))) / len(a)) AS s FROM m)
-SELECT vec_id, CAST(i - 1 AS INT) AS place, round((a[i] - m) / (s + 1e-8), 5) + 0.0 AS z, CAST(least(greatest(floor(((a[i] - m) / (s + 1e-8) + 4) / 8 * 256), 0), 255) AS INT) AS token FROM s CROSS JOIN (SELECT unnest(generate_series(1, 64)) AS i) k WHERE i <= len(a) AND abs((a[i] - m) / (s + 1e-8) * 32 - round((a[i] - m) / (s + 1e-8) * 32)) > 1e-6""")
+SELECT vec_id, CAST(i - 1 AS INT) AS place, round((a[i] - m) / (s + 1e-8), 5) + 0.0 AS z, CAST(least(greatest(floor((round((a[i] - m) / (s + 1e-8), 5) + 4) / 8 * 256), 0), 255) AS INT) AS token FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM s) k""")
 def normalized_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Values of each array as z-scores and as one of 256 tokens; those that lie on the edge of two tokens are left to neither engine."""
+    """Values of each array as z-scores to five digits, and these as one of 256 tokens."""
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode(distance.z_normalized(F.col("embedding").cast("array<double>"))).alias("place", "z"))
-    clear = e.where(F.abs(F.col("z") * 32 - F.round(F.col("z") * 32)) > 1e-6)
-    return rounded(clear.select("vec_id", "place", "z", graph.tokens(F.col("z"), -4.0, 4.0, 256).alias("token")), 5)
+    return rounded(e, 5).withColumn("token", graph.tokens(F.col("z"), -4.0, 4.0, 256))
 
 
 @query("""

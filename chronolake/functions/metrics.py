@@ -123,7 +123,8 @@ def running_before(df: DataFrame, key: str, value: str, name: str, parts: int =
     """Adds the sum of ``value`` over all rows of smaller ``key`` (numbers, distinct). Rows are dealt by ranges of the
     key and summed within them; only a total for each range is summed over all of them, so no task orders the whole table."""
     edges = sorted(set(df.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001)))
-    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(key))) if edges else F.lit(0)
+    # Plain comparisons: with a lambda, a filter inferred for the join below names this side's key on the other side, and the job fails.
+    at = sum((F.when(F.col(key) > e, 1).otherwise(0) for e in edges), F.lit(0))
     d = df.withColumn("__r", at)
     totals = d.groupBy("__r").agg(F.sum(value).alias("__t"))
     before = totals.select("__r", F.coalesce(F.sum("__t").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))

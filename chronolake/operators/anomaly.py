@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions.windows import Names, centred, expanding, gated, names, series, trailing, whole
 from chronolake.operators.quantile import exact_quantiles
+from chronolake.session import written
 
 
 def zscore(value: str, entity: Names) -> Column:
@@ -16,27 +17,29 @@ def zscore(value: str, entity: Names) -> Column:
 
 
 def spread(df: DataFrame, entity: Names, value: str) -> DataFrame:
-    """Per entity: quartiles, and the median distance from the median (``mad``), by two aggregates."""
+    """Per entity: mean, deviation, quartiles, and the median and mean distance from the median (``mad``, ``mean_dev``).
+
+    Two scans for the quartiles, which are written as a table of one row an entity, and two for the distances.
+    """
     keys = names(entity)
-    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75])
-    q = q.select(*keys, *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
-    # Without a row of its own for a group that has no value, its rows stay with nulls.
+    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], more={"mean": F.avg, "std": F.stddev_samp})
+    q = written(q.select(*keys, "mean", "std", *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3")))), "quartiles")
     far = df.select(*keys, value).join(q.select(*keys, "median"), keys).withColumn("__far", F.abs(F.col(value) - F.col("median")))
-    mad = exact_quantiles(far, keys, "__far", [0.5], "__mad").select(*keys, F.col("__mad")[0].alias("mad"))
-    return q.join(mad, keys).join(far.groupBy(*keys).agg(F.avg("__far").alias("mean_dev")), keys)
+    mad = exact_quantiles(far, keys, "__far", [0.5], "__mad", {"mean_dev": F.avg})
+    return q.join(mad.select(*keys, F.col("__mad")[0].alias("mad"), "mean_dev"), keys)
 
 
 def outliers(df: DataFrame, entity: Names, value: str, z: float = 3.0, robust: float = 3.5, k: float = 1.5) -> DataFrame:
-    """Adds ``z``, ``robust_z``, and flags by z-score, robust z-score and quartile fences. Sizes come from aggregates, joined back."""
+    """Adds ``z``, ``robust_z``, and flags by z-score, robust z-score and quartile fences. Sizes come from aggregates, joined back; an entity without values, or a null one, keeps its rows with nulls."""
     keys, v = names(entity), F.col(value)
-    m = df.groupBy(*keys).agg(F.avg(v).alias("__m"), F.stddev_samp(v).alias("__s"))
-    d = df.join(m.join(spread(df, keys, value), keys, "left"), keys)
+    sizes = spread(df, keys, value).withColumnsRenamed({c: f"__{c}" for c in ("mean", "std", "q1", "median", "q3", "mad", "mean_dev")})
+    d = df.join(sizes, keys, "left")
     # Without any spread around the median, the mean distance takes the place of the median one.
-    rz = F.when(F.col("mad") > 0, 0.6745 * (v - F.col("median")) / F.col("mad")).otherwise((v - F.col("median")) / (1.253314 * F.col("mean_dev") + 1e-8))
-    d = d.withColumns({"z": (v - F.col("__m")) / F.col("__s"), "robust_z": rz})
-    iqr = F.col("q3") - F.col("q1")
-    flags = {"is_z": F.abs("z") > z, "is_robust": F.abs("robust_z") > robust, "is_iqr": (v < F.col("q1") - k * iqr) | (v > F.col("q3") + k * iqr)}
-    return d.withColumns({n: c.cast("int") for n, c in flags.items()}).drop("__m", "__s", "q1", "median", "q3", "mad", "mean_dev")
+    rz = F.when(F.col("__mad") > 0, 0.6745 * (v - F.col("__median")) / F.col("__mad")).otherwise((v - F.col("__median")) / (1.253314 * F.col("__mean_dev") + 1e-8))
+    d = d.withColumns({"z": (v - F.col("__mean")) / F.col("__std"), "robust_z": rz})
+    iqr = F.col("__q3") - F.col("__q1")
+    flags = {"is_z": F.abs("z") > z, "is_robust": F.abs("robust_z") > robust, "is_iqr": (v < F.col("__q1") - k * iqr) | (v > F.col("__q3") + k * iqr)}
+    return d.withColumns({n: c.cast("int") for n, c in flags.items()}).drop(*(c for c in sizes.columns if c.startswith("__")))
 
 
 def rolling_z(value: str, entity: Names, ts: Names, size: int) -> Column:

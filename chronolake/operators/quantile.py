@@ -7,21 +7,23 @@ ranked from some ten thousandth of its distinct values.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions.windows import Names, names
+from chronolake.session import written
 
 #: The sketch's accuracy: a rank is wrong by a share of 1 / ACCURACY at most.
 ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, by: Names, value: Column | str, levels: Sequence[float], name: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Names, value: Column | str, levels: Sequence[float], name: str = "q", more: dict[str, Callable[[str], Column]] | None = None) -> DataFrame:
     """The columns of ``by`` and an array ``name`` with the value at each level, linear between ranks; nulls are left out.
 
-    A group without values has no row. ``by`` may be empty.
+    A group without values has no row. ``by`` may be empty. ``more`` names aggregates of the values that the sketch's scan makes along with it;
+    the sketch, one row a group, is then written at once.
     """
     keys = names(by)
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
@@ -29,7 +31,9 @@ def exact_quantiles(df: DataFrame, by: Names, value: Column | str, levels: Seque
     # Twice the sketch's error on both sides; ranks next to the ends are bracketed by the least and greatest value.
     sure = 2.0 / ACCURACY
     low, high = [max(0.0, p - sure) for p in levels], [min(1.0, p + sure) for p in levels]
-    sketch = d.groupBy(*keys).agg(F.percentile_approx("__v", [*low, *high], ACCURACY).alias("__s"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count("__v").alias("__n"))
+    sketch = d.groupBy(*keys).agg(F.percentile_approx("__v", [*low, *high], ACCURACY).alias("__s"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count("__v").alias("__n"), *(f("__v").alias(c) for c, f in (more or {}).items()))
+    if more:
+        sketch = written(sketch, "sketch")
     few = sketch.select(*keys, "__n", *(F.when((F.col("__n") < ACCURACY) | F.lit(p <= sure), F.col("__min")).otherwise(F.col("__s")[i]).alias(f"__l{i}") for i, p in enumerate(levels)), *(F.when((F.col("__n") < ACCURACY) | F.lit(p >= 1 - sure), F.col("__max")).otherwise(F.col("__s")[len(levels) + i]).alias(f"__h{i}") for i, p in enumerate(levels)))
     joined = d.join(few, keys) if keys else d.join(F.broadcast(few))
     x = F.col("__v")
@@ -46,4 +50,8 @@ def exact_quantiles(df: DataFrame, by: Names, value: Column | str, levels: Seque
 
     one = upto.groupBy(*keys, "i").agg(value_at(first).alias("a"), value_at(last).alias("b"), F.max(at - first).alias("part"))
     row = F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("q"))
-    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["q"]).alias(name))
+    out = one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["q"]).alias(name))
+    if not more:
+        return out
+    extra = sketch.select(*keys, *more)
+    return out.join(extra, keys) if keys else out.join(F.broadcast(extra))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "chronolake", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,3 +40,10 @@ def shared_folder(spark: SparkSession, label: str = "table") -> str:
         base = tempfile.mkdtemp(prefix="chronolake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """The same rows read from a table that is written now: computed once however often they are used."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -277,3 +277,20 @@ def test_smoothed_level_at_small_weights(spark):
         for v in y[1 : r.origin]:
             level += 0.001 * (v - level)
         assert abs(r.forecast - level) < 1e-9 * level
+
+
+def test_outliers_read_the_table_twice_after_their_sizes(spark, tmp_path):
+    """Once for the ranks of distances and once for the rows, the rest being small tables; an entity without values and a null one keep their rows."""
+    rows = [("a", float(i)) for i in range(20)] + [("a", 500.0), ("b", 1.0), ("c", None), (None, 3.0)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "k string, v double").write.parquet(path)
+    out = anomaly.outliers(spark.read.parquet(path), "k", "v")
+    leaves = out._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert sum("[k#" in (x := leaves.apply(i).toString()) and ",v#" in x for i in range(leaves.size())) == 2
+    got = {(r.k, r.v): r for r in out.collect()}
+    assert len(got) == len(rows) and out.columns == ["k", "v", "z", "robust_z", "is_z", "is_robust", "is_iqr"]
+    assert [r.v for r in got.values() if r.is_robust] == [500.0] and got["a", 500.0].is_iqr == 1
+    v = np.array([x for k, x in rows if k == "a"])
+    assert got["a", 3.0].z == pytest.approx((3 - v.mean()) / v.std(ddof=1))
+    assert got["a", 3.0].robust_z == pytest.approx(0.6745 * (3 - np.median(v)) / np.median(np.abs(v - np.median(v))))
+    assert got["c", None].z is None and got[None, 3.0].is_z is None

@@ -39,9 +39,12 @@ def coefficients(a: Column, window: int, length: int) -> Column:
 
 
 def letter_edges(df: DataFrame, array: str, window: int, length: int, letters: int) -> DataFrame:
-    """(place, edges): the values that part the windows of all rows into ``letters`` equal shares, for each coefficient."""
+    """(place, edges): the values that part the windows of all rows into ``letters`` equal shares, for each coefficient.
+
+    All windows have one of ``length`` places, so the brackets of these are a table that is written first: windows meet it where they are.
+    """
     spread = df.select(F.explode(coefficients(F.col(array), window, length)).alias("c")).select(F.posexplode("c").alias("place", "c"))
-    return exact_quantiles(spread, "place", "c", [k / letters for k in range(1, letters)], "edges")
+    return exact_quantiles(spread, "place", "c", [k / letters for k in range(1, letters)], "edges", {"n": F.count}).drop("n")
 
 
 def words(df: DataFrame, array: str, edges: DataFrame, window: int, length: int, letters: int) -> DataFrame:

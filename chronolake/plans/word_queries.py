@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolake.operators import words
 from chronolake.plans.catalog import query, rounded, table
+from chronolake.session import written
 
 WINDOW, LENGTH, LETTERS = 16, 4, 4
 SHAPE = (WINDOW, LENGTH, LETTERS)
@@ -28,7 +29,7 @@ s AS (SELECT vec_id, label, i, {_WORD} AS word FROM c), b AS MATERIALIZED (SELEC
 
 def spelled(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    return words.words(e, "x", words.letter_edges(e, "x", *SHAPE), *SHAPE)
+    return words.words(e, "x", written(words.letter_edges(e, "x", *SHAPE), "edges"), *SHAPE)
 
 
 @query(f"WITH {_EDGES} SELECT place, k AS edge, round(edges[k], 6) + 0.0 AS value FROM (SELECT *, unnest(range(1, {LETTERS})) AS k FROM edges) u")
@@ -50,7 +51,7 @@ z AS (SELECT m.vec_id, m.label, round(dot / l, 9) AS cosine FROM m JOIN l ON l.v
 SELECT l.vec_id, l.vec_id % 5 = 0 AS held_out, l.label, f.label AS predicted, round(coalesce(cosine, 0), 6) AS cosine FROM l LEFT JOIN f ON f.vec_id = l.vec_id AND k = 1""")
 def class_by_words(spark: SparkSession, d: str) -> DataFrame:
     """Words of the classes learned from four fifths of the rows; every row classified, the fifth apart marked."""
-    bagged = words.bags(spelled(spark, d), "vec_id", "label")
+    bagged = written(words.bags(spelled(spark, d), "vec_id", "label"), "bags")
     held = F.col("vec_id") % 5 == 0
     found = words.classify(bagged, "vec_id", words.class_words(bagged.where(~held), "label"), "label")
     own = table(spark, d, "embeddings").select("vec_id", "label")
@@ -63,5 +64,5 @@ r AS (SELECT query_id, m.vec_id, CAST(own + d AS BIGINT) AS distance FROM m JOIN
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM r QUALIFY rank <= 5""")
 def nearest_by_words(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest bags of every row whose id is divisible by 50, among all rows."""
-    bagged = words.bags(spelled(spark, d), "vec_id")
+    bagged = written(words.bags(spelled(spark, d), "vec_id"), "bags")
     return words.nearest_bags(bagged.where("vec_id % 50 = 0"), bagged, "vec_id", 5)

@@ -569,3 +569,82 @@ def test_nearest_joined(monkeypatch, square):
     assert [got.root(i) for i in range(len(fps))] == [want.root(i) for i in range(len(fps))]
     assert all(simhash._apart(fps[i : i + 1], fps[j])[0] == d for i, j, d in found)
     assert found[:, 2].sum() == total if square == 1024 else found[:, 2].sum() >= total
+
+
+def test_parts_of_similar_sets_agree():
+    """Sets that differ in as many shingles as the similarity allows have a key in common, whatever their sizes."""
+    rng = np.random.default_rng(1)
+    for similarity in (0.5, 0.8, 0.95):
+        for _ in range(700):
+            small = int(np.exp(rng.uniform(0, np.log(400))))
+            large = int(rng.integers(small, int(small / similarity + 1e-9) + 1))
+            both = int(np.ceil(similarity / (1 + similarity) * (small + large) - 1e-9))
+            pool = rng.integers(0, 1 << 64, small + large, dtype=np.uint64)
+            a, b = np.sort(pool[:small]), np.sort(np.r_[pool[:both], pool[small : small + large - both]])
+            if both <= small:
+                keys = [simhash.part_keys(x, similarity) for x in (a, b)]
+                assert len(np.intersect1d(*keys)), (small, large, both)
+    a = rng.integers(0, 1 << 64, (2, 300), dtype=np.uint64)
+    assert not len(np.intersect1d(*(simhash.part_keys(np.sort(x), 0.8) for x in a)))
+    assert len(simhash.part_keys(np.zeros(0, np.uint64), 0.8)) == 0
+
+
+def test_chosen_parts_are_the_allotted_ones():
+    """Thresholds -1 and 0 of least cost, by the dynamic programme and by choosing the cheapest parts."""
+    rng = np.random.default_rng(2)
+    h = np.sort(rng.integers(0, 1 << 64, 60, dtype=np.uint64))
+    starts = np.sort(rng.choice(np.arange(1, 60), 19, replace=False))
+    starts = np.r_[0, starts]
+    prints = simhash.part_prints(h, starts)
+    for p, part in zip(prints, np.split(h, starts[1:]), strict=True):
+        assert p == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in part) > len(part))
+    costs = [[0.0, float(c)] for c in rng.permutation(100)[:20]]
+    chosen = simhash.allot(costs, 12 - 20 + 1)
+    assert sorted(np.flatnonzero(np.array(chosen) == 0)) == sorted(np.argsort([c[1] for c in costs])[:13])
+
+
+def test_copies_with_fingerprints_far_apart_go(spark):
+    """Pairs over 0.8 whose wide fingerprints differ by more than 2.5 standard errors over what is expected."""
+    rng, rows = random.Random(8), []
+    while len(rows) < 24:
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 120))]
+        one, two = " ".join(w), damaged(rng, w, 0.8)
+        a, b = (simhash.wide_fingerprint(x) for x in (one, two))
+        if np.bitwise_count((a ^ b).view(np.uint64)).sum() > simhash.wide_radius(0.8, 2.5):
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 24, 2))
+
+
+def test_groups_of_shared_keys():
+    """Keys over batches, repeated rows, and a key that is alone in several batches."""
+    rng = np.random.default_rng(4)
+    key = np.sort(np.r_[rng.integers(-20, 20, 150), np.full(60, 3)])
+    whole = pd.DataFrame({"key": key, "node": rng.integers(0, 12, len(key))}).sort_values(["key", "node"], ignore_index=True)
+    want = {frozenset(g["node"]) for _, g in whole.groupby("key") if g["node"].nunique() > 1}
+    for step in (1, 7, 1000):
+        frames = [whole[a : a + step] for a in range(0, len(whole), step)]
+        got = pd.concat(simhash._shared(iter(frames))).drop_duplicates()
+        assert {frozenset(g["node"]) for _, g in got.groupby("group")} == want
+
+
+@pytest.mark.parametrize("group", [4, 4096])
+def test_large_groups_are_searched_whole(spark, monkeypatch, group):
+    """Groups cut into blocks give the components of all pairs."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "BLOCKS", 10)
+    rng = np.random.default_rng(group)
+    fps = [rng.integers(-(1 << 63), 1 << 63, 4)]
+    for _ in range(120):
+        fps.append(flipped(fps[rng.integers(len(fps))], rng.choice(256, rng.integers(10, 60), replace=False)))
+    rows = [(i, [int(v) for v in x], [7, 100 + i % 3]) for i, x in enumerate(fps)]
+    prints = spark.createDataFrame(rows, "node long, fp array<long>, keys array<long>")
+    got, want = simhash.Sets(len(fps)), simhash.Sets(len(fps))
+    for r in simhash.part_links(prints, prints.select("node", "fp"), 44).collect():
+        assert simhash._apart(fps[r.a][None], fps[r.b])[0] == r.d <= 44
+        got.join(r.a, r.b)
+    for i in range(len(fps)):
+        for j in range(i):
+            if simhash._apart(fps[i][None], fps[j])[0] <= 44:
+                want.join(i, j)
+    assert [got.root(i) for i in range(len(fps))] == [want.root(i) for i in range(len(fps))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -41,8 +42,7 @@ class ChunkTable:
         """All ids of the chunks in order, and the number of ids of each chunk."""
         if self.n > self.most or self.used > 8 * self.most:
             self.clear()
-        get = self.index.get
-        at = np.array([get(c, -1) for c in chunks], np.int64)
+        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
             absent = [chunks[i] for i in missing]

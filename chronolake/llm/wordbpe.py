@@ -95,35 +95,38 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.t, self.merges = Tokenizer.from_file(path), Merges(path)
-        self.table = ChunkTable(self._words)
+        self.table, self.parts = ChunkTable(self._words), ChunkTable(self._parts)
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, np.int32)
 
     def _words(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The words in an order of its own, all their ids, and how many each has."""
-        by_tail: dict[str, list[tuple[bytes, bytes]]] = {}
-        order, ids = [], []
-        for w in words:
-            text = w.decode("utf-8", "surrogatepass")
-            m = _PLAIN.fullmatch(text) if len(w) <= self.table.long else None
-            if m:
-                by_tail.setdefault(m[2], []).append((m[1].lower().encode(), w))
-            else:
-                order.append(w)
-                ids.append(self._library(text))
-        flat, sizes = gather(ids)
+        """The words, all their ids, and how many each has. Letters and punctuation of plain words are looked up on their own: many words differ in case and punctuation only."""
+        parts, counts = [], np.ones(len(words), np.int64)
+        for k, w in enumerate(words):
+            m = _PLAIN.fullmatch(w.decode("utf-8", "surrogatepass")) if len(w) <= self.table.long else None
+            if not m:
+                parts.append(w)
+                continue
+            letters, tail = m.groups()
+            parts.append(letters.lower())
+            if tail:
+                parts.append(tail.encode())
+                counts[k] = 2
+        ids, sizes = self.parts.lookup(parts)
+        return words, ids, np.add.reduceat(sizes, np.cumsum(counts) - counts)
+
+    def _parts(self, parts: list[str | bytes]) -> tuple[list[str | bytes], np.ndarray, np.ndarray]:
+        """Letters (as str) by merging, all else (as bytes) by the library: the parts in an order of its own, all their ids, and how many each has."""
+        order = [p for p in parts if isinstance(p, bytes)]
+        flat, sizes = gather([self._library(p.decode("utf-8", "surrogatepass")) for p in order])
         flat, sizes = [flat], [sizes]
-        for tail, group in by_tail.items():
-            end = self._library(tail)
-            group.sort(key=lambda x: len(x[0]))
-            for at in range(0, len(group), 8192):
-                rows = self.merges.encode([x for x, _ in group[at : at + 8192]])
-                rows = np.concatenate([rows, np.broadcast_to(end, (len(rows), len(end)))], 1)
-                flat.append(rows[rows >= 0])
-                sizes.append((rows >= 0).sum(1))
-            order += [w for _, w in group]
-        return order, np.concatenate(flat), np.concatenate(sizes)
+        letters = sorted((p for p in parts if isinstance(p, str)), key=len)
+        for at in range(0, len(letters), 8192):
+            rows = self.merges.encode([p.encode() for p in letters[at : at + 8192]])
+            flat.append(rows[rows >= 0])
+            sizes.append((rows >= 0).sum(1))
+        return order + letters, np.concatenate(flat), np.concatenate(sizes)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text; null counts as empty."""

@@ -447,3 +447,15 @@ def test_long_training_texts_are_learned_from(spark):
     assert model.langs == ["p", "q"] and model.predict("alpha beta alpha")[0] == "p"
     many = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 5, f"l{i % 300}") for i in range(1_200)]
     assert len(langid.fit(spark.createDataFrame(many, "doc_id long, text string, lang string"), rows=200).langs) == 300
+
+
+def test_letters_are_merged_once():
+    """Words that differ in case and punctuation share the merging of their letters, over batches too; ids stay the library's."""
+    coder = wordbpe.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    merged = []
+    encode, coder.merges.encode = coder.merges.encode, lambda words: merged.extend(words) or encode(words)
+    batches = [["Hello, world. hello! ÉCOLE", "World hello$$$ ..."], ["WORLD, école. Hello 12,5 " + "x" * 300, None, "..."]]
+    for texts in batches:
+        for text, ids in zip(texts, coder.encode(texts), strict=True):
+            assert ids.tolist() == coder.t.encode(text or "", add_special_tokens=False).ids
+    assert sorted(merged) == sorted(x.encode() for x in ("hello", "world", "école"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,16 @@ def steps(texts: list, limit: int = STEP_CHARS) -> Iterator[list]:
         yield run
 
 
+def slices(column: pa.Array, limit: int = STEP_CHARS) -> Iterator[list]:
+    """The texts of an Arrow column in runs of at most ``limit`` bytes, a longer text a run of its own; only one run at a time is a list."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield column.slice(at, to - at).to_pylist()
+        at = to
+
+
 def give_back() -> None:
     """Return what a worker has freed to the system: workers live on between tasks, and an executor's memory is the sum of theirs."""
     pa.default_memory_pool().release_unused()
@@ -75,16 +88,38 @@ def give_back() -> None:
         return
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(make: Callable, *args) -> object:
+    """``make(*args)``, which the worker keeps from task to task until something else is asked for or :func:`forget` is called."""
+    key = (make, *args)
+    if key not in _kept:
+        forget()
+        _kept[key] = make(*args)
+    return _kept[key]
+
+
+def forget() -> None:
+    """Let go of what is :func:`kept`: a worker lives through many stages, and another operator needs its memory."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        give_back()
+
+
 def text_struct(column: Column | str, schema: str, start: Callable[[], Callable[[list], dict]]) -> Column:
     """A struct column made from a text column by a vectorised Python function.
 
     ``start`` runs once in each worker and returns the function, which gets a list of texts (nulls
     included) and returns a dict of equally long lists. Only the text travels to Python. The column
-    counts as non-deterministic, so that a later filter can't make Spark evaluate it twice.
+    counts as non-deterministic, so that a later filter can't make Spark evaluate it twice. What
+    another operator has :func:`kept` in the worker goes first.
     """
 
     @F.pandas_udf(schema)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         function = start()
         for s in batches:
             texts = s.tolist()

@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import give_back, steps
-from chronolake.llm.wordbpe import encoder
+from chronolake.llm.common import STEP_CHARS, give_back, slices
+from chronolake.llm.wordbpe import TABLE, encoder
 
 CAPACITY, CLASSES, END = 4096, 64, 2
 #: Free ids of a sequence that are padded instead of filled, and free sequences' worth of room from which on documents are cut to fill it.
@@ -129,17 +129,18 @@ def _schema(kind: pa.DataType, with_ids: bool) -> pa.Schema:
     return pa.schema([*fields, *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = True, table: int = TABLE, step: int = STEP_CHARS) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` its ids.
 
     Each document's ids end with ``end``; a null or empty text has that id alone. Repeated rows are
     documents of their own. Workers number sequences apart from each other: the partition's number,
-    then a running number.
+    then a running number. ``table`` (distinct words whose ids a worker keeps) and ``step`` (bytes of
+    text encoded at once) change memory and time only.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, table)
 
         def halve(p: tuple, n: int) -> tuple[tuple, tuple]:
             key, start, length, total, ids = p
@@ -163,9 +164,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
         for b in batches:
             schema = schema or _schema(b.schema.field(0).type, with_ids)
-            keys, texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+            keys, column, at = b.column(0).to_pylist(), b.column(1), 0
             del b
-            for texts in steps(texts):
+            for texts in slices(column, step):
                 placed = []
                 for ids in coder.encode(texts):
                     ids = np.append(ids, np.int32(end)).astype("<i4")
@@ -176,6 +177,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     at += 1
                 if placed:
                     yield rows(placed)
+            del column
             give_back()
         if schema and (placed := list(packer.finish())):
             yield rows(placed)

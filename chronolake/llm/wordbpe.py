@@ -7,7 +7,6 @@ normalisation (NFC, lower case) and its word pattern do nothing to it that isn't
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -16,10 +15,14 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from chronolake.llm.chunks import ChunkTable, gather
+from chronolake.llm.common import kept
 
 #: Latin letters whose lower case is one character for one and that NFC leaves alone, then at most one run of punctuation.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*-]*)")
 
+#: Distinct words, and parts of words, whose ids an encoder keeps.
+TABLE = 400_000
+
 
 def byte_names() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next one from 256 up."""
@@ -92,10 +95,10 @@ class WordEncoder:
     library itself deals with it.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = TABLE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.t, self.merges = Tokenizer.from_file(path), Merges(path)
-        self.table, self.parts = ChunkTable(self._words), ChunkTable(self._parts)
+        self.table, self.parts = ChunkTable(self._words, most), ChunkTable(self._parts, most)
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, np.int32)
@@ -133,7 +136,6 @@ class WordEncoder:
         return self.table.texts([(t or "").encode("utf-8", "surrogatepass").split() for t in texts])
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder, whose table stays from task to task."""
-    return WordEncoder(path)
+def encoder(path: str, most: int = TABLE) -> WordEncoder:
+    """The worker's encoder, whose table stays from task to task until another operator starts in the worker."""
+    return kept(WordEncoder, path, most)

@@ -215,12 +215,15 @@ def unscaled(df: DataFrame, sizes: DataFrame, entity: Names, z: str, name: str =
 
 
 def box_cox_power(df: DataFrame, entity: Names, value: str, grid: Sequence[float]) -> DataFrame:
-    """The power of greatest likelihood among ``grid`` for each entity's positive values, by one aggregate."""
+    """The power of greatest likelihood among ``grid`` for each entity's positive values, by one aggregate.
+
+    The transform's constant is left out: it moves no variance, but next to it a large value's negative power is lost in the last digit.
+    """
     v, keys = F.col(value).cast("double"), names(entity)
     logs = F.log(v)
 
     def moved(p: float) -> Column:
-        return logs if abs(p) < 1e-9 else (F.pow(v, F.lit(float(p))) - 1) / p
+        return logs if abs(p) < 1e-9 else F.pow(v, F.lit(float(p))) / p
 
     scores = [F.struct((-F.count(v) / 2 * F.log(F.var_pop(moved(p))) + (p - 1) * F.sum(logs)).alias("l"), F.lit(-float(p)).alias("m")) for p in grid]
     best = df.where(v > 0).groupBy(*keys).agg(F.array_max(F.array(*scores)).alias("b"))

@@ -1,5 +1,6 @@
 """Properties of operators that SQL doesn't check."""
 
+import decimal
 import math
 
 import numpy as np
@@ -294,3 +295,21 @@ def test_outliers_read_the_table_twice_after_their_sizes(spark, tmp_path):
     assert got["a", 3.0].z == pytest.approx((3 - v.mean()) / v.std(ddof=1))
     assert got["a", 3.0].robust_z == pytest.approx(0.6745 * (3 - np.median(v)) / np.median(np.abs(v - np.median(v))))
     assert got["c", None].z is None and got[None, 3.0].is_z is None
+
+
+def test_box_cox_power_of_large_values(spark):
+    """The power that decimals give, where ``v ** -2 - 1`` is -1 in doubles for all values but one, and for all."""
+    rng = np.random.default_rng(8)
+    x = 3e8 * np.exp(0.2 * np.clip(rng.normal(size=1_600), -2, 2))
+    series = {"all": x, "one": np.append(x, 1.2e8), "root": rng.normal(1.5e4, 600, 400) ** 2}
+    want, grid = {}, [(k - 10) / 5 for k in range(21)]
+    with decimal.localcontext(prec=50):
+        for k, v in series.items():
+            logs, found = [decimal.Decimal(float(a)).ln() for a in v], []
+            for p in map(lambda g: decimal.Decimal(str(g)), grid):
+                y = [((p * a).exp() - 1) / p for a in logs] if p else logs
+                m = sum(y) / len(y)
+                found.append((-len(y) / decimal.Decimal(2) * (sum((a - m) ** 2 for a in y) / len(y)).ln() + (p - 1) * sum(logs), float(p)))
+            want[k] = max(found)[1]
+    d = spark.createDataFrame([(k, float(a)) for k, v in series.items() for a in v], "k string, v double")
+    assert {r.k: r.power for r in features.box_cox_power(d, "k", "v", grid).collect()} == want

@@ -354,13 +354,8 @@ def cluster_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dtw_nearest(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    p = distance.pairs_in_blocks(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 8).withColumn("lb", distance.lb_keogh(F.col("query"), F.col("embedding"), 3))
-    w = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    # The bound leaves out pairs that can't beat the warped distance of the pair of least bound.
-    first = p.groupBy("query_id").agg(F.min_by(F.struct("query", "embedding"), "lb").alias("s")).select("query_id", "s.*").withColumn("most", distance.dtw_column("query", "embedding", 3)).select("query_id", "most")
-    near = p.join(first, "query_id").where("lb <= most").withColumn("d", distance.dtw_column("query", "embedding", 3))
-    return near.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("query_id", "vec_id", "label", "lb", "d")
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return distance.dtw_nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 3).select("query_id", "vec_id", "label", "lb", "d")
 
 
 @query()

@@ -14,6 +14,7 @@ def small_blocks(monkeypatch):
     for name, n in (("LEAST_ROWS", 16), ("BLOCK_ROWS", 32), ("QUERY_ROWS", 3), ("SOME", 2), ("FIRST", 8)):
         monkeypatch.setattr(blocks, name, n)
     monkeypatch.setattr(distance, "TILE", 8)
+    monkeypatch.setattr(distance, "SHARING", 8)
 
 
 def series(n=150, size=16, seed=12):
@@ -41,3 +42,27 @@ def test_warped_neighbours_by_blocks(spark, small_blocks):
             assert math.isclose(r.lb, math.hypot(*past)) and r.lb <= r.d
         else:
             assert r.lb is None
+
+
+def test_edits_by_blocks(spark, small_blocks):
+    """Also values of sizes far apart, zeros, and series of no size."""
+    rows = series() + ODD + [(300, 0, [1e9] * 16), (301, 0, [1e-9] * 16), (302, 0, [0.0] * 16), (303, 0, [0.0] * 3), (304, 0, [-5e8, 1.0])]
+    e = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").select("vec_id", "embedding")
+    found = distance.erp_nearest(e.where("vec_id % 25 = 0 or vec_id > 199"), e, "vec_id", "embedding")
+    assert found.columns == ["query_id", "query", "vec_id", "embedding", "erp"]
+    fit = {i: np.array(v) for i, _, v in rows if i is not None and v is not None and all(y is not None and math.isfinite(y) for y in v)}
+    got = {r.query_id: r for r in found.collect()}
+    assert sorted(got) == [q for q in sorted(fit) if q % 25 == 0 or q > 199]
+    for q, r in got.items():
+        d, i = min((distance.aligned_many(fit[q][None], v[None], "erp")[0], i) for i, v in fit.items() if i != q)
+        assert (r.vec_id, r.erp, r.query, r.embedding) == (i, d, fit[q].tolist(), fit[i].tolist())
+
+
+def test_shared_weight_is_what_edits_save():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (1, 6), (9, 4), (12, 12)):
+        q, x = rng.integers(-9, 10, n).astype(np.int16), rng.integers(-9, 10, (m, 40)).astype(np.int16)
+        back = x[::-1]
+        saved = distance.shared_weight(q, np.concatenate([np.maximum(back, 0), np.maximum(-back, 0)])).astype(int)
+        cost = distance.aligned_many(np.repeat(q[None].astype(float), 40, 0), x.T.astype(float), "erp")
+        assert (np.abs(q.astype(int)).sum() + np.abs(x.astype(int)).sum(0) - 2 * saved == cost).all()

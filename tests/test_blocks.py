@@ -1,11 +1,14 @@
 """Searches by blocks against brute force: many small blocks, equal rows, series of odd kinds."""
 
+import functools
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
 from chronolake.operators import blocks, distance
+from chronolake.plans import catalog, watch_queries
 
 
 @pytest.fixture
@@ -66,3 +69,25 @@ def test_shared_weight_is_what_edits_save():
         saved = distance.shared_weight(q, np.concatenate([np.maximum(back, 0), np.maximum(-back, 0)])).astype(int)
         cost = distance.aligned_many(np.repeat(q[None].astype(float), 40, 0), x.T.astype(float), "erp")
         assert (np.abs(q.astype(int)).sum() + np.abs(x.astype(int)).sum(0) - 2 * saved == cost).all()
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_straight_neighbours_by_blocks(spark, small_blocks, shift):
+    """Far from zero a product in single precision says little, and double precision has to tell."""
+    rows = [(i, c, [x + shift for x in v]) for i, c, v in series()]
+    e = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {}
+    for r in distance.k_nearest(e.where("vec_id % 25 = 0"), e, "vec_id", "embedding", 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.d, r.vec_id))
+    for q in range(0, 150, 25):
+        d = sorted((math.sqrt(functools.reduce(lambda t, z: t + (z[0] - z[1]) * (z[0] - z[1]), zip(rows[q][2], v, strict=True), 0.0)), i) for i, _, v in rows if i != q)
+        assert got[q] == d[:4]
+
+
+def test_neighbours_of_odd_vectors_are_those_of_the_sql(spark, small_blocks, tmp_path):
+    """Null arrays, shorter ones, ones with nulls and NaN, for queries and rows; copies tie to the smaller id."""
+    rows = series() + [(i + 1 if i == 200 else i, c, v) for i, c, v in ODD] + [(k, k % 3, v) for k, v in ((225, None), (250, [0.1, -0.4]), (275, [None, 1.0]), (300, [math.nan, 1.0]), (325, []), (350, [None] * 16))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = catalog.ORACLE_SQL["knn_euclid_classify"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'").replace("JOIN embeddings", f"JOIN '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted((r.query_id, r.predicted) for r in watch_queries.knn_euclid_classify(spark, str(tmp_path)).collect())
+    assert len(got) == 12 and got == sorted(duckdb.sql(sql).fetchall())

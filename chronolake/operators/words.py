@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from math import cos, pi, sin
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.operators.blocks import few_nearest, in_blocks, own_places
 from chronolake.operators.distance import let
 from chronolake.operators.quantile import exact_quantiles
 
+#: Words of the queries that are one matrix's columns.
+WORDS = 512
+
 
 def basis(window: int, length: int) -> list[list[float]]:
     """Weights of a window's values for each of ``length`` coefficients: cosine and sine of one, two, ... turns, over the root of the window's length."""
@@ -92,15 +98,59 @@ def classify(bagged: DataFrame, id_col: str, weights: DataFrame, label: str) ->
     return bag.select(id_col).join(best, id_col, "left").select(id_col, F.col("b.__label").alias("predicted"), F.coalesce("b.__cos", F.lit(0.0)).alias("cosine"))
 
 
-def nearest_bags(queries: DataFrame, bagged: DataFrame, id_col: str, k: int, blocks: int = 16) -> DataFrame:
+def nearest_bags(queries: DataFrame, bagged: DataFrame, id_col: str, k: int, blocks: int | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` nearest bags of each of a stated set of queries, ties to the smaller id.
 
-    The distance sums squared differences of counts over the query's words, so it is the query's sum of squares corrected at shared words:
-    only rows that share a word meet, word by word. A row without a shared word is no neighbour. A word that most rows have is dealt out in ``blocks``.
+    The distance sums squared differences of counts over the query's words, so it is the query's sum of squares corrected at shared words. A row without a
+    shared word is no neighbour. Queries meet rows by blocks (``blocks`` of them, if given), where the corrections of all pairs are products of matrices over the words
+    of some queries. Sums are whole numbers that the products' type holds exactly.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), "word", F.col("n").alias("__a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
-    r = bagged.select(id_col, "word", F.col("n").alias("__b"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("__block"))
-    own = queries.groupBy(F.col(id_col).alias("query_id")).agg(F.sum(F.col("n") * F.col("n")).alias("__own"))
-    met = q.join(r, ["word", "__block"]).where(F.col("query_id") != F.col(id_col)).groupBy("query_id", id_col).agg(F.sum(F.col("__b") * F.col("__b") - 2 * F.col("__a") * F.col("__b")).alias("__d"))
-    far = met.join(own, "query_id").select("query_id", id_col, (F.col("__own") + F.col("__d")).alias("distance"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        (query_ids, at_q), (ids, at_x) = (np.unique(t[id_col].to_numpy(), return_inverse=True) for t in (a, b))
+        n_q, n_x = (t["n"].to_numpy().astype(float) for t in (a, b))
+        own = np.bincount(at_q, n_q * n_q, len(query_ids))
+        held_q, held_x = (t["word"].combine_chunks().is_valid().to_numpy(zero_copy_only=False) for t in (a, b))
+        known, word_q = np.unique(a["word"].to_numpy()[held_q], return_inverse=True)
+        word_x = np.searchsorted(known, b["word"].to_numpy())
+        held_x &= known[np.minimum(word_x, len(known) - 1)] == b["word"].to_numpy() if len(known) else False
+        order = np.flatnonzero(held_x)[np.argsort(at_x[held_x], kind="stable")]
+        at_x, word_x, n_x = at_x[order], word_x[order], n_x[order]
+        at_q, n_q = at_q[held_q], n_q[held_q]
+        # A number holds the correction times ``unit`` plus the count of shared words, which is below it.
+        unit = 1.0 + np.bincount(at_q, minlength=1).max()
+        most = np.bincount(at_x, n_x * n_x, 1).max()
+        kind = np.float32 if unit * (1 + most + 2 * np.sqrt(most * own.max(initial=0.0))) < 2**24 else np.float64
+
+        def compared(some: slice, here: slice) -> np.ndarray:
+            mine = np.flatnonzero((at_q >= some.start) & (at_q < some.stop))
+            first, last = np.searchsorted(at_x, [here.start, here.stop])
+            out = np.zeros((some.stop - some.start, here.stop - here.start), kind)
+            vocabulary, column = np.unique(word_q[mine], return_inverse=True)
+            place = np.full(len(known), -1)
+            place[vocabulary] = np.arange(len(vocabulary))
+            met = place[word_x[first:last]]
+            for lo in range(0, len(vocabulary), WORDS):
+                size = min(WORDS, len(vocabulary) - lo)
+                left, right = np.zeros((len(out), 2 * size), kind), np.zeros((2 * size, out.shape[1]), kind)
+                i = (column >= lo) & (column < lo + size)
+                left[at_q[mine[i]] - some.start, column[i] - lo] = 1
+                left[at_q[mine[i]] - some.start, column[i] - lo + size] = n_q[mine[i]]
+                j = np.flatnonzero((met >= lo) & (met < lo + size))
+                n = n_x[first + j]
+                right[met[j] - lo, at_x[first + j] - here.start] = unit * n * n + 1
+                right[met[j] - lo + size, at_x[first + j] - here.start] = -2 * unit * n
+                out += left @ right
+            out[out == 0] = np.inf
+            return out
+
+        def limits(_: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return unit * value + unit - 1, unit * value
+
+        i, j, value = few_nearest(len(query_ids), own_places(query_ids, ids), len(ids), k, compared, lambda i, j, bound: np.floor(bound.astype(float) / unit), limits)
+        return pa.table([pa.array(query_ids[i]), pa.array(ids[j]), pa.array((own[i] + value).astype(np.int64))], names=["query_id", id_col, "distance"])
+
+    kinds = dict(bagged.dtypes)
+    columns = [id_col, "word", "n"]
+    far = in_blocks(queries.select(columns), bagged.select(columns), id_col, run, f"query_id {kinds[id_col]}, `{id_col}` {kinds[id_col]}, distance long", True, blocks)
     return far.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))).where(F.col("rank") <= k)

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from chronolake.operators import blocks, distance
+from chronolake.operators import blocks, distance, words
 from chronolake.plans import catalog, watch_queries
 
 
@@ -91,3 +91,22 @@ def test_neighbours_of_odd_vectors_are_those_of_the_sql(spark, small_blocks, tmp
     sql = catalog.ORACLE_SQL["knn_euclid_classify"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'").replace("JOIN embeddings", f"JOIN '{tmp_path}/embeddings.parquet/*.parquet'")
     got = sorted((r.query_id, r.predicted) for r in watch_queries.knn_euclid_classify(spark, str(tmp_path)).collect())
     assert len(got) == 12 and got == sorted(duckdb.sql(sql).fetchall())
+
+
+@pytest.mark.parametrize("largest", [2, 4_000])
+def test_bags_by_blocks(spark, small_blocks, monkeypatch, largest):
+    """Many ties, counts that single precision doesn't hold, words in several matrices, queries and rows that share nothing, and no pair of rows in a plan."""
+    monkeypatch.setattr(words, "WORDS", 3)
+    rng = np.random.default_rng(6)
+    bags = {i: {int(w): int(rng.integers(1, largest + 1)) for w in rng.choice(40, rng.integers(1, 6), replace=False)} for i in range(300)}
+    bags[50], bags[51], bags[100] = {900: 1}, {901: 3}, {7: 4_000, 11: 1, 901: 2}
+    d = spark.createDataFrame([(i, w, n) for i, b in bags.items() for w, n in b.items()], "k long, word long, n long")
+    found = words.nearest_bags(d.where("k % 25 = 0"), d, "k", 6)
+    assert found.columns == ["query_id", "k", "distance", "rank"] and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.k))
+    for q in range(0, 300, 25):
+        far = sorted((sum((n - bags[i].get(w, 0)) ** 2 for w, n in bags[q].items()), i) for i in bags if i != q and set(bags[i]) & set(bags[q]))
+        assert got.get(q, []) == far[:6]
+    assert 50 not in got

@@ -110,3 +110,16 @@ def test_bags_by_blocks(spark, small_blocks, monkeypatch, largest):
         far = sorted((sum((n - bags[i].get(w, 0)) ** 2 for w, n in bags[q].items()), i) for i in bags if i != q and set(bags[i]) & set(bags[q]))
         assert got.get(q, []) == far[:6]
     assert 50 not in got
+
+
+def test_blocks_without_rows_or_queries(spark, monkeypatch):
+    """More blocks than rows on both sides, a table of one row and one of none."""
+    for name in ("LEAST_ROWS", "BLOCK_ROWS", "QUERY_ROWS"):
+        monkeypatch.setattr(blocks, name, 1)
+    e = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "k long, x array<double>").coalesce(1)
+    for n, want in ((5, 5), (1, 0), (0, 0)):
+        d = e.where(f"k < {n}")
+        assert distance.k_nearest(d, d, "k", "x", 1).count() == want
+        assert distance.erp_nearest(d, d, "k", "x").count() == distance.dtw_nearest(d, d, "k", "x", 1).count() == want
+        bags = d.select("k", "k", "x").toDF("k", "word", "x").selectExpr("k", "word % 1 AS word", "k + 1 AS n")
+        assert words.nearest_bags(bags, bags, "k", 1, blocks=9).count() == want
